@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from stintflow.llm.decontaminate import op1_decontaminate
+from stintflow.llm.gif import op3_gif
 from stintflow.llm.packing import op7_packing
 from stintflow.llm.simhash import op5_simhash
+from stintflow.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_gif": op3_gif,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
