@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -22,44 +23,70 @@ def _default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Marks that are cut off a chunk's end: with letters before them they are a pre-token of their own.
+_MARKS = ".,;:!?%$&*#"
+
+
 class ChunkTokenizer:
-    """Ids of texts, cached by the chunks between ASCII white space.
+    """Ids of texts, looked up by the chunks between ASCII white space.
 
-    For tokenizers whose pre-tokenizer drops white space and never spans it (true of word_bpe_49k.json), a text's ids are
-    its chunks' ids in order. New chunks of a batch are encoded in one call; the cache is cleared when it holds max_cached.
+    For tokenizers that lower-case, whose pre-tokenizer drops white space and parts letters from marks (true of
+    word_bpe_49k.json), a text's ids are its chunks' ids in order, and those of letters with marks behind them are the ids of
+    the lower-cased letters and of the marks. New parts of a batch are encoded in one call. Both caches keep what came
+    first, which is what is frequent, up to max_cached entries; what comes later is encoded once a batch.
     """
 
-    def __init__(self, path: str, end_id: int, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.max_cached = Tokenizer.from_file(path), np.uint32(end_id).astype("<u4").tobytes(), max_cached
-        self.cache: dict[bytes, bytes] = {}
-
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.cache) + len(chunks) > self.max_cached:
-            self.cache.clear()
-        todo = list(chunks)
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
-            got = self.tokenizer.encode([c.decode("utf-8") for c in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            owner = np.fromiter((-1 if w is None else w for w in got.word_ids), np.int64, len(ids))
-            ends = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            self.cache.update((c, raw[4 * s : 4 * e]) for c, s, e in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text and the end id, as little-endian unsigned 32-bit bytes."""
-        chunks = text.encode("utf-8", "replace").split() if text else []
-        get = self.cache.get
-        found = list(map(get, chunks))
-        if None in found:
-            self.learn({c for c, x in zip(chunks, found, strict=True) if x is None})
-            if len(self.cache) < len(set(chunks)) or None in (found := list(map(self.cache.get, chunks))):
-                self.learn(set(chunks))
-                found = list(map(self.cache.get, chunks))
-        return b"".join(found) + self.end
+        self.tokenizer, self.max_cached = Tokenizer.from_file(path), max_cached
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            got = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            owner = np.fromiter((-1 if w is None else w for w in got.word_ids), np.int64, len(raw) // 4)
+            ends = np.searchsorted(owner, np.arange(len(some) + 1)).tolist()
+            out.update((c, raw[4 * s : 4 * e]) for c, s, e in zip(some, ends[:-1], ends[1:], strict=True))
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        split = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        found = [list(map(self.chunks.get, x)) for x in split]
+        lacking = [k for k, f in enumerate(found) if None in f]
+        if lacking:
+            new = {c for k in lacking for c, f in zip(split[k], found[k], strict=True) if f is None}
+            cut = {}
+            for c in new:
+                s = c.decode("utf-8")
+                core = s.rstrip(_MARKS)
+                cut[c] = (core if "\u03a3" in core else core.lower(), s[len(core) :]) if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) else (s, "")
+            fresh = self.encode_parts(list({p for both in cut.values() for p in both if p and p not in self.parts}))
+            get = lambda p: self.parts[p] if p in self.parts else fresh[p] if p else b""
+            known = {c: get(a) + get(b) for c, (a, b) in cut.items()}
+            for k in lacking:
+                found[k] = [f if f is not None else known[c] for c, f in zip(split[k], found[k], strict=True)]
+            if len(self.parts) < self.max_cached:
+                self.parts.update(fresh)
+            if len(self.chunks) < self.max_cached // 2:
+                self.chunks.update(known)
+        return [b"".join(f) for f in found]
+
+
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One tokenizer a worker process, so that its caches outlive a task."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, tokenizer_path: str | None = None, end_id: int = 1) -> DataFrame:
@@ -70,17 +97,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     path = tokenizer_path or _default_tokenizer()
 
     def run(batches):
-        tok = ChunkTokenizer(path, end_id)
+        tok, end = tokenizer_of(path), np.uint32(end_id).astype("<u4").tobytes()
         for b in batches:
             who, piece, start, length, crc = [], [], [], [], []
             texts = b.column(1)
             for at in range(0, len(texts), 256):
-                part = texts.slice(at, 256).to_pylist()
-                fresh = {c for t in part if t for c in t.encode("utf-8", "replace").split()}.difference(tok.cache)
-                if fresh:
-                    tok.learn(fresh)
-                for k, t in enumerate(part):
-                    raw = tok.encode(t)
+                for k, ids in enumerate(tok.encode(texts.slice(at, 256).to_pylist())):
+                    raw = ids + end
                     for p, s in enumerate(range(0, len(raw), 4 * capacity)):
                         cut = raw[s : s + 4 * capacity]
                         who.append(at + k)
