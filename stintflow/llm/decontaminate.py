@@ -81,8 +81,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     counts; no candidates are dropped. Null or empty texts and items match nothing; repeated rows give repeated results.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = [(r[0], compared(r[1])) for r in benchmark.select(F.col(item_col), F.col(item_text_col).cast("string")).filter(F.col(item_text_col).isNotNull()).toLocalIterator()]
-    items = sorted(((i, w) for i, w in items if w), key=lambda x: (str(x[0]), x[1]))
+    items = read_items(benchmark, item_col, item_text_col)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item_id {item_kind}, score double, n_seeds int, first_word int, end_word int"
     out = None
@@ -92,37 +91,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _block(rows: DataFrame, items: list, schema: str, n: int, rare: float, least_score: float) -> DataFrame:
-    spark = rows.sparkSession
+def _prepared(texts: DataFrame, items: list, n: int, rare: float) -> tuple:
+    """What a task needs of a block of items: word ids, item ids, coded items, and the seeds by their keys."""
     vocabulary = sorted({w for _, ws in items for w in ws})
     index = {w: k for k, w in enumerate(vocabulary)}
     coded = [[index[w] for w in ws] for _, ws in items]
-    counts, total = word_counts(rows, vocabulary)
+    counts, total = word_counts(texts, vocabulary)
     base = len(vocabulary) + 1
     keys: dict[int, list[tuple[int, int]]] = {}
     for gram, where in seeds_of(coded, counts, total, n, rare).items():
         keys.setdefault(_key(gram, base, n), []).extend(where)
-    sent = spark.sparkContext.broadcast((index, [i for i, _ in items], [np.array(c, np.int64) for c in coded], np.array(sorted(keys), np.uint64), keys))
+    return index, [i for i, _ in items], [np.array(c, np.int64) for c in coded], np.array(sorted(keys), np.uint64), keys, base
+
+
+def _judge(text: str | None, prepared: tuple, n: int, least_score: float) -> list[tuple]:
+    """(item id, score, seeds, first word, end word) of the items that a text holds."""
+    index, ids, codes, sorted_keys, seeds, base = prepared
+    ws = compared(text)
+    if not ws:
+        return []
+    x = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
+    return [(ids[item], *rest) for item, *rest in _matches(x, codes, sorted_keys, seeds, base, n, least_score)]
+
+
+def _block(rows: DataFrame, items: list, schema: str, n: int, rare: float, least_score: float) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(_prepared(rows, items, n, rare))
     item_type = [f for f in _fields(schema) if f[0] == "item_id"][0][1]
 
     def run(batches):
-        own_index, ids, codes, sorted_keys, seeds = sent.value
-        get = own_index.get
         for b in batches:
-            got = []
-            for row, text in enumerate(b.column(1)):
-                ws = compared(text.as_py())
-                if not ws:
-                    continue
-                x = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-                for item, score, n_seeds, first, end in _matches(x, codes, sorted_keys, seeds, base, n, least_score):
-                    got.append((row, ids[item], score, n_seeds, first, end))
+            got = [(row, *found) for row, text in enumerate(b.column(1)) for found in _judge(text.as_py(), sent.value, n, least_score)]
             cols = list(zip(*got, strict=True)) if got else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.float64()), *(pa.array(c, pa.int32()) for c in cols[3:])], ["id", "item_id", "score", "n_seeds", "first_word", "end_word"])
 
     return rows.mapInArrow(run, schema)
 
 
+def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> list:
+    got = [(r[0], compared(r[1])) for r in benchmark.select(F.col(item_col), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator()]
+    return sorted(((i, w) for i, w in got if w), key=lambda x: (str(x[0]), x[1]))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: float = 5.0, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, that leaks() finds nothing in. Rows are judged where they are read."""
+    items = read_items(benchmark, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+    out = docs
+    for k in range(0, len(items), block):
+        sent = docs.sparkSession.sparkContext.broadcast(_prepared(docs.select(F.col(text_col).cast("string").alias("text")), items[k : k + block], n, rare))
+
+        def run(batches, sent=sent):
+            for b in batches:
+                yield b.filter(pa.array([not _judge(t.as_py(), sent.value, n, least_score) for t in b.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "long": pa.int64()}
     return [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]

@@ -191,6 +191,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return rows.join(classes, "fp", "left").select("id", "fp", "component_id")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each class of near duplicates: that of the smallest id (a null id only if there is no other).
+
+    Rows are told apart by a hash of all their columns, so equal rows count as one; the survivors come back by a semi-join
+    on it, and equal rows meet there without another shuffle.
+    """
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "__row").alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(spark, keyed, "key", "text", **how)
+    best = found.filter("id = component_id").select(F.col("id.__row").alias("__row")).distinct()
+    return rows.join(best, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(spark, docs)

@@ -207,6 +207,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories
     return score(rows, chain).withColumn("toxic", F.col(f"p_{own[-1]}") >= chain.thresholds[-1])
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, max_rows: int = 20_000) -> DataFrame:
+    """The rows of docs, all columns, that the chain doesn't judge toxic."""
+    own = categories or CATEGORIES
+    chain = fit_chain(spark, labelled_sample(docs, labels, own, max_rows), own)
+    return score(docs, chain).filter(F.col(f"p_{own[-1]}") < chain.thresholds[-1]).select(*docs.columns)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity(spark, docs, labels).drop("text")
