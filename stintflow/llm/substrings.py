@@ -16,9 +16,12 @@ _BLOCK_BITS = 22
 _FLUSH = 2_000_000
 
 
-def windows(text: str | None, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of width words."""
-    h = mix(hash_words(words(text), 5))
+def word_hashes(text: str | None) -> np.ndarray:
+    return mix(hash_words(words(text), 5))
+
+
+def windows(h: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all windows of width words, from the words' hashes."""
     n = len(h) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
@@ -28,6 +31,24 @@ def windows(text: str | None, width: int) -> np.ndarray:
     return mix(out)
 
 
+def anchors(text_hashes: np.ndarray, width: int, part: int = 3) -> np.ndarray:
+    """For each window of word hashes, the smallest hash of its runs of part words: neighbouring windows mostly share
+    it, and equal windows always do."""
+    part = min(part, width)
+    n = len(text_hashes) - part + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    runs = np.zeros(n, np.uint64)
+    for k in range(part):
+        runs = runs * _STEP + text_hashes[k : k + n]
+    low, span, size = mix(runs), 1, width - part + 1
+    while 2 * span <= size:
+        low = np.minimum(low[: len(low) - span], low[span:])
+        span *= 2
+    rest = size - span
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     """A window's cell in a row of the sketch."""
     return mix(h + np.uint64(row * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)
@@ -89,7 +110,7 @@ def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> list[tu
         sketch, held, n = Sketch(rows, bits), [], 0
         for b in batches:
             for t in b.column(0):
-                held.append(windows(t.as_py(), width))
+                held.append(windows(word_hashes(t.as_py()), width))
                 n += len(held[-1])
                 if n >= _FLUSH:
                     sketch.add(np.concatenate(held))
@@ -147,18 +168,23 @@ class Estimate:
         return ok
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    return positions.astype("<u4").tobytes()
+def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """First places of runs in which pos rises by one and the columns stay the same."""
+    new = np.concatenate(([True], pos[1:] != pos[:-1] + 1))
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def repeated_starts(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_rows: int = 2) -> DataFrame:
-    """(id, body, starts binary): packed positions of the windows of a row that also start in a row of a smaller id.
+def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_rows: int = 2) -> DataFrame:
+    """(id, body, start int, n int): runs of n neighbouring windows of a row that also start in a row of a smaller id.
 
-    rows: (id long, body long, text). Several lines may come for one row. The first pass builds and merges the sketch. In the second, each
-    task keeps the windows estimated as repeated and settles what it can by itself: of all rows with a window in its
-    buffer, only the one with the smallest id goes on to the shuffle, so a passage that a third of all rows share sends
-    a row a buffer, not a row a document. There, the rows of a window are read in order of id, and all but the first id's
-    are repeated; nothing but the current window's smallest id is held.
+    rows: (id long, body long, text). A row may get several runs, also overlapping ones. The first pass builds and merges
+    the sketch. In the second, each task keeps the windows estimated as repeated and settles what it can by itself: of
+    all rows with a window in its buffer, only the one with the smallest id goes on to the shuffle, so a passage that a
+    third of all rows share sends one row a buffer, not one a document. Windows are dealt by their anchor, which equal
+    windows share and neighbours mostly do, so they travel as one row a run. Where they meet, the ids of a window are
+    read in order, and all but the first are repeated; nothing but the current window's smallest id is held.
     """
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = sketch_bits(total // 6)
@@ -170,26 +196,32 @@ def repeated_starts(spark: SparkSession, rows: DataFrame, width: int = 13, sketc
         n = 0
 
         def flush():
-            h = np.concatenate([x[2] for x in held])
-            pos = np.concatenate([x[3] for x in held])
+            h, pos, anchor = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
             size = [len(x[2]) for x in held]
-            ids, bodies = np.repeat(np.array([x[0] for x in held], np.int64), size), np.repeat(np.array([x[1] for x in held], np.int64), size)
-            order = np.lexsort((ids, h))
-            h, pos, ids, bodies = h[order], pos[order], ids[order], bodies[order]
-            new = np.concatenate(([True], h[1:] != h[:-1]))
-            least = ids[new][np.cumsum(new) - 1]
-            local = ids > least
-            rest = ~local
-            if rest.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[rest].view(np.int64)), pa.array(ids[rest]), pa.array(bodies[rest]), pa.array(pos[rest].astype(np.int32)), pa.nulls(int(rest.sum()), pa.binary())], ["window", "id", "body", "start", "starts"])
-            yield from _by_row(ids[local], bodies[local], pos[local], True)
+            line = np.repeat(np.arange(len(held)), size)
+            ids, bodies = np.array([x[0] for x in held], np.int64)[line], np.array([x[1] for x in held], np.int64)[line]
+            order = np.argsort(h)
+            first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
+            least = np.empty(len(h), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
+            for settled in (True, False):
+                on = np.flatnonzero((ids > least) == settled)
+                if not len(on):
+                    continue
+                at = _runs(line[on], *(() if settled else (anchor[on],)), pos=pos[on])
+                count = np.diff(np.append(at, len(on)))
+                k = on[at]
+                listed = pa.nulls(len(at), pa.list_(pa.int64())) if settled else pa.ListArray.from_arrays(pa.array(np.append(at, len(on)).astype(np.int32)), pa.array(h[on].view(np.int64)))
+                deal = mix(ids[k].view(np.uint64)) if settled else anchor[k]
+                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[k]), pa.array(bodies[k]), pa.array(pos[k].astype(np.int32)), pa.array(count.astype(np.int32)), listed], ["deal", "id", "body", "start", "n", "windows"])
 
         for b in batches:
             for i, body, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                h = windows(t.as_py(), width)
+                ws = word_hashes(t.as_py())
+                h = windows(ws, width)
                 at = estimate.repeated(h)
                 if len(at) and i is not None:
-                    held.append((i, body, h[at], at))
+                    held.append((i, body, h[at], at, anchors(ws, width)[at]))
                     n += len(at)
                     if n >= _FLUSH:
                         yield from flush()
@@ -201,57 +233,48 @@ def repeated_starts(spark: SparkSession, rows: DataFrame, width: int = 13, sketc
         last_window, least = None, None
         kept: list[tuple] = []
         n = 0
+
+        def flush():
+            ids, bodies, pos = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((pos, bodies, ids))
+            ids, bodies, pos = ids[order], bodies[order], pos[order]
+            at = _runs(ids, bodies, pos=pos)
+            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(bodies[at]), pa.array(pos[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(pos))).astype(np.int32))], ["id", "body", "start", "n"])
+
         for b in batches:
-            if not len(b):
-                continue
-            done = b.filter(b.column(4).is_valid())
+            done = b.filter(b.column(0).is_null())
             if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), done.column(4)], ["id", "body", "starts"])
-            b = b.filter(b.column(4).is_null())
+                yield pa.RecordBatch.from_arrays([done.column(k) for k in range(1, 5)], ["id", "body", "start", "n"])
+            b = b.filter(b.column(0).is_valid())
             if not len(b):
                 continue
             h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
             new = np.concatenate(([last_window is None or h[0] != last_window], h[1:] != h[:-1]))
-            firsts = ids[new]
-            smallest = np.concatenate(([least if least is not None else ids[0]], firsts))[np.cumsum(new)]
+            smallest = np.concatenate(([least if least is not None else ids[0]], ids[new]))[np.cumsum(new)]
             late = ids > smallest
             last_window, least = h[-1], smallest[-1]
-            kept.append((ids[late], b.column(2).to_numpy()[late], b.column(3).to_numpy()[late]))
-            n += int(late.sum())
+            if late.any():
+                kept.append((ids[late], b.column(2).to_numpy()[late], b.column(3).to_numpy()[late]))
+                n += int(late.sum())
             if n >= _FLUSH:
-                yield from _by_row(*(np.concatenate(x) for x in zip(*kept, strict=True)), False)
+                yield flush()
                 kept, n = [], 0
         if kept:
-            yield from _by_row(*(np.concatenate(x) for x in zip(*kept, strict=True)), False)
-
-    found = rows.mapInArrow(second, "window long, id long, body long, start int, starts binary")
-    # Lines that are settled already have no window; they are dealt by their row.
-    dealt = found.withColumn("deal", F.coalesce("window", F.xxhash64("id", "body"))).repartition(partitions(spark), "deal").sortWithinPartitions("window", "id").drop("deal")
-    return dealt.mapInArrow(exact, "id long, body long, starts binary")
-
-
-def _by_row(ids: np.ndarray, bodies: np.ndarray, pos: np.ndarray, settled: bool):
-    """Positions packed by row; settled lines fit the shuffle's schema."""
-    if not len(ids):
-        return
-    order = np.lexsort((pos, bodies, ids))
-    ids, bodies, pos = ids[order], bodies[order], pos[order]
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (bodies[1:] != bodies[:-1]))))
-    packed = pa.array([_pack(p) for p in np.split(pos, first[1:])], pa.binary())
-    i, b = pa.array(ids[first]), pa.array(bodies[first])
-    if settled:
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.int64()), i, b, pa.nulls(len(first), pa.int32()), packed], ["window", "id", "body", "start", "starts"])
-    else:
-        yield pa.RecordBatch.from_arrays([i, b, packed], ["id", "body", "starts"])
-
-
-def covered(n_words: int, starts: list[bytes], width: int) -> np.ndarray:
-    """Which of n_words words lie in a window that starts at one of the packed positions."""
+            yield flush()
+
+    found = rows.mapInArrow(second, "deal long, id long, body long, start int, n int, windows array<long>")
+    dealt = found.repartition(partitions(spark), "deal").select("id", "body", "start", "n", F.posexplode_outer("windows").alias("k", "window"))
+    lined = dealt.select("window", "id", "body", (F.col("start") + F.coalesce("k", F.lit(0))).cast("int").alias("start"), "n").sortWithinPartitions("window", "id")
+    return lined.mapInArrow(exact, "id long, body long, start int, n int")
+
+
+def covered(n_words: int, runs: list[dict], width: int) -> np.ndarray:
+    """Which of n_words words lie in a window of one of the runs {start, n}."""
     edge = np.zeros(n_words + 1, np.int64)
-    for s in starts:
-        p = np.frombuffer(s, "<u4").astype(np.int64)
-        np.add.at(edge, p, 1)
-        np.add.at(edge, p + width, -1)
+    if runs:
+        start, n = np.array([r["start"] for r in runs]), np.array([r["n"] for r in runs])
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + n - 1 + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -264,7 +287,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     empty one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).select("id", "body", "text")
-    starts = repeated_starts(spark, rows, width).groupBy("id", "body").agg(F.collect_list("starts").alias("starts"))
+    runs = repeated_runs(spark, rows, width).groupBy("id", "body").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def cut(batches):
         for b in batches:
@@ -278,7 +301,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
                 text.append(b" ".join(w for w, d in zip(ws, drop.tolist(), strict=True) if not d) if n else b" ".join(ws))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_words", "n_removed"])
 
-    joined = rows.join(starts, ["id", "body"], "left").select("id", "text", "starts")
+    joined = rows.join(runs, ["id", "body"], "left").select("id", "text", "runs")
     return joined.mapInArrow(cut, "id long, text string, n_words long, n_removed long")
 
 
