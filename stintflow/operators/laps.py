@@ -94,7 +94,7 @@ def finalise_partials(merged: DataFrame, keys: list[str], channels: list[str], s
     """Mean, sample spread, extremes and shares from merged partials."""
     out = [F.col("rows").alias("n_samples")]
     for c in channels:
-        out += [F.col(f"{c}_mean"), F.sqrt(F.greatest(F.try_divide(F.col(f"{c}_m2"), F.when(F.col(f"{c}_n") > 1, F.col(f"{c}_n") - 1)), F.lit(0.0))).alias(f"{c}_std"), F.col(f"{c}_min"), F.col(f"{c}_max")]
+        out += [F.col(f"{c}_mean"), F.when(F.col(f"{c}_n") > 1, F.sqrt(F.greatest(F.col(f"{c}_m2"), F.lit(0.0)) / (F.col(f"{c}_n") - 1))).alias(f"{c}_std"), F.col(f"{c}_min"), F.col(f"{c}_max")]
     return merged.select(*keys, *out, *[(F.col(f"{n}_count") / F.col("rows")).alias(f"{n}_share") for n in shares])
 
 
