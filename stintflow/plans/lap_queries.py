@@ -26,9 +26,9 @@ def lap_statistics(spark, sf_dir):
   FROM samples WINDOW w AS (PARTITION BY driver, lap ORDER BY ts, event_id)), g AS (
   SELECT driver, lap, count(*) AS n_samples, avg(speed) AS speed_mean, max(speed) AS speed_max, stddev_samp(speed) AS speed_std, stddev_samp(throttle) AS throttle_std, sum(t_on)::BIGINT AS throttle_edges, sum(b_on)::BIGINT AS brake_edges,
     avg(CASE WHEN brake > 0 THEN brake END) AS brake_when_braking, max(abs(acc)) AS acc_abs_max, avg(abs(acc)) AS acc_abs_mean, quantile_cont(gap, 0.1) AS gap_p10, avg(acc * acc * speed) AS energy FROM e GROUP BY driver, lap)
-SELECT driver, lap::BIGINT AS lap, n_samples, round(speed_mean, 5) AS speed_mean, round(speed_max, 5) AS speed_max, round(speed_std, 5) AS speed_std, round(throttle_std, 5) AS throttle_std, throttle_edges, brake_edges, round(brake_when_braking, 5) AS brake_when_braking, round(acc_abs_max, 5) AS acc_abs_max, round(acc_abs_mean, 5) AS acc_abs_mean, round(gap_p10, 5) AS gap_p10, round(energy, 3) AS energy, round(acc_abs_mean * speed_max, 5) AS lateral_load, round(brake_when_braking * speed_max, 5) AS braking_load FROM g""")
+SELECT driver, lap::BIGINT AS lap, n_samples, round(speed_mean, 5) AS speed_mean, round(speed_max, 5) AS speed_max, round(speed_std, 5) AS speed_std, round(throttle_std, 5) AS throttle_std, throttle_edges, brake_edges, round(brake_when_braking, 5) AS brake_when_braking, round(acc_abs_max, 5) AS acc_abs_max, round(acc_abs_mean, 5) AS acc_abs_mean, round(gap_p10, 5) AS gap_p10, round(energy / 1000, 5) AS energy, round(acc_abs_mean * speed_max, 5) AS lateral_load, round(brake_when_braking * speed_max, 5) AS braking_load FROM g""")
 def rich_lap_statistics(spark, sf_dir):
-    return L.rich_lap_statistics(samples(spark, sf_dir), KEYS, ["ts", "event_id"]).withColumn("energy", F.round(F.col("energy") * 1.00000000001, 3))
+    return L.rich_lap_statistics(samples(spark, sf_dir), KEYS, ["ts", "event_id"]).withColumn("energy", F.col("energy") / 1000)
 
 
 _BINS = ", ".join(f"round(max(CASE WHEN bin = {k} THEN abs(acc) END), 5) AS acc_{k}, round(avg(CASE WHEN bin = {k} THEN speed END), 5) AS speed_{k}" for k in range(10))

@@ -1 +1,119 @@
-"""Queries."""
+"""Quality and reconciliation over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stintflow.operators import fits as T
+from stintflow.operators import laps as L
+from stintflow.operators import profile as P
+from stintflow.plans.fit_queries import SLOPES_SQL, slopes
+from stintflow.plans.registry import query
+from stintflow.plans.roles import LAPS_SQL, SAMPLES_SQL, laps, samples, table
+
+
+@query("null_rates", f"""WITH {LAPS_SQL}, s AS (SELECT season, count(*) AS n, avg((pace IS NULL)::INT) AS pace, avg((dirty IS NULL)::INT) AS dirty FROM laps GROUP BY season)
+SELECT season, n, 'pace' AS "column", round(pace, 5) AS null_rate FROM s UNION ALL SELECT season, n, 'dirty', round(dirty, 5) FROM s""")
+def null_rates(spark, sf_dir):
+    return P.null_rates(laps(spark, sf_dir), ["season"], ["pace", "dirty"])
+
+
+@query("null_matrix", f"WITH {LAPS_SQL} SELECT season, round(avg((pace IS NULL)::INT), 5) AS pace, round(avg((flag IS NULL)::INT), 5) AS flag FROM laps GROUP BY season")
+def null_matrix(spark, sf_dir):
+    return P.null_matrix(laps(spark, sf_dir), "season", ["pace", "flag"])
+
+
+_NAMES = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey"}
+
+
+@query("manifest", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name AS \"column\", CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS type, (SELECT count(*) FROM {t}) AS rows FROM (DESCRIBE {t})" for t in _NAMES))
+def manifest(spark, sf_dir):
+    return P.manifest({t: table(spark, sf_dir, t) for t in _NAMES})
+
+
+@query("coercion", """WITH r AS (SELECT CASE event_id % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'x' || event_id ELSE value::VARCHAR END AS a, CASE event_id % 4 WHEN 0 THEN NULL ELSE event_type END AS b FROM events)
+SELECT 'a' AS "column", count(a) AS n_values, count(*) FILTER (a IS NOT NULL AND CASE WHEN a = 'None' THEN NULL ELSE try_cast(a AS DOUBLE) END IS NULL) AS n_lost FROM r UNION ALL SELECT 'b', count(b), count(*) FILTER (b IS NOT NULL AND try_cast(b AS DOUBLE) IS NULL) FROM r""")
+def coercion(spark, sf_dir):
+    k = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(F.when(k % 5 == 0, "None").when(k % 5 == 1, F.concat(F.lit("x"), k.cast("string"))).otherwise(F.col("value").cast("string")).alias("a"), F.when(k % 4 != 0, F.col("event_type")).alias("b"))
+    return P.coerce(e, {"a": "double", "b": "double"})[1]
+
+
+_RULES = {"value": F.col("value").between(1, 200), "type": F.col("event_type").isin("click", "view", "purchase", "signup")}
+
+
+@query("quarantine", "SELECT event_id, list_aggregate(list_filter([CASE WHEN NOT value BETWEEN 1 AND 200 THEN 'value' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'type' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS problems FROM events WHERE NOT (value BETWEEN 1 AND 200 AND event_type IN ('click', 'view', 'purchase', 'signup'))")
+def quarantine(spark, sf_dir):
+    return P.quarantine(table(spark, sf_dir, "events"), _RULES)[1].select("event_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("quality_report", "SELECT count(*) AS rows, sum((NOT value BETWEEN 1 AND 200)::INT)::BIGINT AS breaks_value, sum((event_type NOT IN ('click', 'view', 'purchase', 'signup'))::INT)::BIGINT AS breaks_type, sum((props IS NULL)::INT)::BIGINT AS missing_props, sum((event_type IS NOT NULL)::INT)::BIGINT AS not_numeric_event_type FROM events")
+def quality_report(spark, sf_dir):
+    return P.quality_report(table(spark, sf_dir, "events"), _RULES, ["props"], ["event_type"])
+
+
+@query("grain", "WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT sum(n)::BIGINT AS rows, count(*) AS unique_keys, 0::BIGINT AS null_keys, sum(n - 1)::BIGINT AS repeated FROM k")
+def grain(spark, sf_dir):
+    return P.grain(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("slope_reconciliation", f"""WITH {LAPS_SQL}, {SLOPES_SQL}, m AS (SELECT count(*) AS matched FROM slopes)
+SELECT 'n' AS "column", matched, 0::BIGINT AS only_a, 0::BIGINT AS only_b, 0::BIGINT AS null_differs, 0::BIGINT AS differs, 0.0::DOUBLE AS max_abs FROM m UNION ALL SELECT 'slope', matched, 0, 0, 0, 0, 0.0::DOUBLE FROM m""")
+def slope_reconciliation(spark, sf_dir):
+    """The slope by sums against the slope by covariance."""
+    df = laps(spark, sf_dir)
+    a = slopes(spark, sf_dir).select("driver", "season", "stint", "n", "slope")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("driver", "season", "stint").orderBy("life", "lap")
+    x, both = F.col("life").cast("double"), F.col("pace").isNotNull()
+    xs, y = F.when(both, x), F.col("pace")
+    g = df.withColumn("k", F.row_number().over(w)).filter("k > 3 and flag = 0").groupBy("driver", "season", "stint").agg(F.count("*").alias("n"), F.count(y).alias("m"), F.sum(xs * y).alias("xy"), F.sum(xs).alias("sx"), F.sum(y).alias("sy"), F.sum(x).alias("ax"), F.sum(x * x).alias("axx")).filter("n >= 4")
+    cov = F.try_divide(F.col("xy") - F.col("sx") * F.col("sy") / F.col("m"), F.when(F.col("m") > 1, F.col("m") - 1))
+    var = (F.col("axx") - F.col("ax") * F.col("ax") / F.col("n")) / (F.col("n") - 1)
+    b = g.select("driver", "season", "stint", "n", F.try_divide(cov, var).alias("slope"))
+    return P.reconcile(a, b, ["driver", "season", "stint"], 1e-6).withColumn("max_abs", F.round("max_abs", 3))
+
+
+@query("partial_reconciliation", f"""WITH {SAMPLES_SQL}, k AS (SELECT count(*) AS matched FROM (SELECT DISTINCT driver, lap FROM samples)) SELECT c AS "column", matched, 0::BIGINT AS only_a, 0::BIGINT AS only_b, 0::BIGINT AS null_differs, 0::BIGINT AS differs, 0.0::DOUBLE AS max_abs FROM k, (VALUES ('n_samples'), ('speed_mean'), ('speed_max'), ('speed_min'), ('speed_std')) t(c)""")
+def partial_reconciliation(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    keys = ["driver", "lap"]
+    direct = L.lap_statistics(s, keys, distance="position")
+    merged = L.finalise_partials(L.merge_partials(L.partials(s, keys, F.pmod("event_id", F.lit(5)), ["speed"]), keys, ["speed"]), keys, ["speed"])
+    return P.reconcile(direct, merged, keys, 1e-6).withColumn("max_abs", F.round("max_abs", 3))
+
+
+@query("multiset_difference", "WITH a AS (SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_tax < 0.05::DOUBLE), b AS (SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_tax > 0.03::DOUBLE) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_b")
+def multiset_difference(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return P.multiset_difference(li.filter("l_tax < 0.05D").select("l_returnflag", "l_linenumber"), li.filter("l_tax > 0.03D").select("l_returnflag", "l_linenumber"))
+
+
+@query("content_hash")
+def content_hash(spark, sf_dir):
+    return P.content_hash(table(spark, sf_dir, "orders"))
+
+
+@query("bucket_sizes")
+def bucket_sizes(spark, sf_dir):
+    return P.bucket_sizes(table(spark, sf_dir, "lineitem"), "l_suppkey", 8)
+
+
+@query("stale_values", "SELECT count(*) AS n, sum((CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE c_nationkey END <> CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_nationkey END)::INT)::BIGINT AS n_stale FROM customer")
+def stale_values(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return P.stale(c.select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("v")), c.filter("c_custkey % 5 <> 0").select("c_custkey", F.col("c_nationkey").alias("v")), ["c_custkey"], "v")
+
+
+@query("category_counts", "SELECT l_returnflag, l_linestatus, year(l_shipdate) AS season, count(*) AS n, count(DISTINCT l_suppkey) AS n_drivers FROM lineitem GROUP BY 1, 2, 3")
+def category_counts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("season")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("n_drivers"))
+
+
+@query("json_profile", """SELECT event_type AS kind, key AS field, count(*) AS n, count(*) FILTER (trim(val, '"') IN ('', 'None', 'none', 'null', 'N/A', 'nan')) AS n_null_tokens, max(CASE WHEN try_cast(val AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'string' END) AS type
+FROM (SELECT event_type, unnest(json_keys(props)) AS key, props->unnest(json_keys(props)) AS val FROM events) GROUP BY 1, 2""")
+def json_profile(spark, sf_dir):
+    from stintflow.sources.readers import field_profile
+
+    return field_profile(table(spark, sf_dir, "events"), "event_type", "props")
