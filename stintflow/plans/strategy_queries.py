@@ -1 +1,165 @@
-"""Queries."""
+"""Plan costing over the lap view: a supplier's year is a race with its decision at three fifths of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stintflow.operators import strategy as G
+from stintflow.plans.registry import query
+from stintflow.plans.roles import LAPS_SQL, laps, table
+
+K = ["driver", "season"]
+POOL = ["A", "N", "R"]
+_PARAMETERS = [("A", 0.05, 0.02, 0.0, 25.0, 0.4), ("N", 0.09, 0.03, -0.3, 18.0, 0.3), ("R", 0.12, 0.05, -0.6, 12.0, 0.2)]
+_SCENARIOS = [("clean", 1.0, 0.0, 21.0), ("traffic", 1.15, 0.2, 21.0), ("control", 1.0, 0.0, 7.0)]
+
+
+def _parameters(spark):
+    p = spark.createDataFrame(_PARAMETERS, "compound string, beta double, sigma double, offset double, cliff double, censor double")
+    return p.withColumn("quantiles", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.col("cliff") + k * 2.0))
+
+
+def _scenarios(spark):
+    return spark.createDataFrame(_SCENARIOS, "scenario string, beta_mult double, penalty double, pit_loss double")
+
+
+def _states(spark, sf_dir):
+    df = laps(spark, sf_dir)
+    d = df.groupBy(*K).agg(F.max("lap").alias("n_laps")).withColumn("cur_lap", F.floor(F.col("n_laps") * 0.6).cast("int")).filter("cur_lap >= 1")
+    return G.decision_state(df, d, K, "lap", "pace", "stint", "life", "temp").withColumn("wet", (F.col("driver") % 10 == 0))
+
+
+_STATES_SQL = """d AS (SELECT driver, season, max(lap) AS n_laps, floor(max(lap) * 0.6::DOUBLE)::INT AS cur_lap FROM laps GROUP BY 1, 2 HAVING floor(max(lap) * 0.6::DOUBLE) >= 1),
+st AS (SELECT driver, season, any_value(n_laps) AS n_laps, any_value(cur_lap) AS cur_lap, arg_max_null(stint, lap) AS compound, arg_max_null(life, lap) AS "into", arg_max(pace, CASE WHEN pace IS NOT NULL THEN lap END) AS base_pace, coalesce(arg_max_null(temp, lap), 36.0) AS temp, list_sort(list_distinct(list(stint))) AS used, driver % 10 = 0 AS wet FROM laps JOIN d USING (driver, season) WHERE lap <= cur_lap GROUP BY driver, season)"""
+_CANDIDATES_SQL = """pool AS (SELECT * FROM (VALUES ('A'), ('N'), ('R')) t(c)),
+one AS (SELECT driver, season, 1 AS kind, p1, 0 AS p2, c AS c1, '' AS c2 FROM (SELECT *, unnest(generate_series(cur_lap + 2, n_laps - 3, 2)) AS p1 FROM st), pool WHERE wet OR len(list_distinct(list_append(used, c))) >= 2),
+two AS (SELECT driver, season, 2 AS kind, p1, p2, a.c AS c1, b.c AS c2 FROM (SELECT *, unnest(generate_series(p1 + 6, n_laps - 3, 4)) AS p2 FROM (SELECT *, unnest(generate_series(cur_lap + 3, n_laps - 11, 4)) AS p1 FROM st)), pool a, pool b WHERE wet OR len(list_distinct(list_concat(used, [a.c, b.c]))) >= 2),
+zero AS (SELECT driver, season, 3 AS kind, 0 AS p1, 0 AS p2, '' AS c1, '' AS c2 FROM st WHERE wet OR len(used) >= 2 OR n_laps - 3 < cur_lap + 2),
+allp AS (SELECT *, row_number() OVER (PARTITION BY driver, season ORDER BY kind, p1, p2, c1, c2) - 1 AS r, count(*) OVER (PARTITION BY driver, season) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM zero))"""
+
+
+def _thinned(most: int) -> str:
+    return f"plans AS (SELECT driver, season, kind % 3 AS stops, p1, p2, c1, c2, row_number() OVER (PARTITION BY driver, season ORDER BY r) AS plan_id FROM allp WHERE n <= {most} OR r IN (SELECT floor(j * ((n - 1) / {most - 1}::DOUBLE))::BIGINT FROM generate_series(0, {most - 1}) t(j)))"
+
+
+_STINTS_SQL = """ps AS (SELECT driver, season, plan_id, stops, 0 AS place, st.compound AS own, CASE WHEN stops = 0 THEN n_laps ELSE p1 END AS end_lap, cur_lap AS start_lap FROM plans JOIN st USING (driver, season)
+  UNION ALL SELECT driver, season, plan_id, stops, 1, c1, CASE WHEN stops = 1 THEN n_laps ELSE p2 END, p1 FROM plans JOIN st USING (driver, season) WHERE stops >= 1
+  UNION ALL SELECT driver, season, plan_id, stops, 2, c2, n_laps, p2 FROM plans JOIN st USING (driver, season) WHERE stops = 2),
+par AS (SELECT * FROM (VALUES ('A', 0.05::DOUBLE, 0.02::DOUBLE, 0.0::DOUBLE, 25.0::DOUBLE, 0.4::DOUBLE), ('N', 0.09, 0.03, -0.3, 18.0, 0.3), ('R', 0.12, 0.05, -0.6, 12.0, 0.2)) t(compound, beta, sigma, off, cliff, censor)),
+sce AS (SELECT * FROM (VALUES ('clean', 1.0::DOUBLE, 0.0::DOUBLE, 21.0::DOUBLE), ('traffic', 1.15, 0.2, 21.0), ('control', 1.0, 0.0, 7.0)) t(scenario, beta_mult, penalty, pit_loss)),
+pl AS (SELECT ps.*, ps.end_lap - ps.start_lap AS len, greatest(st."into" - 1, 0) AS k0, st.base_pace, st.n_laps, o.beta AS ob, o.sigma AS os, o.off AS oo, o.cliff AS ok, o.censor AS oc, c.beta AS cb, c.sigma AS cs, c.off AS co FROM ps JOIN st USING (driver, season) JOIN par o ON o.compound = ps.own JOIN par c ON c.compound = st.compound)"""
+_COST = """len * (base + pen) + b * len * (len + 1) / 2 + 1.5::DOUBLE * m + 0.15::DOUBLE * m * (m + 1) / 2 + CASE WHEN place = 0 THEN b * k0 * len ELSE 0 END"""
+_EXPECTED_SQL = f"""ex AS (SELECT scenario, driver, season, plan_id, stops, sum({_COST}) + any_value(stops) * (any_value(pit_loss) + 2.0) AS cost FROM (
+  SELECT *, greatest(len - greatest(ok - CASE WHEN place = 0 THEN k0 ELSE 0 END, 0), 0) AS m FROM (SELECT *, base_pace - cb * k0 + CASE WHEN place = 0 THEN 0 ELSE oo - co END AS base, penalty AS pen, ob * beta_mult AS b FROM pl, sce)) GROUP BY scenario, driver, season, plan_id, stops)"""
+
+
+def _plans(spark, sf_dir, most):
+    states = _states(spark, sf_dir)
+    return states, G.candidates(states, K, POOL, most)
+
+
+@query("decision_states", f"WITH {LAPS_SQL}, {_STATES_SQL} SELECT driver, season, n_laps::BIGINT AS n_laps, cur_lap::BIGINT AS cur_lap, compound, \"into\"::BIGINT AS \"into\", round(base_pace, 5) AS base_pace, round(temp, 5) AS temp, list_aggregate(used, 'string_agg', ',') AS used, wet::INT::BIGINT AS wet FROM st")
+def decision_states(spark, sf_dir):
+    return _states(spark, sf_dir).withColumn("used", F.array_join("used", ",")).select(*K, "n_laps", "cur_lap", "compound", "into", "base_pace", "temp", "used", "wet")
+
+
+@query("candidate_plans", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(200)}
+SELECT driver, season, plan_id, stops::BIGINT AS stops, st.compound || '->' || CASE stops WHEN 0 THEN 'end' WHEN 1 THEN p1 || ' | ' || c1 || '->end' ELSE p1 || ' | ' || c1 || '->' || p2 || ' | ' || c2 || '->end' END AS plan FROM plans JOIN st USING (driver, season)""")
+def candidate_plans(spark, sf_dir):
+    from stintflow.functions.scalars import format_plan
+
+    states, plans = _plans(spark, sf_dir, 200)
+    return plans.join(states.select(*K, "n_laps"), K).select(*K, "plan_id", "stops", format_plan(F.col("plan"), F.col("n_laps")).alias("plan"))
+
+
+@query("expected_costs", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(60)}, {_STINTS_SQL}, {_EXPECTED_SQL} SELECT scenario, driver, season, plan_id, stops::BIGINT AS stops, round(cost, 3) AS cost FROM ex""", 3)
+def expected_costs(spark, sf_dir):
+    states, plans = _plans(spark, sf_dir, 60)
+    return G.expected_costs(G.plan_stints(plans, states, K), _parameters(spark), K, _scenarios(spark))
+
+
+_BEST_SQL = "be AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY scenario, driver, season ORDER BY round(cost, 6), plan_id) = 1)"
+
+
+def _best(spark, sf_dir, parameters=None):
+    states, plans = _plans(spark, sf_dir, 60)
+    ex = G.expected_costs(G.plan_stints(plans, states, K), parameters if parameters is not None else _parameters(spark), K, _scenarios(spark))
+    return G.best_of(ex.withColumn("cost", F.round(F.col("cost") * 1.00000000001, 6)), ["scenario", *K])
+
+
+@query("branch_summary", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(60)}, {_STINTS_SQL}, {_EXPECTED_SQL}, {_BEST_SQL}
+SELECT driver, season, g.plan_id AS green_plan, round(g.cost, 3) AS green_cost, c.plan_id AS neutral_plan, round(c.cost, 3) AS neutral_cost, round(c.cost - g.cost, 3) + 0.0 AS difference FROM be g JOIN be c USING (driver, season) WHERE g.scenario = 'clean' AND c.scenario = 'control'""", 3)
+def branch_summary(spark, sf_dir):
+    return G.branch_summary(_best(spark, sf_dir), K, "clean", "control")
+
+
+def _uniform(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)"
+
+
+def _normal(*parts: str) -> str:
+    return f"sqrt(-2 * ln({_uniform(*parts, chr(39) + 'a' + chr(39))})) * cos(2 * pi() * {_uniform(*parts, chr(39) + 'b' + chr(39))})"
+
+
+_WHO = ("'s'", "driver", "season", "draw")
+_DRAWN_SQL = f"""dr AS (SELECT *, least(greatest(cb + cs * {_normal(*_WHO, "'0'", "'beta'")}, 0.005), least(greatest(cb, 0) * 4 + 0.15, 1.0)) AS bc, least(greatest(ob + os * {_normal(*_WHO, "place", "'beta'")}, 0.005), least(greatest(ob, 0) * 4 + 0.15, 1.0)) AS bo,
+  {_uniform(*_WHO, "place", "'censor'")} AS u, {_uniform(*_WHO, "place", "'cliff'")} AS q, {_uniform(*_WHO, "'control'")} AS v FROM pl, generate_series(1, 12) t(draw)),
+dc AS (SELECT driver, season, plan_id, stops, draw, sum({_COST} + CASE WHEN place < stops THEN CASE WHEN end_lap >= sc AND end_lap < sc + 3 THEN 7.0 ELSE 21.0 END + 2.0 ELSE 0 END) AS cost FROM (
+  SELECT *, greatest(len - greatest(cl, 0), 0) AS m FROM (SELECT *, base_pace - bc * k0 + CASE WHEN place = 0 THEN 0 ELSE oo - co END AS base, 0.0 AS pen, CASE WHEN place = 0 THEN bc ELSE bo END AS b,
+  CASE WHEN u < oc THEN 1e9 ELSE ok + floor(q * 5) * 2 END - CASE WHEN place = 0 THEN k0 ELSE 0 END AS cl, floor(v * 4 * n_laps) + 1 AS sc FROM dr)) GROUP BY driver, season, plan_id, stops, draw)"""
+
+
+def _drawn(spark, sf_dir):
+    states, plans = _plans(spark, sf_dir, 12)
+    return G.drawn_costs(G.plan_stints(plans, states, K), _parameters(spark), K, 12)
+
+
+@query("ranked_plans", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(12)}, {_STINTS_SQL}, {_DRAWN_SQL}, rk AS (SELECT driver, season, plan_id, stops, avg(cost) AS mean, stddev_pop(cost) AS std, quantile_cont(cost, 0.05) AS p5, quantile_cont(cost, 0.95) AS p95 FROM dc GROUP BY 1, 2, 3, 4)
+SELECT driver, season, plan_id, stops::BIGINT AS stops, round(mean, 3) AS mean, round(std, 3) AS std, round(p5, 3) AS p5, round(p95, 3) AS p95, row_number() OVER (PARTITION BY driver, season ORDER BY mean, plan_id) AS rank, round(mean - min(mean) OVER (PARTITION BY driver, season), 3) + 0.0 AS delta_vs_best FROM rk""", 3)
+def ranked_plans(spark, sf_dir):
+    return G.ranked(_drawn(spark, sf_dir), K)
+
+
+@query("paired_plans", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(12)}, {_STINTS_SQL}, {_DRAWN_SQL}, pd AS (SELECT a.driver, a.season, b.cost - a.cost AS d FROM dc a JOIN dc b ON a.driver = b.driver AND a.season = b.season AND a.draw = b.draw WHERE a.plan_id = 1 AND b.plan_id = 2)
+SELECT driver, season, round(avg(d), 3) + 0.0 AS mean_gain, round(quantile_cont(d, 0.05), 3) + 0.0 AS low, round(quantile_cont(d, 0.95), 3) + 0.0 AS high, round(avg((d > 0)::INT), 3) AS win_share FROM pd GROUP BY 1, 2""", 3)
+def paired_plans(spark, sf_dir):
+    costs = _drawn(spark, sf_dir)
+    pick = lambda i: costs.select(*K, "plan_id").filter(F.col("plan_id") == i).distinct()
+    return G.paired(costs, K, pick(1), pick(2))
+
+
+_REAL_SQL = "re AS (SELECT driver, season, count(*) AS n, sum(pace) AS realised FROM laps JOIN st USING (driver, season) WHERE lap > st.cur_lap AND laps.pace IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
+@query("backtest", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(60)}, {_STINTS_SQL}, {_EXPECTED_SQL}, {_BEST_SQL}, {_REAL_SQL}, bt AS (SELECT re.realised / re.n - be.cost / (st.n_laps - st.cur_lap) AS gain, be.stops = 1 AS m FROM re JOIN be USING (driver, season) JOIN st USING (driver, season) WHERE be.scenario = 'clean'),
+x AS (SELECT 'all' AS part, gain FROM bt UNION ALL SELECT CASE WHEN m THEN 'same stops' ELSE 'other stops' END, gain FROM bt)
+SELECT part, count(*) AS n, round(avg((gain > 0)::INT), 4) AS win_share, round(median(gain), 4) + 0.0 AS median_gain, round(quantile_cont(gain, 0.1), 4) + 0.0 AS p10, round(quantile_cont(gain, 0.9), 4) + 0.0 AS p90 FROM x GROUP BY part""", 4)
+def backtest(spark, sf_dir):
+    states = _states(spark, sf_dir)
+    best = _best(spark, sf_dir).filter("scenario = 'clean'")
+    real = G.realised(laps(spark, sf_dir), states, K, "lap", "pace")
+    df = real.join(best, K).join(states.select(*K, "n_laps", "cur_lap"), K).select((F.col("realised") / F.col("n") - F.col("cost") / (F.col("n_laps") - F.col("cur_lap"))).alias("gain"), (F.col("stops") == 1).alias("m"))
+    return G.backtest_summary(df, "gain", "m")
+
+
+@query("calibration", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_REAL_SQL}, rs AS (SELECT base_pace * re.n - realised AS r, re.n * (n_laps - cur_lap) / 2.0 AS w FROM re JOIN st USING (driver, season)), g AS (SELECT drift, r + drift * w AS x FROM rs, (VALUES (-0.05::DOUBLE), (0.0), (0.05)) t(drift)), md AS (SELECT drift, median(x) AS med, avg(x) AS mean, count(*) AS n FROM g GROUP BY 1)
+SELECT g.drift, any_value(n)::BIGINT AS n, round(any_value(mean), 4) + 0.0 AS mean, round(any_value(med), 4) + 0.0 AS median, round(median(abs(x - med)), 4) AS mad FROM g JOIN md USING (drift) GROUP BY g.drift""", 4)
+def calibration(spark, sf_dir):
+    states = _states(spark, sf_dir)
+    r = G.realised(laps(spark, sf_dir), states, K, "lap", "pace").join(states, K).select((F.col("base_pace") * F.col("n") - F.col("realised")).alias("r"), (F.col("n") * (F.col("n_laps") - F.col("cur_lap")) / 2).alias("w"))
+    return G.calibration(r, "r", "w", [-0.05, 0.0, 0.05])
+
+
+@query("executed_stints", f"""WITH {LAPS_SQL}, s AS (SELECT driver, season, stint, min(lap) AS f, max(lap) AS l, count(*) AS n FROM laps GROUP BY 1, 2, 3), e AS (SELECT driver, season, list({{'f': f, 'l': l, 'c': stint}} ORDER BY f) AS s, max(l) AS n_laps FROM s GROUP BY 1, 2)
+SELECT driver, season, s[1].l::BIGINT AS decision_lap, len(s) AS n_stints, CASE WHEN len(s) < 2 THEN 'one stint' WHEN s[1].l - s[1].f + 1 < 4 THEN 'short first stint' WHEN n_laps - s[1].l < 8 THEN 'too late' WHEN s[-1].l < n_laps - 3 THEN 'not finished' END AS skipped FROM e""")
+def executed_stints(spark, sf_dir):
+    df = laps(spark, sf_dir)
+    e = G.executed_stints(df, K, "stint", "stint", "lap").join(df.groupBy(*K).agg(F.max("lap").alias("n_laps")), K)
+    return G.decision_points(e, "n_laps", ["WET"]).select(*K, "decision_lap", F.size("stints").alias("n_stints"), "skipped")
+
+
+@query("ablation")
+def ablation(spark, sf_dir):
+    base = _best(spark, sf_dir).filter("scenario = 'clean'")
+    variant = _best(spark, sf_dir, _parameters(spark).withColumn("beta", F.col("beta") * 1.5)).filter("scenario = 'clean'")
+    return G.changed_share(base, variant, K)
