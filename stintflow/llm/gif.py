@@ -127,7 +127,7 @@ def _lockstep(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
     first_out = np.cumsum(pixels) - pixels
     out = np.zeros(int(pixels.sum()), np.uint8)
     cap = int(min(4096, pixels.max(initial=0) + 258))
-    starts, lengths = np.zeros((n, cap), np.int32), np.zeros((n, cap), np.int32)
+    entries = np.zeros(n * cap, np.int64)  # start of the string in out, and in the low 24 bits its length
     live = np.flatnonzero(pixels > 0)
     bit, width, following = base.copy(), small + 1, (1 << small) + 2
     before_at, before_len, put = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -154,9 +154,9 @@ def _lockstep(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
         literal = code < clear
         known = code < nxt
         bad = (~known & ((had == 0) | (code > nxt))) | (~literal & (had == 0))
-        slot = np.minimum(code, cap - 1)
-        src = np.where(known, starts[f, slot], before_at[f])
-        length = np.where(literal, 1, np.where(known, lengths[f, slot], had + 1))
+        entry = entries[f * cap + np.minimum(code, cap - 1)]
+        src = np.where(known, entry >> 24, before_at[f])
+        length = np.where(literal, 1, np.where(known, entry & 0xFFFFFF, had + 1))
         length = np.minimum(np.where(bad, 0, length), pixels[f] - put[f])
         to = first_out[f] + put[f]
         out[to[literal & (length > 0)]] = code[literal & (length > 0)]
@@ -169,8 +169,7 @@ def _lockstep(streams: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
         grows = (had > 0) & (nxt < 4096) & ~bad
         g = f[grows]
         fits = nxt[grows] < cap
-        starts[g[fits], nxt[grows][fits]] = before_at[g[fits]]
-        lengths[g[fits], nxt[grows][fits]] = had[grows][fits] + 1
+        entries[g[fits] * cap + nxt[grows][fits]] = (before_at[g[fits]] << 24) | (had[grows][fits] + 1)
         following[g] += 1
         wider = (following[g] == 1 << width[g]) & (width[g] < 12)
         width[g[wider]] += 1
@@ -188,7 +187,7 @@ def lzw_encode(frames: np.ndarray, min_code: int = 8) -> list[bytes]:
     n, pixels = frames.shape
     if not n:
         return []
-    room = max(1, min(n, 8_000_000 // (1 << (2 * min(pixels, 3838)).bit_length())))
+    room = max(1, min(n, 8_000_000 // (1 << min(pixels, 3838).bit_length())))
     out: list[bytes] = []
     for at in range(0, n, room):
         out += _encode(frames[at : at + room], min_code)
@@ -198,35 +197,39 @@ def lzw_encode(frames: np.ndarray, min_code: int = 8) -> list[bytes]:
 def _encode(frames: np.ndarray, min_code: int) -> list[bytes]:
     n, pixels = frames.shape
     clear = 1 << min_code
-    slots = 1 << (2 * min(pixels, 3838)).bit_length()
-    shift = np.uint32(32 - slots.bit_length() + 1)
-    keys, values = np.full((n, slots), -1, np.int32), np.zeros((n, slots), np.int16)
+    # One open-addressing table a frame: 20 bits of (prefix code, sample), 12 bits of the code that they got.
+    slots = 1 << min(pixels, 3838).bit_length()
+    shift = np.uint64(32 - slots.bit_length() + 1)
+    free = np.uint32(0xFFFFFFFF)
+    table = np.full(n * slots, free, np.uint32)
     codes = np.zeros((n, pixels + pixels // 3000 + 3), np.int16)
     widths = np.zeros(codes.shape, np.int8)
     count, width, following = np.ones(n, np.int64), np.full(n, min_code + 1, np.int64), np.full(n, clear + 2, np.int64)
     codes[:, 0], widths[:, 0] = clear, min_code + 1
-    current = frames[:, 0].astype(np.int32)
+    samples = np.ascontiguousarray(frames.T).astype(np.uint32)
+    current = samples[0]
     everyone = np.arange(n)
+    base = everyone * slots
     for k in range(1, pixels):
-        px = frames[:, k].astype(np.int32)
-        key = current * 256 + px
-        slot = ((key.astype(np.uint32) * np.uint32(2654435761)) >> shift).astype(np.int64)
-        look, found, free = everyone, np.full(n, -1, np.int32), np.empty(n, np.int64)
+        px = samples[k]
+        key = (current << np.uint32(8)) | px
+        at = base + (((key.astype(np.uint64) * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)) >> shift).astype(np.int64)
+        held = table[at]
+        hit = held >> np.uint32(12) == key
+        look = np.flatnonzero(~hit & (held != free))
         while len(look):
-            s = slot[look]
-            held = keys[look, s]
-            hit = held == key[look]
-            found[look[hit]] = values[look[hit], s[hit]]
-            free[look] = s
-            look = look[~hit & (held != -1)]
-            slot[look] = (slot[look] + 1) & (slots - 1)
-        new = np.flatnonzero(found < 0)
-        current = np.where(found >= 0, found, px)
+            at[look] = base[look] + ((at[look] - base[look] + 1) & (slots - 1))
+            there = table[at[look]]
+            same = there >> np.uint32(12) == key[look]
+            held[look], hit[look] = there, same
+            look = look[~same & (there != free)]
+        current = np.where(hit, held & np.uint32(4095), px)
+        new = np.flatnonzero(~hit)
         if not len(new):
             continue
         codes[new, count[new]], widths[new, count[new]] = key[new] >> 8, width[new]
         count[new] += 1
-        keys[new, free[new]], values[new, free[new]] = key[new], following[new]
+        table[at[new]] = (key[new] << np.uint32(12)) | following[new].astype(np.uint32)
         wider = following[new] == 1 << width[new]
         width[new[wider]] += 1
         following[new] += 1
@@ -234,7 +237,7 @@ def _encode(frames: np.ndarray, min_code: int) -> list[bytes]:
         if len(full):
             codes[full, count[full]], widths[full, count[full]] = clear, width[full]
             count[full] += 1
-            keys[full] = -1
+            table.reshape(n, slots)[full] = free
             width[full], following[full] = min_code + 1, clear + 2
     codes[everyone, count], widths[everyone, count] = current, width
     wider = (following == 1 << width) & (width < 12)
