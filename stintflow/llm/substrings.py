@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,117 +53,116 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix(h + np.uint64(row * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)
 
 
-class Sketch:
-    """A count-min sketch whose counters stop at 2, as two bit arrays a row: seen, and seen again.
+def pack_cells(c: np.ndarray) -> bytes:
+    """Sorted distinct cells of a block as gaps: a byte each, with the long ones (marked 255) listed behind."""
+    gaps = np.diff(c.astype(np.int64), prepend=-1) - 1
+    long = gaps >= 255
+    return len(gaps).to_bytes(4, "little") + np.where(long, 255, gaps).astype(np.uint8).tobytes() + gaps[long].astype("<u4").tobytes()
+
+
+def unpack_cells(b: bytes) -> np.ndarray:
+    n = int.from_bytes(b[:4], "little")
+    gaps = np.frombuffer(b, np.uint8, n, 4).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(b, "<u4", -1, 4 + n)
+    return np.cumsum(gaps + 1) - 1
 
-    Merging is (a or b, twice-a or twice-b or (a and b)), so partition sketches merge in any order, and an estimate is
-    never below the true count (up to 2).
-    """
 
-    def __init__(self, rows: int, bits: int):
-        self.rows, self.bits = rows, bits
-        self.once = np.zeros((rows, 1 << (bits - 3)), np.uint8)
-        self.twice = np.zeros_like(self.once)
-
-    def add(self, h: np.ndarray) -> None:
-        for r in range(self.rows):
-            c = np.sort(cells(h, r, self.bits))
-            again = np.zeros(len(c), bool)
-            again[1:] = c[1:] == c[:-1]
-            byte, bit = (c >> np.uint64(3)).astype(np.int64), np.left_shift(1, (c & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
-            held = (self.once[r][byte] & bit) > 0
-            _set(self.twice[r], byte[again | held], bit[again | held])
-            _set(self.once[r], byte, bit)
-
-    def blocks(self):
-        """(block, once, twice) of the parts that aren't empty, compressed; a block is 1 << 22 cells of one row."""
-        pack, size = zstandard.ZstdCompressor(level=1), min(1 << (_BLOCK_BITS - 3), self.once.shape[1])
-        per = self.once.shape[1] // size
-        for r in range(self.rows):
-            for k in range(per):
-                part = self.once[r, k * size : (k + 1) * size]
-                if part.any():
-                    yield r * per + k, pack.compress(part.tobytes()), pack.compress(self.twice[r, k * size : (k + 1) * size].tobytes())
-
-
-def _set(array: np.ndarray, byte: np.ndarray, bit: np.ndarray) -> None:
-    """array[byte] |= bit for sorted bytes, each byte once."""
-    if len(byte):
-        first = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
-        array[byte[first]] |= np.bitwise_or.reduceat(bit, first)
-
-
-def sketch_bits(n_windows: int, most: int = 28) -> int:
-    """Cells of a row as a power of two: about four for each window, at most 1 << 28.
-
-    The merged sketch's bits "seen again" (32 MB a row at most) are what is broadcast. On larger corpora the same
-    sketch holds more windows a cell; then fewer are ruled out, and none is lost.
+def sketch(h: np.ndarray, rows: int, bits: int):
+    """(block, seen, seen again) of a count-min sketch of the windows h whose counters stop at 2; only blocks that
+    aren't empty. A block is 1 << 22 cells of one row (or the whole row).
+
+    Sketches merge in any order: seen = a or b, again = again-a or again-b or (a and b). So an estimate is never below
+    the true count (up to 2).
+    """
+    size = min(_BLOCK_BITS, bits)
+    for r in range(rows):
+        c = np.sort(cells(h, r, bits))
+        first = np.concatenate(([True], c[1:] != c[:-1]))
+        again = np.unique(c[~first])
+        c = c[first]
+        edges = np.arange(0, (1 << (bits - size)) + 1, dtype=np.uint64) << np.uint64(size)
+        at, at2 = np.searchsorted(c, edges).tolist(), np.searchsorted(again, edges).tolist()
+        for k in range(len(edges) - 1):
+            if at[k] < at[k + 1]:
+                yield r << (bits - size) | k, pack_cells(c[at[k] : at[k + 1]] - edges[k]), pack_cells(again[at2[k] : at2[k + 1]] - edges[k])
+
+
+def sketch_bits(n_windows: int, most: int = 29) -> int:
+    """Cells of a row as a power of two: about four for each window, at most 1 << 29.
+
+    Of the merged sketch only the bits "seen again" are broadcast, 64 MB a row at most. On larger corpora the same sketch
+    holds more windows a cell; then fewer are ruled out, and none is lost.
     """
     return int(min(most, max(16, int(4 * max(1, n_windows)).bit_length())))
 
 
-def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> list[tuple[int, bytes]]:
-    """(block, compressed bits) of the cells that the merged sketch counts at least twice."""
+def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndarray:
+    """Bits (little-endian in a byte) of the cells that the merged sketch counts at least twice, row after row.
+
+    A task sketches 4 million windows at a time; the sketches of a block meet in the shuffle and are merged in a stream.
+    """
+    size = min(_BLOCK_BITS, bits)
 
     def build(batches):
-        sketch, held, n = Sketch(rows, bits), [], 0
+        held, n = [], 0
+
+        def flush():
+            got = list(zip(*sketch(np.concatenate(held), rows, bits), strict=True))
+            for k in range(0, len(got[0]) if got else 0, 64):
+                yield pa.RecordBatch.from_arrays([pa.array(got[0][k : k + 64], pa.int32()), *(pa.array(g[k : k + 64], pa.binary()) for g in got[1:])], ["block", "seen", "again"])
+
         for b in batches:
             for t in b.column(0):
                 held.append(windows(word_hashes(t.as_py()), width))
                 n += len(held[-1])
-                if n >= _FLUSH:
-                    sketch.add(np.concatenate(held))
+                if n >= 2 * _FLUSH:
+                    yield from flush()
                     held, n = [], 0
-        if held:
-            sketch.add(np.concatenate(held))
-        got = list(sketch.blocks())
-        for k in range(0, len(got), 16):
-            part = list(zip(*got[k : k + 16], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], ["block", "once", "twice"])
+        if n:
+            yield from flush()
 
     def merge(batches):
-        # Rows come sorted by block, so one block's bits are held at a time, however many partitions sent it.
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        block = once = twice = None
+        # Rows come sorted by block, so one block is held at a time, however many sketches it gets.
+        block, seen, again = None, np.zeros(1 << size, bool), np.zeros(1 << size, bool)
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack.compress(twice.tobytes())], pa.binary())], ["block", "twice"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())], ["block", "again"])
 
         for batch in batches:
             for k in range(len(batch)):
                 here = batch.column(0)[k].as_py()
-                a, b = (np.frombuffer(unpack.decompress(batch.column(c)[k].as_py()), np.uint8) for c in (1, 2))
                 if here != block:
-                    if block is not None and twice.any():
+                    if block is not None and again.any():
                         yield done()
-                    block, once, twice = here, a.copy(), b.copy()
-                else:
-                    twice |= b | (once & a)
-                    once |= a
-        if block is not None and twice.any():
+                    block = here
+                    seen[:], again[:] = False, False
+                c = unpack_cells(batch.column(1)[k].as_py())
+                again[c[seen[c]]] = True
+                seen[c] = True
+                again[unpack_cells(batch.column(2)[k].as_py())] = True
+        if block is not None and again.any():
             yield done()
 
-    parts = docs.select("text").mapInArrow(build, "block int, once binary, twice binary")
-    merged = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")
-    return [(r["block"], bytes(r["twice"])) for r in merged.collect()]
+    parts = docs.select("text").mapInArrow(build, "block int, seen binary, again binary")
+    merged = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, again binary")
+    out = np.zeros((rows << (bits - size), 1 << (size - 3)), np.uint8)
+    for r in merged.toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["again"], np.uint8)
+    return out.reshape(rows, -1)
 
 
 class Estimate:
     """Looks windows up in the broadcast bits."""
 
-    def __init__(self, blocks: list[tuple[int, bytes]], rows: int, bits: int):
-        unpack, size = zstandard.ZstdDecompressor(), min(1 << (_BLOCK_BITS - 3), 1 << (bits - 3))
-        self.rows, self.bits = rows, bits
-        self.twice = np.zeros((rows, 1 << (bits - 3)), np.uint8)
-        flat = self.twice.reshape(-1, size)
-        for k, b in blocks:
-            flat[k] = np.frombuffer(unpack.decompress(b), np.uint8)
+    def __init__(self, again: np.ndarray, bits: int):
+        self.again, self.bits = again, bits
 
     def repeated(self, h: np.ndarray) -> np.ndarray:
+        """Places of the windows whose smallest counter is 2."""
         ok = np.arange(len(h))
-        for r in range(self.rows):
+        for r in range(len(self.again)):
             c = cells(h[ok], r, self.bits)
-            ok = ok[(self.twice[r][(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            ok = ok[(self.again[r][(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0]
         return ok
 
 
@@ -191,7 +189,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_
     sent = spark.sparkContext.broadcast(repeated_cells(rows, width, sketch_rows, bits))
 
     def second(batches):
-        estimate = Estimate(sent.value, sketch_rows, bits)
+        estimate = Estimate(sent.value, bits)
         held: list[tuple] = []
         n = 0
 
