@@ -115,7 +115,7 @@ def fit_chain(spark: SparkSession, sample: DataFrame, categories: list[str], siz
     Category k is fitted on words and the out-of-fold probabilities of categories 0 to k-1: for each fold, a model of the
     other folds scores it. The fits of a category (its folds and the final one) run as one Spark job, a task each; what
     a task holds is the bounded sample as bits of at most size words a category. Without labelled rows all
-    probabilities are one half; a category of one class gets its constant.
+    probabilities are one half and nothing reaches its threshold; a category of one class gets its constant.
     """
     from pyspark.sql import types as T
 
@@ -129,7 +129,7 @@ def fit_chain(spark: SparkSession, sample: DataFrame, categories: list[str], siz
 
     rows = sorted((r["fold_key"], r["y"], r["hits"]) for r in sample.select("text", "y", "fold_key").mapInArrow(bits, "y array<int>, fold_key long, hits array<int>").collect())
     if not rows:
-        return Chain(categories, words, [np.zeros(len(words) + k + 1) for k in range(len(categories))], [0.5] * len(categories))
+        return Chain(categories, words, [np.zeros(len(words) + k + 1) for k in range(len(categories))], [1.01] * len(categories))
     x = np.zeros((len(rows), len(words)), np.uint8)
     for k, (_, _, hits) in enumerate(rows):
         x[k, hits] = 1
@@ -163,11 +163,11 @@ def fit_chain(spark: SparkSession, sample: DataFrame, categories: list[str], siz
     return Chain(categories, words, weights, thresholds)
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """docs with a column p_<category> for each category; null and empty texts are scored as texts without words."""
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
+    """docs with a column <prefix><category> for each category; null and empty texts are scored as texts without words."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((chain.categories, chain.words, chain.weights, chain.thresholds))
-    names = [f"p_{c}" for c in chain.categories]
+    names = [f"{prefix}{c}" for c in chain.categories]
 
     def run(batches):
         own = Chain(*sent.value)
@@ -211,7 +211,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, categ
     """The rows of docs, all columns, that the chain doesn't judge toxic."""
     own = categories or CATEGORIES
     chain = fit_chain(spark, labelled_sample(docs, labels, own, max_rows), own)
-    return score(docs, chain).filter(F.col(f"p_{own[-1]}") < chain.thresholds[-1]).select(*docs.columns)
+    return score(docs, chain, prefix="__p_").filter(F.col(f"__p_{own[-1]}") < chain.thresholds[-1]).select(*docs.columns)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
