@@ -10,6 +10,7 @@ from stintflow.llm.pitman_yor import op9_pitman_yor
 from stintflow.llm.quotes import op8_quotes
 from stintflow.llm.resample import op6_resample
 from stintflow.llm.simhash import op5_simhash
+from stintflow.llm.sql import QUOTES, SUBSTRINGS
 from stintflow.llm.substrings import op2_substrings
 from stintflow.llm.toxicity import op10_toxicity
 
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substrings": SUBSTRINGS, "op8_quotes": QUOTES}
