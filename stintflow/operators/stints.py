@@ -164,6 +164,12 @@ def track_evolution(per_lap: DataFrame, priors: DataFrame, keys: list[str], weig
     return df.withColumn("track_index", base * F.when(F.col("any_wet"), wet_grip).otherwise(1.0))
 
 
+def wet_context(laps: DataFrame, keys: list[str], rain: str, index: str) -> DataFrame:
+    """Adds rain_intensity (null: 0) and drying: the track index against the session's largest, held in 0..1, 0 without."""
+    top = F.max(index).over(Window.partitionBy(*keys))
+    return laps.withColumns({"rain_intensity": F.coalesce(F.col(rain).cast("double"), F.lit(0.0)), "__top": top}).withColumn("drying", F.when(F.col("__top") > 0, F.least(F.greatest(F.col(index) / F.col("__top"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)).drop("__top")
+
+
 def runs(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Contiguous runs of numbers by key: first, last, length (repeated numbers count once)."""
     w = Window.partitionBy(*keys).orderBy(number)

@@ -41,6 +41,24 @@ def decision_state(laps: DataFrame, decisions: DataFrame, keys: list[str], lap:
     return decisions.join(state, keys)
 
 
+def allowed_compounds(wet: Column, dry_pool: list[str], wet_pool: list[str]) -> Column:
+    """The compounds that a plan may use: in a dry race the dry ones, in a wet one all."""
+    return F.when(wet, F.array(*[F.lit(c) for c in [*wet_pool, *dry_pool]])).otherwise(F.array(*[F.lit(c) for c in dry_pool]))
+
+
+def prerace_state(priors: DataFrame, distances: DataFrame, event: list[str], driver: str, category: str, start: str) -> DataFrame:
+    """Lap-zero states from practice priors (event, driver, category, prior, length) and distances (event, n_laps, temp):
+    the base pace is the prior of the starting compound, and nothing has been used yet."""
+    own = priors.filter(F.col(category) == start).select(*event, driver, F.col("prior").alias("base_pace"), F.col("length").alias("practice_laps"))
+    return own.join(F.broadcast(distances), event).withColumns({"cur_lap": F.lit(0), "into": F.lit(0), "compound": F.lit(start), "used": F.array(F.lit(start)), "wet": F.lit(False)})
+
+
+def degradation_profile(stints: DataFrame, parameters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, plan_id, place, compound, length, beta, loss): the slope of each stint of a plan and what it costs by its end."""
+    own = parameters.select(F.col("compound").alias("stint_compound"), "beta")
+    return stints.join(F.broadcast(own), "stint_compound").select(*keys, "plan_id", "place", F.col("stint_compound").alias("compound"), "length", "beta", (F.col("beta") * F.col("length")).alias("loss"))
+
+
 def candidates(states: DataFrame, keys: list[str], pool: list[str], most: int | None = 400, first_step: int = 2, second_step: int = 4) -> DataFrame:
     """(keys, plan_id, stops, plan): plans as arrays of structs (compound, end_lap, is_current).
 

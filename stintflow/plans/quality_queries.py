@@ -117,3 +117,18 @@ def json_profile(spark, sf_dir):
     from stintflow.sources.readers import field_profile
 
     return field_profile(table(spark, sf_dir, "events"), "event_type", "props")
+
+
+@query("salted_totals", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS most FROM events GROUP BY event_type", 4)
+def salted_totals(spark, sf_dir):
+    from stintflow.operators.keyed import combined
+
+    return combined(table(spark, sf_dir, "events"), ["event_type"], [F.count("*").alias("c"), F.sum("value").alias("s"), F.max("value").alias("m")], [F.sum("c").alias("n"), F.sum("s").alias("total"), F.max("m").alias("most")])
+
+
+@query("conservation", "SELECT count(*) AS emitted, count(*) AS received, 0::BIGINT AS keys_in_several_rows FROM events")
+def conservation(spark, sf_dir):
+    from stintflow.operators.keyed import conservation as conserved
+
+    e = table(spark, sf_dir, "events")
+    return conserved(e, e.groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"], "n")

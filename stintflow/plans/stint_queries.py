@@ -211,3 +211,11 @@ SELECT q.event_id, round(f.speed, 5) AS latest_speed FROM q ASOF LEFT JOIN f ON
 def latest_before(spark, sf_dir):
     s = samples(spark, sf_dir)
     return I.latest_before(s.filter("event_type = 'purchase'").select("event_id", "driver", "ts"), s.filter("event_type = 'click'"), ["driver"], "ts", "ts", ["speed"]).select("event_id", "latest_speed")
+
+
+@query("wet_context", f"""WITH {LAPS_SQL}, {_VOLUME_SQL}, {_SESSIONS_SQL}, x AS (SELECT v.season, v.stint, v.lap, v.any_rain, (z.prior * CASE WHEN v.wet_by = 1 THEN 0.3 ELSE 1.0 END + z.weight * v.laps_so_far) * CASE WHEN v.any_wet THEN 0.6 ELSE 1.0 END AS i FROM v JOIN z USING (season, stint))
+SELECT season, stint, lap::BIGINT AS lap, any_rain::INT::DOUBLE AS rain_intensity, round(CASE WHEN max(i) OVER (PARTITION BY season, stint) > 0 THEN least(greatest(i / max(i) OVER (PARTITION BY season, stint), 0), 1) ELSE 0 END, 5) AS drying FROM x""")
+def wet_context(spark, sf_dir):
+    v = _volume(laps(spark, sf_dir))
+    t = W.track_evolution(v, _sessions(v), ["season", "stint"]).withColumn("rain", F.col("any_rain").cast("int"))
+    return W.wet_context(t, ["season", "stint"], "rain", "track_index").select("season", "stint", "lap", "rain_intensity", "drying")

@@ -54,7 +54,7 @@ _EXPECTED_SQL = f"""ex AS (SELECT scenario, driver, season, plan_id, stops, sum(
 
 
 def _plans(spark, sf_dir, most):
-    states = _states(spark, sf_dir)
+    states = _states(spark, sf_dir).persist()  # read by each kind of plan and again by the stints: one row a decision
     return states, G.candidates(states, K, POOL, most)
 
 
@@ -163,3 +163,21 @@ def ablation(spark, sf_dir):
     base = _best(spark, sf_dir).filter("scenario = 'clean'")
     variant = _best(spark, sf_dir, _parameters(spark).withColumn("beta", F.col("beta") * 1.5)).filter("scenario = 'clean'")
     return G.changed_share(base, variant, K)
+
+
+@query("degradation_profile", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(12)}, {_STINTS_SQL} SELECT driver, season, plan_id, place::BIGINT AS place, own AS compound, len::BIGINT AS length, round(ob, 5) AS beta, round(ob * len, 5) AS loss FROM pl""")
+def degradation_profile(spark, sf_dir):
+    states, plans = _plans(spark, sf_dir, 12)
+    return G.degradation_profile(G.plan_stints(plans, states, K), _parameters(spark), K)
+
+
+@query("prerace_states", f"""WITH {LAPS_SQL}, s AS (SELECT season, driver, stint, rain, count(*) AS length, median(pace) AS m FROM laps WHERE pace IS NOT NULL GROUP BY 1, 2, 3, 4), o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY season, driver, stint ORDER BY length DESC, m, rain) = 1),
+f AS (SELECT season, stint, m AS field, length AS field_length FROM o QUALIFY row_number() OVER (PARTITION BY season, stint ORDER BY length DESC, m, driver) = 1), d AS (SELECT DISTINCT season, driver FROM laps), n AS (SELECT season, max(lap) AS n_laps, median(temp) AS temp FROM laps GROUP BY season)
+SELECT d.season, d.driver, round(coalesce(o.m, f.field), 5) AS base_pace, coalesce(o.length, f.field_length) AS practice_laps, n.n_laps::BIGINT AS n_laps, round(n.temp, 5) AS temp FROM d JOIN f ON f.season = d.season AND f.stint = 'A' JOIN n ON n.season = d.season LEFT JOIN o ON o.season = d.season AND o.driver = d.driver AND o.stint = 'A'""")
+def prerace_states(spark, sf_dir):
+    from stintflow.operators.fits import longest_stint_prior
+
+    df = laps(spark, sf_dir)
+    priors = longest_stint_prior(df, ["season"], "driver", "stint", ["rain"], "pace")
+    distances = df.groupBy("season").agg(F.max("lap").alias("n_laps"), F.median("temp").alias("temp"))
+    return G.prerace_state(priors, distances, ["season"], "driver", "stint", "A").select("season", "driver", "base_pace", "practice_laps", "n_laps", "temp")
