@@ -60,24 +60,36 @@ def vocabulary(sample: DataFrame, n_categories: int, size: int = 512, least: int
     return list(chosen)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights (last: bias) of a ridge logistic regression by Newton steps; the bias isn't shrunk."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25, extra: np.ndarray | None = None, chunk: int = 1024) -> np.ndarray:
+    """Weights (words, extra columns, bias) of a ridge logistic regression by Newton steps; the bias isn't shrunk.
+
+    Gradient and curvature are summed over chunks of rows, so beside x (bytes of 0 and 1) only one chunk is held as
+    doubles.
+    """
+    extra = np.zeros((len(x), 0)) if extra is None else extra
+    size = x.shape[1] + extra.shape[1] + 1
+    w, shrink = np.zeros(size), np.full(size, ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + shrink * w
-        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x
-        curve[np.diag_indices_from(curve)] += shrink
+        grad, curve = shrink * w, np.diag(shrink)
+        for k in range(0, len(x), chunk):
+            part = np.hstack([x[k : k + chunk].astype(np.float64), extra[k : k + chunk], np.ones((len(x[k : k + chunk]), 1))])
+            p = sigmoid(part @ w)
+            grad += part.T @ (p - y[k : k + chunk])
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
         step = np.linalg.solve(curve, grad)
         w -= step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
 
+def linear(x: np.ndarray, extra: np.ndarray, w: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """x and extra times w, by chunks of rows."""
+    n = x.shape[1]
+    return np.concatenate([x[k : k + chunk].astype(np.float64) @ w[:n] for k in range(0, len(x), chunk)] or [np.zeros(0)]) + extra @ w[n:-1] + w[-1]
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The middle of the gap below the cut with the largest F1; at least 0.05."""
     order = np.argsort(-p, kind="stable")
@@ -144,12 +156,12 @@ def fit_chain(spark: SparkSession, sample: DataFrame, categories: list[str], siz
 
         def fit(batches, k=k, earlier=earlier):
             packed, wide, ys, f = sent.value
-            xs = np.hstack([np.unpackbits(packed, axis=1)[:, :wide].astype(np.float32), earlier])
+            xs = np.unpackbits(packed, axis=1)[:, :wide]
             for b in batches:
                 for out in b.column(0).to_pylist():
                     rest = f != out
-                    w = fit_logistic(xs[rest], ys[rest, k], ridge)
-                    p = sigmoid(xs[~rest] @ w[:-1] + w[-1])
+                    w = fit_logistic(xs[rest], ys[rest, k], ridge, extra=earlier[rest])
+                    p = sigmoid(linear(xs[~rest], earlier[~rest], w))
                     yield pa.RecordBatch.from_arrays([pa.array([out], pa.int64()), pa.array([w.tolist()]), pa.array([p.tolist()], pa.list_(pa.float64()))], ["fold", "w", "p"])
 
         jobs = spark.range(0, folds + 1, 1, folds + 1)
