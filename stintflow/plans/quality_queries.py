@@ -39,17 +39,18 @@ def coercion(spark, sf_dir):
     return P.coerce(e, {"a": "double", "b": "double"})[1]
 
 
-_RULES = {"value": F.col("value").between(1, 200), "type": F.col("event_type").isin("click", "view", "purchase", "signup")}
+def _rules():
+    return {"value": F.col("value").between(1, 200), "type": F.col("event_type").isin("click", "view", "purchase", "signup")}
 
 
 @query("quarantine", "SELECT event_id, list_aggregate(list_filter([CASE WHEN NOT value BETWEEN 1 AND 200 THEN 'value' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'type' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS problems FROM events WHERE NOT (value BETWEEN 1 AND 200 AND event_type IN ('click', 'view', 'purchase', 'signup'))")
 def quarantine(spark, sf_dir):
-    return P.quarantine(table(spark, sf_dir, "events"), _RULES)[1].select("event_id", F.array_join("problems", ",").alias("problems"))
+    return P.quarantine(table(spark, sf_dir, "events"), _rules())[1].select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
 @query("quality_report", "SELECT count(*) AS rows, sum((NOT value BETWEEN 1 AND 200)::INT)::BIGINT AS breaks_value, sum((event_type NOT IN ('click', 'view', 'purchase', 'signup'))::INT)::BIGINT AS breaks_type, sum((props IS NULL)::INT)::BIGINT AS missing_props, sum((event_type IS NOT NULL)::INT)::BIGINT AS not_numeric_event_type FROM events")
 def quality_report(spark, sf_dir):
-    return P.quality_report(table(spark, sf_dir, "events"), _RULES, ["props"], ["event_type"])
+    return P.quality_report(table(spark, sf_dir, "events"), _rules(), ["props"], ["event_type"])
 
 
 @query("grain", "WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT sum(n)::BIGINT AS rows, count(*) AS unique_keys, 0::BIGINT AS null_keys, sum(n - 1)::BIGINT AS repeated FROM k")
