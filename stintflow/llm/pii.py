@@ -55,11 +55,14 @@ def permute_symbols(value: Column, charset: str, key: str, kind: str) -> Column:
     adds digits modulo the size of the charset. Its inverse subtracts them in reverse order."""
     cut = F.floor(F.length(value) / 2).cast("int")
     state = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value)).alias("r"))
-    for r in range(ROUNDS):
+    # A lambda with a second parameter would get the place in the array for it, so rounds are bound by a function.
+    def turn(r: int):
         if r % 2 == 0:
-            state = _let(state, lambda s, r=r: F.struct(_add_digits(s["l"], _round(key, kind, r, s["r"]), charset).alias("l"), s["r"].alias("r")))
-        else:
-            state = _let(state, lambda s, r=r: F.struct(s["l"].alias("l"), _add_digits(s["r"], _round(key, kind, r, s["l"]), charset).alias("r")))
+            return lambda s: F.struct(_add_digits(s["l"], _round(key, kind, r, s["r"]), charset).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), _add_digits(s["r"], _round(key, kind, r, s["l"]), charset).alias("r"))
+
+    for r in range(ROUNDS):
+        state = _let(state, turn(r))
     return _let(state, lambda s: F.concat(s["l"], s["r"]))
 
 
@@ -70,11 +73,13 @@ def permute_number(value: Column, a: int, b: int, key: str, kind: str) -> Column
     def noise(r: int, other: Column) -> Column:
         return F.conv(F.substr(_round(key, kind, r, other.cast("string")), F.lit(1), F.lit(12)), 16, 10).cast("long")
 
-    for r in range(ROUNDS):
+    def turn(r: int):
         if r % 2 == 0:
-            state = _let(state, lambda s, r=r: F.struct(((s["l"] + noise(r, s["r"])) % a).alias("l"), s["r"].alias("r")))
-        else:
-            state = _let(state, lambda s, r=r: F.struct(s["l"].alias("l"), ((s["r"] + noise(r, s["l"])) % b).alias("r")))
+            return lambda s: F.struct(((s["l"] + noise(r, s["r"])) % a).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), ((s["r"] + noise(r, s["l"])) % b).alias("r"))
+
+    for r in range(ROUNDS):
+        state = _let(state, turn(r))
     return _let(state, lambda s: s["l"] * b + s["r"])
 
 
