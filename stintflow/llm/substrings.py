@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,18 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def pack_cells(c: np.ndarray) -> bytes:
-    """Sorted distinct cells of a block as gaps: a byte each, with the long ones (marked 255) listed behind."""
+    """Sorted distinct cells of a block as gaps: a byte each; the long ones (marked 255) are listed behind, in two bytes
+    each if all of them fit."""
     gaps = np.diff(c.astype(np.int64), prepend=-1) - 1
-    long = gaps >= 255
-    return len(gaps).to_bytes(4, "little") + np.where(long, 255, gaps).astype(np.uint8).tobytes() + gaps[long].astype("<u4").tobytes()
+    long = gaps[gaps >= 255]
+    wide = bool(len(long) and long.max() > 0xFFFF)
+    return (2 * len(gaps) + wide).to_bytes(4, "little") + np.minimum(gaps, 255).astype(np.uint8).tobytes() + long.astype("<u4" if wide else "<u2").tobytes()
 
 
 def unpack_cells(b: bytes) -> np.ndarray:
-    n = int.from_bytes(b[:4], "little")
+    n, wide = divmod(int.from_bytes(b[:4], "little"), 2)
     gaps = np.frombuffer(b, np.uint8, n, 4).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(b, "<u4", -1, 4 + n)
+    gaps[gaps == 255] = np.frombuffer(b, "<u4" if wide else "<u2", -1, 4 + n)
     return np.cumsum(gaps + 1) - 1
 
 
@@ -96,8 +99,8 @@ def sketch_bits(n_windows: int, most: int = 29) -> int:
     return int(min(most, max(16, int(4 * max(1, n_windows)).bit_length())))
 
 
-def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndarray:
-    """Bits (little-endian in a byte) of the cells that the merged sketch counts at least twice, row after row.
+def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> list[bytes]:
+    """Compressed bits (little-endian in a byte) of the cells of each row that the merged sketch counts at least twice.
 
     A task sketches 4 million windows at a time; the sketches of a block meet in the shuffle and are merged in a stream.
     """
@@ -148,14 +151,14 @@ def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndar
     out = np.zeros((rows << (bits - size), 1 << (size - 3)), np.uint8)
     for r in merged.toLocalIterator():
         out[r["block"]] = np.frombuffer(r["again"], np.uint8)
-    return out.reshape(rows, -1)
+    return [zstandard.compress(r.tobytes(), 3) for r in out.reshape(rows, -1)]
 
 
 class Estimate:
-    """Looks windows up in the broadcast bits."""
+    """Looks windows up in the broadcast bits (a compressed row each)."""
 
-    def __init__(self, again: np.ndarray, bits: int):
-        self.again, self.bits = again, bits
+    def __init__(self, packed: list[bytes], bits: int):
+        self.again, self.bits = [np.frombuffer(zstandard.decompress(p), np.uint8) for p in packed], bits
 
     def repeated(self, h: np.ndarray) -> np.ndarray:
         """Places of the windows whose smallest counter is 2."""

@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from stintflow.llm import decontaminate, gif, packing, pii, pitman_yor, queries, quotes, resample, simhash, substrings, toxicity
@@ -70,7 +71,9 @@ def test_sketches_never_underestimate():
             again[block, c[seen[block, c]]] = True
             seen[block, c] = True
             again[block, substrings.unpack_cells(b)] = True
-    est = substrings.Estimate(np.packbits(again, axis=1, bitorder="little"), size)
+    est = substrings.Estimate([zstandard.compress(r.tobytes()) for r in np.packbits(again, axis=1, bitorder="little")], size)
+    for cells in (np.arange(5), np.array([7, 300, 4_000_000]), np.array([0, 255, 600, 70_000])):
+        assert (substrings.unpack_cells(substrings.pack_cells(cells)) == cells).all()
     whole, counts = np.unique(np.concatenate(parts), return_counts=True)
     assert set(np.flatnonzero(counts > 1)) <= set(est.repeated(whole).tolist())
 
