@@ -78,7 +78,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Items are a stated query set: they are taken in blocks of at most `block` items, whose words and seeds are sent to
     all tasks (a bound on the broadcast), against all documents; a document is scanned once per block and nothing is
     shuffled. Seeds that lie near one diagonal make one stretch, which is aligned once. Every hit of every rare seed
-    counts; no candidates are dropped. Null or empty texts and items match nothing; repeated rows give repeated results.
+    counts; no candidates are dropped. Items of fewer than n words match texts that are nothing else. Null or empty texts
+    and items match nothing; repeated rows give repeated results.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = read_items(benchmark, item_col, item_text_col)
@@ -157,7 +158,7 @@ def _key(gram, base: int, n: int) -> int:
     key = 0
     for w in gram:
         key = (key * base + w + 1) & 0xFFFFFFFFFFFFFFFF
-    return key if len(gram) == n else (key * base) & 0xFFFFFFFFFFFFFFFF
+    return (key * base ** (n - len(gram))) & 0xFFFFFFFFFFFFFFFF
 
 
 def _matches(x: np.ndarray, codes, sorted_keys, seeds, base: int, n: int, least_score: float):
