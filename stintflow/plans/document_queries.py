@@ -54,7 +54,7 @@ def page(spark, sf_dir):
     return D.page(_orders(spark, sf_dir).select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc()], 3, 50, "o_orderkey")
 
 
-@query("top_laps", "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25", 2)
+@query("top_laps", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(l_extendedprice, 2) AS l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25", 2)
 def top_laps(spark, sf_dir):
     return D.top(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")], 25)
 

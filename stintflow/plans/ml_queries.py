@@ -70,7 +70,7 @@ def category_codes(spark, sf_dir):
     return M.one_hot(M.category_codes(p, "b"), "p_type", ["ECONOMY"]).groupBy("code").agg(F.count("*").alias("n"), F.sum("p_type_ECONOMY").alias("economy"))
 
 
-@query("signatures", "SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 5) + 0.0 AS first, round(avg(embedding[64]::DOUBLE), 5) + 0.0 AS last FROM embeddings GROUP BY label")
+@query("signatures", "SELECT label::BIGINT AS label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 5) + 0.0 AS first, round(avg(embedding[64]::DOUBLE), 5) + 0.0 AS last FROM embeddings GROUP BY label")
 def signatures(spark, sf_dir):
     s = M.signature(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e")), ["label"], "e", 64)
     return s.select("label", "n", F.col("signature")[0].alias("first"), F.col("signature")[63].alias("last"))
