@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,8 +98,8 @@ def sketch_bits(n_windows: int, most: int = 29) -> int:
     return int(min(most, max(16, int(4 * max(1, n_windows)).bit_length())))
 
 
-def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> list[bytes]:
-    """Compressed bits (little-endian in a byte) of the cells of each row that the merged sketch counts at least twice.
+def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndarray:
+    """Bits (little-endian in a byte) of the cells of each row that the merged sketch counts at least twice.
 
     A task sketches 4 million windows at a time; the sketches of a block meet in the shuffle and are merged in a stream.
     """
@@ -151,14 +150,14 @@ def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> list[by
     out = np.zeros((rows << (bits - size), 1 << (size - 3)), np.uint8)
     for r in merged.toLocalIterator():
         out[r["block"]] = np.frombuffer(r["again"], np.uint8)
-    return [zstandard.compress(r.tobytes(), 3) for r in out.reshape(rows, -1)]
+    return out.reshape(rows, -1)
 
 
 class Estimate:
-    """Looks windows up in the broadcast bits (a compressed row each)."""
+    """Looks windows up in the broadcast bits. A worker process holds them once, for all its tasks."""
 
-    def __init__(self, packed: list[bytes], bits: int):
-        self.again, self.bits = [np.frombuffer(zstandard.decompress(p), np.uint8) for p in packed], bits
+    def __init__(self, again: np.ndarray, bits: int):
+        self.again, self.bits = again, bits
 
     def repeated(self, h: np.ndarray) -> np.ndarray:
         """Places of the windows whose smallest counter is 2."""
