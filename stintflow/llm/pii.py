@@ -190,12 +190,11 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """docs with the personal data of text_col replaced; kinds_col, if given, gets the kinds found, in order.
 
-    Every column but the text stays. Texts without a digit or an at sign are passed through; a null text stays null and
-    an empty one empty. Equal values get equal pseudonyms in all documents; different values of one format get
+    Every column but the text stays. Every text is searched; a null text stays null and an empty one empty. Equal values get equal pseudonyms in all documents; different values of one format get
     different ones. The expressions are native; nothing is shuffled.
     """
     text = F.col(text_col)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
     judged = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
     work = docs.withColumn("__found", judged)
     hits = F.exists("__found", lambda x: x["k"].isNotNull())
