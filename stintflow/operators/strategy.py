@@ -127,18 +127,23 @@ def drawn_costs(stints: DataFrame, parameters: DataFrame, keys: list[str], draws
 
     A slope is a clipped normal, a cliff one of the compound's quantiles or none, a control period starts by the lap's
     hazard; all are functions of (decision, draw, what is drawn), so all plans of a decision see the same draws, whatever
-    the partitioning. Draws are exploded last; stints of a plan and draw are summed by one aggregate.
+    the partitioning. They are made once a decision and draw and joined to the stints by decision; stints of a plan and draw
+    are summed by one aggregate.
     """
-    s = with_parameters(stints, parameters).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     who = [F.lit(seed), *[F.col(k) for k in keys], F.col("draw")]
+    place = lambda p: F.struct(keyed_normal(*who, p, F.lit("beta")).alias("z"), keyed_uniform(*who, p, F.lit("censor")).alias("u"), keyed_uniform(*who, p, F.lit("cliff")).alias("q"))
+    drawn = stints.groupBy(*keys).agg(F.max("place").alias("__last")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    drawn = drawn.select(*keys, "draw", keyed_uniform(*who, F.lit("control")).alias("v"), F.transform(F.sequence(F.lit(0), F.col("__last")), place).alias("__at"))
+    s = with_parameters(stints, parameters).join(drawn, keys).withColumn("__own", F.get("__at", F.col("place")))
 
-    def beta(p: str, name: Column) -> Column:
+    def beta(p: str, normal: Column) -> Column:
         high = F.least(F.greatest(F.col(f"{p}_beta"), F.lit(0.0)) * 4 + 0.15, F.lit(1.0))
-        return F.least(F.greatest(F.col(f"{p}_beta") + F.col(f"{p}_sigma") * keyed_normal(*who, name, F.lit("beta")), F.lit(0.005)), high)
+        return F.least(F.greatest(F.col(f"{p}_beta") + F.col(f"{p}_sigma") * normal, F.lit(0.005)), high)
 
     first = F.col("place") == 0
     k0 = F.greatest(F.col("into") - 1, F.lit(0))
-    s = s.withColumns({"b_cur": beta("cur", F.lit("0")), "b_own": F.when(first, beta("cur", F.lit("0"))).otherwise(beta("own", F.col("place").cast("string"))), "u": keyed_uniform(*who, F.col("place"), F.lit("censor")), "q": keyed_uniform(*who, F.col("place"), F.lit("cliff")), "v": keyed_uniform(*who, F.lit("control"))})
+    now = beta("cur", F.get("__at", F.lit(0))["z"])
+    s = s.withColumns({"b_cur": now, "b_own": F.when(first, now).otherwise(beta("own", F.col("__own.z"))), "u": F.col("__own.u"), "q": F.col("__own.q")})
     fresh = F.col("base_pace") - F.col("b_cur") * k0
     base = F.when(first, fresh).otherwise(fresh + F.col("own_offset") - F.col("cur_offset"))
     cliff = F.when(F.col("u") < F.col("own_censor"), 1e9).otherwise(F.element_at("own_quantiles", (F.floor(F.col("q") * F.size("own_quantiles")) + 1).cast("int"))) - F.when(first, k0).otherwise(0)

@@ -11,6 +11,8 @@ from stintflow.plans.roles import LAPS_SQL, laps, table
 K = ["driver", "season"]
 POOL = ["A", "N", "R"]
 _PARAMETERS = [("A", 0.05, 0.02, 0.0, 25.0, 0.4), ("N", 0.09, 0.03, -0.3, 18.0, 0.3), ("R", 0.12, 0.05, -0.6, 12.0, 0.2)]
+#: Plans a decision and draws a plan of the whole job. The queries with SQL hold to the thinner lists that their SQL states.
+MOST, DRAWS = 400, 250
 _SCENARIOS = [("clean", 1.0, 0.0, 21.0), ("traffic", 1.15, 0.2, 21.0), ("control", 1.0, 0.0, 7.0)]
 
 
@@ -81,8 +83,8 @@ def expected_costs(spark, sf_dir):
 _BEST_SQL = "be AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY scenario, driver, season ORDER BY round(cost, 6), plan_id) = 1)"
 
 
-def _best(spark, sf_dir, parameters=None):
-    states, plans = _plans(spark, sf_dir, 60)
+def _best(spark, sf_dir, parameters=None, most=60):
+    states, plans = _plans(spark, sf_dir, most)
     ex = G.expected_costs(G.plan_stints(plans, states, K), parameters if parameters is not None else _parameters(spark), K, _scenarios(spark))
     return G.best_of(ex.withColumn("cost", F.round(F.col("cost") * 1.00000000001, 6)), ["scenario", *K])
 
@@ -109,9 +111,9 @@ dc AS (SELECT driver, season, plan_id, stops, draw, sum({_COST} + CASE WHEN plac
   CASE WHEN u < oc THEN 1e9 ELSE ok + floor(q * 5) * 2 END - CASE WHEN place = 0 THEN k0 ELSE 0 END AS cl, floor(v * 4 * n_laps) + 1 AS sc FROM dr)) GROUP BY driver, season, plan_id, stops, draw)"""
 
 
-def _drawn(spark, sf_dir):
-    states, plans = _plans(spark, sf_dir, 12)
-    return G.drawn_costs(G.plan_stints(plans, states, K), _parameters(spark), K, 12)
+def _drawn(spark, sf_dir, most=12, draws=12):
+    states, plans = _plans(spark, sf_dir, most)
+    return G.drawn_costs(G.plan_stints(plans, states, K), _parameters(spark), K, draws)
 
 
 @query("ranked_plans", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(12)}, {_STINTS_SQL}, {_DRAWN_SQL}, rk AS (SELECT driver, season, plan_id, stops, avg(cost) AS mean, stddev_pop(cost) AS std, quantile_cont(cost, 0.05) AS p5, quantile_cont(cost, 0.95) AS p95 FROM dc GROUP BY 1, 2, 3, 4)
@@ -123,7 +125,10 @@ def ranked_plans(spark, sf_dir):
 @query("paired_plans", f"""WITH {LAPS_SQL}, {_STATES_SQL}, {_CANDIDATES_SQL}, {_thinned(12)}, {_STINTS_SQL}, {_DRAWN_SQL}, pd AS (SELECT a.driver, a.season, b.cost - a.cost AS d FROM dc a JOIN dc b ON a.driver = b.driver AND a.season = b.season AND a.draw = b.draw WHERE a.plan_id = 1 AND b.plan_id = 2)
 SELECT driver, season, round(avg(d), 3) + 0.0 AS mean_gain, round(quantile_cont(d, 0.05), 3) + 0.0 AS low, round(quantile_cont(d, 0.95), 3) + 0.0 AS high, round(avg((d > 0)::INT), 3) AS win_share FROM pd GROUP BY 1, 2""", 3)
 def paired_plans(spark, sf_dir):
-    costs = _drawn(spark, sf_dir)
+    return _paired(_drawn(spark, sf_dir))
+
+
+def _paired(costs):
     pick = lambda i: costs.select(*K, "plan_id").filter(F.col("plan_id") == i).distinct()
     return G.paired(costs, K, pick(1), pick(2))
 
@@ -135,8 +140,12 @@ _REAL_SQL = "re AS (SELECT driver, season, count(*) AS n, sum(pace) AS realised
 x AS (SELECT 'all' AS part, gain FROM bt UNION ALL SELECT CASE WHEN m THEN 'same stops' ELSE 'other stops' END, gain FROM bt)
 SELECT part, count(*) AS n, round(avg((gain > 0)::INT), 4) AS win_share, round(median(gain), 4) + 0.0 AS median_gain, round(quantile_cont(gain, 0.1), 4) + 0.0 AS p10, round(quantile_cont(gain, 0.9), 4) + 0.0 AS p90 FROM x GROUP BY part""", 4)
 def backtest(spark, sf_dir):
+    return _backtest(spark, sf_dir)
+
+
+def _backtest(spark, sf_dir, most=60):
     states = _states(spark, sf_dir)
-    best = _best(spark, sf_dir).filter("scenario = 'clean'")
+    best = _best(spark, sf_dir, most=most).filter("scenario = 'clean'")
     real = G.realised(laps(spark, sf_dir), states, K, "lap", "pace")
     df = real.join(best, K).join(states.select(*K, "n_laps", "cur_lap"), K).select((F.col("realised") / F.col("n") - F.col("cost") / (F.col("n_laps") - F.col("cur_lap"))).alias("gain"), (F.col("stops") == 1).alias("m"))
     return G.backtest_summary(df, "gain", "m")
@@ -160,8 +169,8 @@ def executed_stints(spark, sf_dir):
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    base = _best(spark, sf_dir).filter("scenario = 'clean'")
-    variant = _best(spark, sf_dir, _parameters(spark).withColumn("beta", F.col("beta") * 1.5)).filter("scenario = 'clean'")
+    base = _best(spark, sf_dir, most=MOST).filter("scenario = 'clean'")
+    variant = _best(spark, sf_dir, _parameters(spark).withColumn("beta", F.col("beta") * 1.5), MOST).filter("scenario = 'clean'")
     return G.changed_share(base, variant, K)
 
 
@@ -181,3 +190,43 @@ def prerace_states(spark, sf_dir):
     priors = longest_stint_prior(df, ["season"], "driver", "stint", ["rain"], "pace")
     distances = df.groupBy("season").agg(F.max("lap").alias("n_laps"), F.median("temp").alias("temp"))
     return G.prerace_state(priors, distances, ["season"], "driver", "stint", "A").select("season", "driver", "base_pace", "practice_laps", "n_laps", "temp")
+
+
+@query("whole_candidate_plans")
+def whole_candidate_plans(spark, sf_dir):
+    from stintflow.functions.scalars import format_plan
+
+    states, plans = _plans(spark, sf_dir, MOST)
+    return plans.join(states.select(*K, "n_laps"), K).select(*K, "plan_id", "stops", format_plan(F.col("plan"), F.col("n_laps")).alias("plan"))
+
+
+@query("whole_expected_costs", places=3)
+def whole_expected_costs(spark, sf_dir):
+    states, plans = _plans(spark, sf_dir, MOST)
+    return G.expected_costs(G.plan_stints(plans, states, K), _parameters(spark), K, _scenarios(spark))
+
+
+@query("whole_branch_summary", places=3)
+def whole_branch_summary(spark, sf_dir):
+    return G.branch_summary(_best(spark, sf_dir, most=MOST), K, "clean", "control")
+
+
+@query("whole_backtest", places=4)
+def whole_backtest(spark, sf_dir):
+    return _backtest(spark, sf_dir, MOST)
+
+
+@query("whole_ranked_plans", places=3)
+def whole_ranked_plans(spark, sf_dir):
+    return G.ranked(_drawn(spark, sf_dir, MOST, DRAWS), K)
+
+
+@query("whole_paired_plans", places=3)
+def whole_paired_plans(spark, sf_dir):
+    return _paired(_drawn(spark, sf_dir, MOST, DRAWS))
+
+
+@query("whole_degradation_profile")
+def whole_degradation_profile(spark, sf_dir):
+    states, plans = _plans(spark, sf_dir, MOST)
+    return G.degradation_profile(G.plan_stints(plans, states, K), _parameters(spark), K)

@@ -1,0 +1,114 @@
+"""The plan queries at the reference's 400 plans and 250 draws, against plain enumeration."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from hashlib import md5
+
+import pytest
+from pyspark.sql import functions as F
+
+from stintflow.operators import strategy as G
+from stintflow.plans import registry
+from stintflow.plans import strategy_queries as Q
+
+
+def enumerated(s):
+    """All legal plans of a state in the reference's order: one stop, two stops, none."""
+    cur, n = s.cur_lap, s.n_laps
+    legal = lambda extra: s.wet or len({*s.used, *extra}) >= 2
+    out = [[(s.compound, p), (c, n)] for p in range(cur + 2, n - 2, 2) for c in Q.POOL if legal([c])]
+    out += [[(s.compound, p), (a, q), (b, n)] for p in range(cur + 3, n - 10, 4) for q in range(p + 6, n - 2, 4) for a in Q.POOL for b in Q.POOL if legal([a, b])]
+    return out + [[(s.compound, n)]] if legal([]) or not out else out
+
+
+def thinned(plans, most=400):
+    return plans if len(plans) <= most else [plans[math.floor(j * ((len(plans) - 1) / (most - 1)))] for j in range(most)]
+
+
+def expected(s, plan, par, pit=21.0):
+    """Clean-air closed form."""
+    k0, at, total = max(s.into - 1, 0), s.cur_lap, 0.0
+    fresh = s.base_pace - par[s.compound].beta * k0
+    for i, (c, end) in enumerate(plan):
+        n, b = max(end - at, 0), par[c].beta
+        at = end
+        m = max(n - max(par[c].cliff - (0 if i else k0), 0), 0)
+        base = fresh + (par[c].offset - par[s.compound].offset if i else 0)
+        if n:
+            total += n * base + b * n * (n + 1) / 2 + 1.5 * m + 0.15 * m * (m + 1) / 2 + (0 if i else b * k0 * n)
+    return total + (len(plan) - 1) * (pit + 2.0)
+
+
+def uniform(*parts):
+    return (int(md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+
+
+def drawn(s, plan, par, draw):
+    who = ("s", s.driver, s.season, draw)
+
+    def beta(c, place):
+        z = math.sqrt(-2 * math.log(uniform(*who, place, "beta", "a"))) * math.cos(2 * math.pi * uniform(*who, place, "beta", "b"))
+        return min(max(par[c].beta + par[c].sigma * z, 0.005), min(max(par[c].beta, 0) * 4 + 0.15, 1.0))
+
+    k0, at, total = max(s.into - 1, 0), s.cur_lap, 0.0
+    fresh = s.base_pace - beta(s.compound, 0) * k0
+    sc = math.floor(uniform(*who, "control") * 4 * s.n_laps) + 1
+    for i, (c, end) in enumerate(plan):
+        n, b, qs = max(end - at, 0), beta(c, i), par[c].quantiles
+        at = end
+        cliff = (1e9 if uniform(*who, i, "censor") < par[c].censor else qs[math.floor(uniform(*who, i, "cliff") * len(qs))]) - (0 if i else k0)
+        m = max(n - max(cliff, 0), 0)
+        base = fresh + (par[c].offset - par[s.compound].offset if i else 0)
+        if n:
+            total += n * base + b * n * (n + 1) / 2 + 1.5 * m + 0.15 * m * (m + 1) / 2 + (0 if i else b * k0 * n)
+        if i < len(plan) - 1:
+            total += (7.0 if sc <= end < sc + 3 else 21.0) + 2.0
+    return total
+
+
+@pytest.fixture(scope="module")
+def given(spark, sf):
+    return Q._states(spark, sf).collect(), {r.compound: r for r in Q._parameters(spark).collect()}
+
+
+def test_every_plan_up_to_400_is_listed_and_costed(spark, sf, given):
+    states, par = given
+    want = {(s.driver, s.season): thinned(enumerated(s)) for s in states}
+    assert max(map(len, want.values())) > 200
+    got = Counter((r.driver, r.season) for r in registry.QUERIES["whole_candidate_plans"](spark, sf).collect())
+    assert got == {k: len(v) for k, v in want.items()}
+    costs = {(r.driver, r.season, r.plan_id): r.cost for r in registry.QUERIES["whole_expected_costs"](spark, sf).filter("scenario = 'clean'").collect()}
+    assert len(costs) == sum(map(len, want.values()))
+    for s in states:
+        for k, plan in enumerate(want[s.driver, s.season]):
+            assert costs[s.driver, s.season, k + 1] == pytest.approx(expected(s, plan, par), abs=0.002)
+    best = {(r.driver, r.season): r.green_cost for r in registry.QUERIES["whole_branch_summary"](spark, sf).collect()}
+    assert all(best[s.driver, s.season] == pytest.approx(min(expected(s, p, par) for p in want[s.driver, s.season]), abs=0.002) for s in states)
+
+
+def test_ablation_compares_the_best_of_all_plans(spark, sf, given):
+    states, par = given
+    more = {c: type("P", (), {"beta": p.beta * 1.5, "cliff": p.cliff, "offset": p.offset}) for c, p in par.items()}
+
+    def best(s, p):
+        costs = [round(expected(s, x, p), 6) for x in thinned(enumerated(s))]
+        return costs.index(min(costs))
+
+    r = registry.QUERIES["ablation"](spark, sf).first()
+    assert (r.n, r.changed) == (len(states), pytest.approx(sum(best(s, par) != best(s, more) for s in states) / len(states), abs=1e-4))
+
+
+def test_ranks_come_from_250_draws_of_all_plans(spark, sf, given):
+    states, par = given
+    s = max(states, key=lambda s: len(enumerated(s)))
+    st = spark.createDataFrame([s])
+    plans = thinned(enumerated(s))
+    costs = G.drawn_costs(G.plan_stints(G.candidates(st, Q.K, Q.POOL, Q.MOST), st, Q.K), Q._parameters(spark), Q.K, Q.DRAWS)
+    got = {r.plan_id: r for r in G.ranked(costs, Q.K).collect()}
+    assert len(got) == len(plans)
+    for k in (0, len(plans) // 2, len(plans) - 1):
+        want = [drawn(s, plans[k], par, d) for d in range(1, 251)]
+        assert got[k + 1]["mean"] == pytest.approx(sum(want) / 250, abs=1e-6)
+    assert costs.agg(F.max("draw")).first()[0] == 250
