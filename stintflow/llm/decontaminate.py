@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: pairs of near words find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,25 +19,6 @@ def compared(text: str | None) -> list[bytes]:
     return [w for w in (x.strip(_EDGE) for x in text.lower().encode("utf-8", "replace").split()) if w] if text else []
 
 
-def word_counts(docs: DataFrame, vocabulary: list[bytes], text_col: str = "text") -> tuple[np.ndarray, int]:
-    """How often each word of the (bounded) vocabulary occurs in all texts, and the number of all words."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(frozenset(vocabulary))
-
-    def run(batches):
-        known, seen, total = sent.value, Counter(), 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = compared(t)
-                total += len(ws)
-                seen.update(filter(known.__contains__, ws))
-        seen[b""] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-
-    got = {bytes(r["word"]): r["n"] for r in docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(w, 0) for w in vocabulary], np.int64), got.get(b"", 0)
-
-
 def align(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> tuple[float, int]:
     """The best Smith-Waterman score of two word-id arrays and the end (exclusive) of its stretch in b.
 
@@ -56,30 +37,29 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1
     return best, end
 
 
-def seeds_of(items: list[list[int]], expected: np.ndarray, total: int, n: int, rare: float) -> dict[tuple[int, ...], list[tuple[int, int]]]:
-    """n-gram -> (item, position) of the rare n-grams: those that independent words would give fewer than `rare` times
-    in the whole corpus. An item without any keeps its rarest quarter, so that every item can be found."""
-    freq = (expected + 1) / max(1, total)
-    out: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+def seeds_of(items: list[np.ndarray], base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, items, positions), by key: the pairs of words one or two places apart of all items of at least n words."""
+    keys, who, where = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
     for k, ws in enumerate(items):
-        grams = [(float(np.prod(freq[ws[p : p + n]])) * total, p) for p in range(max(0, len(ws) - n + 1))]
-        if not grams and ws:
-            grams = [(0.0, 0)]
-        chosen = [g for g in grams if g[0] < rare] or sorted(grams)[: max(1, len(grams) // 4)]
-        for _, p in chosen:
-            out.setdefault(tuple(ws[p : p + n]), []).append((k, p))
-    return out
+        if len(ws) >= n:
+            for d in (1, 2):
+                keys.append(_pair_keys(ws[:-d], ws[d:], base))
+                who.append(np.full(len(ws) - d, k, np.int32))
+                where.append(np.arange(len(ws) - d, dtype=np.int32))
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    return key[order], np.concatenate(who)[order], np.concatenate(where)[order]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: float = 5.0, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
     """(id, item_id, score, n_seeds, first_word, end_word) of every document and item whose best local alignment reaches
     least_score of a full match of the item.
 
     Items are a stated query set: they are taken in blocks of at most `block` items, whose words and seeds are sent to
     all tasks (a bound on the broadcast), against all documents; a document is scanned once per block and nothing is
-    shuffled. Seeds that lie near one diagonal make one stretch, which is aligned once. Every hit of every rare seed
-    counts; no candidates are dropped. Items of fewer than n words match texts that are nothing else. Null or empty texts
-    and items match nothing; repeated rows give repeated results.
+    shuffled. The seeds lose nothing that alignment of every text with every item would find, whatever the corpus (see
+    _matches), if least_score times an item's words is above 1. Items of fewer than n words match texts that are nothing
+    else. Null or empty texts and items match nothing; repeated rows give repeated results.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = read_items(benchmark, item_col, item_text_col)
@@ -87,36 +67,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"id {kind}, item_id {item_kind}, score double, n_seeds int, first_word int, end_word int"
     out = None
     for at in range(0, len(items), block):
-        found = _block(rows, items[at : at + block], schema, n, rare, least_score)
+        found = _block(rows, items[at : at + block], schema, n, least_score)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _prepared(texts: DataFrame, items: list, n: int, rare: float) -> tuple:
-    """What a task needs of a block of items: word ids, item ids, coded items, and the seeds by their keys."""
-    vocabulary = sorted({w for _, ws in items for w in ws})
-    index = {w: k for k, w in enumerate(vocabulary)}
-    coded = [[index[w] for w in ws] for _, ws in items]
-    counts, total = word_counts(texts, vocabulary)
-    base = len(vocabulary) + 1
-    keys: dict[int, list[tuple[int, int]]] = {}
-    for gram, where in seeds_of(coded, counts, total, n, rare).items():
-        keys.setdefault(_key(gram, base, n), []).extend(where)
-    return index, [i for i, _ in items], [np.array(c, np.int64) for c in coded], np.array(sorted(keys), np.uint64), keys, base
+def _prepared(items: list, n: int) -> tuple:
+    """What a task needs of a block of items: word ids, item ids, coded items, the seeds, and the items below n words."""
+    index = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
+    coded = [np.array([index[w] for w in ws], np.int64) for _, ws in items]
+    short: dict[tuple[int, ...], list[int]] = {}
+    for k, ws in enumerate(coded):
+        if len(ws) < n:
+            short.setdefault(tuple(ws.tolist()), []).append(k)
+    base = len(index) + 1
+    return index, [i for i, _ in items], coded, seeds_of(coded, base, n), short, base
 
 
 def _judge(text: str | None, prepared: tuple, n: int, least_score: float) -> list[tuple]:
     """(item id, score, seeds, first word, end word) of the items that a text holds."""
-    index, ids, codes, sorted_keys, seeds, base = prepared
+    index, ids, codes, seeds, short, base = prepared
     ws = compared(text)
     if not ws:
         return []
     x = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
-    return [(ids[item], *rest) for item, *rest in _matches(x, codes, sorted_keys, seeds, base, n, least_score)]
+    return [(ids[item], *rest) for item, *rest in _matches(x, codes, seeds, short, base, n, least_score)]
 
 
-def _block(rows: DataFrame, items: list, schema: str, n: int, rare: float, least_score: float) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(_prepared(rows, items, n, rare))
+def _block(rows: DataFrame, items: list, schema: str, n: int, least_score: float) -> DataFrame:
+    sent = rows.sparkSession.sparkContext.broadcast(_prepared(items, n))
     item_type = [f for f in _fields(schema) if f[0] == "item_id"][0][1]
 
     def run(batches):
@@ -133,13 +112,13 @@ def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> list:
     return sorted(((i, w) for i, w in got if w), key=lambda x: (str(x[0]), x[1]))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: float = 5.0, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
     """The rows of docs, all columns, that leaks() finds nothing in. Rows are judged where they are read."""
     items = read_items(benchmark, item_col, item_text_col)
     at = docs.columns.index(text_col)
     out = docs
     for k in range(0, len(items), block):
-        sent = docs.sparkSession.sparkContext.broadcast(_prepared(docs.select(F.col(text_col).cast("string").alias("text")), items[k : k + block], n, rare))
+        sent = docs.sparkSession.sparkContext.broadcast(_prepared(items[k : k + block], n))
 
         def run(batches, sent=sent):
             for b in batches:
@@ -154,51 +133,56 @@ def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
     return [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
 
 
-def _key(gram, base: int, n: int) -> int:
-    key = 0
-    for w in gram:
-        key = (key * base + w + 1) & 0xFFFFFFFFFFFFFFFF
-    return (key * base ** (n - len(gram))) & 0xFFFFFFFFFFFFFFFF
-
-
-def _matches(x: np.ndarray, codes, sorted_keys, seeds, base: int, n: int, least_score: float):
-    """(item, score, seeds, first word, end word): the best stretch of each item that the seeds of one text point to."""
-    m = len(x) - n + 1
-    if m < 1:
-        x = np.concatenate([x, np.full(n - len(x), -1)])
-        m = 1
-    known = x >= 0
-    ok = np.flatnonzero(known[:m])
-    for k in range(1, n):
-        ok = ok[known[ok + k] | ((len(x) == n) & ~known[ok + k])] if m == 1 else ok[known[ok + k]]
-    if not len(ok):
-        return
-    key = np.zeros(len(ok), np.uint64)
-    for k in range(n):
-        key = key * np.uint64(base) + (x[ok + k] + 1).astype(np.uint64)
-    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
-    hits: dict[int, list[tuple[int, int]]] = {}
-    for k in np.flatnonzero(sorted_keys[at] == key).tolist():
-        for item, p in seeds[int(key[k])]:
-            hits.setdefault(item, []).append((int(ok[k]) - p, int(ok[k])))
-    for item, found in hits.items():
-        a = codes[item]
-        pad = max(4, len(a) // 2)
-        found.sort()
+def _pair_keys(a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    return a.astype(np.uint64) * np.uint64(base) + b.astype(np.uint64)
+
+
+def _matches(x: np.ndarray, codes, seeds, short, base: int, n: int, least_score: float):
+    """(item, score, seeds, first word, end word): the best stretch of each item that a text holds.
+
+    With 2 a match and -1 an error, m matches and g errors reach the share s of an item of L words only if g <= 2m - 2sL.
+    So at most m - sL neighbouring matches have two errors or more between them, and at least sL - 1 have one or none:
+    both their words are then one or two places apart in the item and in the text. The text's part has at most
+    m + g <= (3 - 2s) L words. Where fewer such pairs lie within so many words, no alignment can reach s.
+    """
+    if len(x) <= n:
+        own = x.tolist()
+        while own and own[-1] < 0:
+            own.pop()
+        for item in short.get(tuple(own), []):
+            yield item, 1.0, 1, 0, len(own)
+    keys, who, _ = seeds
+    found_item, found_at = [], []
+    for d in (1, 2):
+        at = np.flatnonzero((x[:-d] >= 0) & (x[d:] >= 0))
+        key = _pair_keys(x[at], x[at + d], base)
+        low = np.searchsorted(keys, key, side="left")
+        number = np.searchsorted(keys, key, side="right") - low
+        before = np.cumsum(number) - number
+        found_item.append(who[np.repeat(low - before, number) + np.arange(number.sum())])
+        found_at.append(np.repeat(at, number))
+    item, at = np.concatenate(found_item), np.concatenate(found_at)
+    order = np.lexsort((at, item))
+    item, at = item[order], at[order]
+    bounds = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item)).tolist()
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        k = int(item[low])
+        a, where = codes[k], at[low:high]
+        need, wide = max(1, math.ceil(least_score * len(a) - 1 - 1e-9)), math.ceil((3 - 2 * least_score) * len(a))
+        if high - low < need:
+            continue
+        hit = where[: len(where) - need + 1][where[need - 1 :] - where[: len(where) - need + 1] <= wide]
+        if not len(hit):
+            continue
         best = (0.0, 0, 0, 0)
-        k = 0
-        while k < len(found):
-            low, j = found[k][0], k
-            while j + 1 < len(found) and found[j + 1][0] - found[j][0] <= pad:
-                j += 1
-            first, last = max(0, low - pad), min(len(x), found[j][0] + len(a) + pad)
+        for part in np.split(hit, np.flatnonzero(np.diff(hit) > 2 * wide) + 1):
+            first, last = max(0, int(part[0]) - wide), min(len(x), int(part[-1]) + wide + 2)
             score, end = align(a, x[first:last])
             if score > best[0]:
-                best = (score, j - k + 1, first, first + end)
-            k = j + 1
+                best = (score, int(np.count_nonzero((where >= first) & (where < last))), first, first + end)
         share = best[0] / (2.0 * len(a))
         if share >= least_score:
-            yield item, share, best[1], max(best[2], best[3] - len(a) - pad), best[3]
+            yield k, share, best[1], max(best[2], best[3] - len(a) - max(4, len(a) // 2)), best[3]
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
