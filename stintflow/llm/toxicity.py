@@ -20,11 +20,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: list[str], m
     """(id, text, fold_key, y array<int>) of at most max_rows labelled rows, chosen by a hash of the id.
 
     max_rows is the documented bound on what the models are fitted on; it also bounds the broadcast side of the join.
-    Rows with a null id or a null label are not used.
+    Where several rows have one id, the one whose text has the least hash stands for it. Rows with a null id or a null
+    label are not used.
     """
     picked = labels.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("int") for c in categories]).alias("y")).filter("id is not null and not exists(y, v -> v is null)")
     picked = picked.groupBy("id").agg(F.min("y").alias("y")).withColumn("fold_key", F.xxhash64(F.col("id"), F.lit(seed))).orderBy("fold_key", "id").limit(max_rows)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
+    return rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("fold_key").alias("fold_key"), F.first("y").alias("y")).select("id", "text", "y", "fold_key")
 
 
 def vocabulary(sample: DataFrame, n_categories: int, size: int = 512, least: int = 5) -> list[bytes]:
