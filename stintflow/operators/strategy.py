@@ -125,8 +125,8 @@ def expected_costs(stints: DataFrame, parameters: DataFrame, keys: list[str], sc
 def drawn_costs(stints: DataFrame, parameters: DataFrame, keys: list[str], draws: int, penalty: float = 0.0, beta_mult: float = 1.0, seed: str = "s") -> DataFrame:
     """(keys, plan_id, stops, draw, cost): Monte Carlo with keyed randoms.
 
-    A slope is a clipped normal, a cliff one of the compound's quantiles or none, a control period starts by the lap's
-    hazard; all are functions of (decision, draw, what is drawn), so all plans of a decision see the same draws, whatever
+    A slope is a clipped normal, a cliff one of the compound's quantiles or none, a control period starts at a
+    uniform lap of four race lengths; all are functions of (decision, draw, what is drawn), so all plans of a decision see the same draws, whatever
     the partitioning. They are made once a decision and draw and joined to the stints by decision; stints of a plan and draw
     are summed by one aggregate.
     """
