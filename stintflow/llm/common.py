@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of the word pattern [^\x20\x09-\x0D]+ as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 _hash = xxhash.xxh64_intdigest
+_FOLDED: list[str] = []
 
 
 def words(text: str | None) -> list[bytes]:
@@ -46,21 +49,57 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def fold(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder of spark.checkpoint.dir, which all machines share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share.
 
-    A folder is set here only where the session has none, as in local tests.
+    A folder is made here only where the session has none, as in local tests.
     """
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc: SparkContext = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir("/tmp/stintflow-checkpoints")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        sc: SparkContext = spark.sparkContext
+        known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            known = sc._jsc.sc().getCheckpointDir()
+        where = known.get()
+    return where.rstrip("/")
+
+
+def fold(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage ends there and each task runs once.
+
+    (checkpoint() runs its last stage twice, once to count and once to write.) The tables stay until remove_folded().
+    """
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _FOLDED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folded(spark: SparkSession) -> int:
+    """Delete the tables that fold() has written in this process; call it when no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_FOLDED)
+    while _FOLDED:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDED.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with underscores behind it until no column of df has that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row; maps count by their sorted entries."""
+    named = [F.col(f"`{f.name}`") if f.dataType.typeName() != "map" else F.sort_array(F.map_entries(f"`{f.name}`")) for f in df.schema]
+    return F.xxhash64(*named), F.xxhash64(F.lit(1), *named)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

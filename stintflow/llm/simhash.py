@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import fold, lower_words, partitions
-from stintflow.llm.components import connected_components
+from stintflow.llm.common import fold, free_name, lower_words, partitions, row_hashes
+from stintflow.llm.components import EDGE, Stars, connected_components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -55,7 +55,7 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(max_group: int, radius: int):
-    """Over rows sorted by (part, key, fp): verified links inside small buckets, members of large ones.
+    """Over rows sorted by (part, key, fp): stars of the verified links inside small buckets, members of large ones (a = b).
 
     Rows of one bucket are compared at growing offsets, all buckets at once; what is carried from batch to batch is
     at most max_group + 1 rows, since a bucket that grows past this is only passed on.
@@ -67,7 +67,7 @@ def _runs(max_group: int, radius: int):
         size = np.diff(np.append(start, len(key)))
         each = np.repeat(size, size)
         big = each > max_group
-        out_a, out_b = [], []
+        out_a, out_b = [fp[:0]], [fp[:0]]
         rank = np.arange(len(key)) - np.repeat(start, size)
         at = np.flatnonzero(~big & (each > 1))
         for k in range(1, max_group):
@@ -78,21 +78,17 @@ def _runs(max_group: int, radius: int):
             ok = _popcount(a ^ b) <= radius
             out_a.append(a[ok])
             out_b.append(b[ok])
-        return (np.concatenate(out_a) if out_a else fp[:0], np.concatenate(out_b) if out_b else fp[:0], fp[big])
+        return np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64), fp[big]
+
+    def passed(big):
+        if len(big):
+            big = pa.array(np.unique(big).view(np.int64))
+            yield pa.RecordBatch.from_arrays([big, big], ["a", "b"])
 
     def run(batches):
+        found = Stars()
         tail: list[np.ndarray] | None = None
         open_key, flooded = None, False
-
-        def emit(a, b, big):
-            if len(a):
-                lo, hi = np.minimum(a.view(np.int64), b.view(np.int64)), np.maximum(a.view(np.int64), b.view(np.int64))
-                pairs = np.unique(np.stack([lo, hi], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "large"])
-            if len(big):
-                big = np.unique(big).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(big), pa.array(big), pa.array(np.ones(len(big), bool))], ["a", "b", "large"])
-
         for batch in batches:
             cols = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
             if not len(cols[0]):
@@ -103,7 +99,7 @@ def _runs(max_group: int, radius: int):
             if flooded:  # the bucket that went over is still running: its members are only passed on
                 same = (part == open_key[0]) & (key == open_key[1])
                 n = len(same) if same.all() else int(np.argmin(same))
-                yield from emit(fp[:0], fp[:0], fp[:n])
+                yield from passed(fp[:n])
                 part, key, fp = part[n:], key[n:], fp[n:]
                 if not len(part):
                     tail = None
@@ -111,15 +107,21 @@ def _runs(max_group: int, radius: int):
                 flooded = False
             last = (part == part[-1]) & (key == key[-1])
             first = len(part) - int(last.sum())
-            yield from emit(*links(part[:first], key[:first], fp[:first])) if first else ()
+            if first:
+                a, b, big = links(part[:first], key[:first], fp[:first])
+                yield from found.add(a, b)
+                yield from passed(big)
             open_key = (part[-1], key[-1])
             if len(part) - first > max_group:
-                yield from emit(fp[:0], fp[:0], fp[first:])
+                yield from passed(fp[first:])
                 flooded, tail = True, None
             else:
                 tail = [part[first:], key[first:], fp[first:]]
         if tail is not None and len(tail[0]):
-            yield from emit(*links(*tail))
+            a, b, big = links(*tail)
+            yield from found.add(a, b)
+            yield from passed(big)
+        yield from found.rest()
 
     return run
 
@@ -145,15 +147,16 @@ def links(spark: SparkSession, fps: DataFrame, radius: int = 4, blocks: int = 2,
         piece = F.shiftrightunsigned(F.col("fp"), part * width).bitwiseAND(F.lit(low))
         rows = fps.select(F.lit(part).cast("byte").alias("part"), piece.alias("piece"), "fp").select("part", F.explode(masks).alias("mask"), "piece", "fp").select("part", F.col("piece").bitwiseXOR(F.col("mask").cast("long")).alias("key"), "fp")
         keyed = rows if keyed is None else keyed.unionByName(rows)
-    found = fold(spark, keyed.repartition(partitions(spark), "part", "key").sortWithinPartitions("part", "key", "fp").mapInArrow(_runs(max_group, radius), "a long, b long, large boolean"))
-    near = found.filter("not large").select("a", "b").distinct()
-    return near.unionByName(_whole_ball(found.filter("large").select(F.col("a").alias("fp")).distinct(), radius))
+    found = fold(spark, keyed.repartition(partitions(spark), "part", "key").sortWithinPartitions("part", "key", "fp").mapInArrow(_runs(max_group, radius), EDGE), "links")
+    near = found.filter("a <> b")
+    return near.unionByName(_whole_ball(found.filter("a = b").select(F.col("a").alias("fp")).distinct(), radius))
 
 
 def _whole_ball(fps: DataFrame, radius: int) -> DataFrame:
-    """Stars of all fingerprints that share a variant within half the radius (an odd radius gets one exact check more).
+    """Stars of all fingerprints that share a variant within half the radius (for an even radius).
 
-    The masks are taken in slices, so that a row makes a bounded array at a time.
+    Variants are dealt by their value and sorted; the fingerprints of a variant, as many as its own ball at most, are tied
+    to the first. The masks are taken in slices, so that a row makes a bounded array at a time.
     """
     if radius % 2:
         raise ValueError("the ball of whole fingerprints needs an even radius")
@@ -167,11 +170,21 @@ def _whole_ball(fps: DataFrame, radius: int) -> DataFrame:
                 part = fp[at : at + 256]
                 yield pa.RecordBatch.from_arrays([pa.array((part[:, None] ^ flips[None, :]).ravel()), pa.array(np.repeat(part, len(flips)))], ["key", "fp"])
 
-    keyed = fps.mapInArrow(variants, "key long, fp long")
-    stars = keyed.groupBy("key").agg(F.min("fp").alias("least"), F.max("fp").alias("most"), F.count("*").alias("n")).filter("n > 1")
-    pairs = stars.filter("n = 2").select(F.col("least").alias("a"), F.col("most").alias("b"))
-    many = keyed.join(stars.filter("n > 2").select("key", "least"), "key").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return pairs.unionByName(many).distinct()
+    def meet(batches):
+        found, last, least = Stars(), None, None
+        for b in batches:
+            key, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(key):
+                continue
+            new = np.concatenate(([last is None or key[0] != last], key[1:] != key[:-1]))
+            low = np.concatenate(([least if least is not None else fp[0]], fp[new]))[np.cumsum(new)]
+            last, least = key[-1], low[-1]
+            tied = fp != low
+            yield from found.add(fp[tied], low[tied])
+        yield from found.rest()
+
+    keyed = fps.mapInArrow(variants, "key long, fp long").repartition(partitions(fps.sparkSession), "key")
+    return keyed.sortWithinPartitions("key", "fp").mapInArrow(meet, EDGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, blocks: int = 2, max_group: int = 64) -> DataFrame:
@@ -182,26 +195,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     texts have fingerprint zero and are linked like any other; rows with one id twice each get their own line; a null id
     never becomes a component's name unless nothing else is in it. An empty table gives an empty one.
     """
-    rows = fold(spark, fingerprints(docs, id_col, text_col, shingle))
+    rows = fold(spark, fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     comps = connected_components(spark, links(spark, nodes.select("fp"), radius, blocks, max_group))
-    named = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    groups = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(groups, "component").select("fp", "component_id")
-    return rows.join(classes, "fp", "left").select("id", "fp", "component_id")
+    linked = nodes.join(comps.withColumnRenamed("node", "fp").hint("merge"), "fp")
+    groups = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = linked.join(groups.hint("merge"), "component").select("fp", "component_id")
+    named = nodes.join(classes.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.join(named.hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each class of near duplicates: that of the smallest id (a null id only if there is no other).
 
-    Rows are told apart by a hash of all their columns, so equal rows count as one; the survivors come back by a semi-join
-    on it, and equal rows meet there without another shuffle.
+    Rows are told apart by 128 bits of hashes of all their columns, so equal rows count as one; the survivors come back by
+    a semi-join on these, and equal rows meet there without another shuffle. The hashes' columns get names that docs
+    doesn't have.
     """
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "__row").alias("key"), F.col(text_col).alias("text"))
+    r1, r2 = free_name(docs, "row_hash"), free_name(docs, "row_check")
+    h1, h2 = row_hashes(docs)
+    rows = docs.withColumns({r1: h1, r2: h2})
+    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(r1).alias("h"), F.col(r2).alias("c")).alias("key"), F.col(text_col).alias("text"))
     found = near_duplicates(spark, keyed, "key", "text", **how)
-    best = found.filter("id = component_id").select(F.col("id.__row").alias("__row")).distinct()
-    return rows.join(best, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    best = found.filter("id = component_id").select(F.col("id.h").alias(r1), F.col("id.c").alias(r2)).distinct()
+    return rows.join(best.hint("merge"), [r1, r2], "left_semi").dropDuplicates([r1, r2]).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
