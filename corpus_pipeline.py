@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import ensure_checkpoint_dir
+from stintflow.llm.common import fold, free_name
 from stintflow.llm.decontaminate import without_leaks
 from stintflow.llm.packing import pack_documents
 from stintflow.llm.pii import KEY, pseudonymise
@@ -32,10 +30,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms; n_chars follows the text where it changed."""
-    out = pseudonymise(docs.withColumn("__old", F.length("text")), KEY)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", (F.col("n_chars") + F.coalesce(F.length("text") - F.col("__old"), F.lit(0))).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return pseudonymise(docs, KEY)
+    old = free_name(docs, "old_length")
+    out = pseudonymise(docs.withColumn(old, F.length("text")), KEY)
+    grown = F.col("n_chars") + F.coalesce(F.length("text") - F.col(old), F.lit(0))
+    return out.withColumn("n_chars", grown.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,12 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written to the shared folder and read again."""
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """The stages over documents; each result is written to the shared folder and read again as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = fold(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
