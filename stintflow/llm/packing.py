@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stintflow.llm.common import fold
 
-_SALTS = 64
+_GROUP = 1_000_000
 
 
 def _default_tokenizer() -> str:
@@ -66,7 +66,10 @@ class ChunkTokenizer:
             for c in new:
                 s = c.decode("utf-8")
                 core = s.rstrip(_MARKS)
-                cut[c] = (core if "\u03a3" in core else core.lower(), s[len(core) :]) if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core)) else (s, "")
+                low = core if "\u03a3" in core else core.lower()
+                # A letter whose lower case ends in a combining mark would draw the marks behind it into its own pre-token.
+                letters = core.isalpha() and (core.isascii() or (core.lower().isalpha() and unicodedata.is_normalized("NFC", core)))
+                cut[c] = (low, s[len(core) :]) if letters else (s, "")
             fresh = self.encode_parts(list({p for both in cut.values() for p in both if p and p not in self.parts}))
             get = lambda p: self.parts[p] if p in self.parts else fresh[p] if p else b""
             known = {c: get(a) + get(b) for c, (a, b) in cut.items()}
@@ -119,7 +122,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 @dataclass(frozen=True)
 class Limits:
-    """Capacities of a sequence. Attention cost is the sum of squared piece lengths (block-diagonal attention)."""
+    """Capacities of a sequence. Attention cost is the sum of squared piece lengths (block-diagonal attention).
+
+    With the defaults, those of op7_packing, only the tokens can bind: a sequence has no more pieces than tokens, and the
+    sum of squares is at most the square of the sum. The other two then only weigh in the score; lower limits bind.
+    """
 
     tokens: int = 4096
     documents: int = 4096
@@ -185,19 +192,28 @@ def plan(counts: dict[int, int], limits: Limits) -> list[tuple[int, int, int, in
 def pack(spark: SparkSession, cut: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """cut (id, piece, start, length, ...) with sequence_id and offset.
 
-    Pieces are numbered within (length, salt of the id), so that a length shared by a third of all rows is dealt over
-    64 groups; the groups' sizes give each piece its rank among its length. Only the histogram by length reaches the
-    driver, and only the plan made from it is broadcast; both are bounded by the capacities. Rows with equal ids and
+    Pieces that fill a sequence alone are numbered where they lie, below zero, without a shuffle. The others are numbered
+    within (length, salt of the id), with a salt for each million pieces of a length, so that no group grows with the
+    table; the groups' sizes give each piece its rank among its length. Only the histogram by length and the groups' sizes
+    (a number for each million pieces) reach the driver, and the plan made from them is broadcast. Rows with equal ids and
     pieces stay separate pieces. An empty table gives an empty one.
     """
-    rows = fold(spark, cut.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(_SALTS)).cast("int")))
+    alone = F.col("length") == limits.tokens
+    stored = fold(spark, cut, "pieces")
+    full = stored.filter(alone).withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
+    total = {r["length"]: r["n"] for r in stored.filter(~alone).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = {n: -(-m // _GROUP) for n, m in total.items() if m > _GROUP}
+    salt = F.lit(0)
+    if salts:
+        number = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+        salt = F.pmod(F.xxhash64("id", "piece"), F.coalesce(F.try_element_at(number, "length"), F.lit(1))).cast("int")
+    rows = stored.filter(~alone).withColumn("salt", salt)
     sizes = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     by_length: dict[int, dict[int, int]] = {}
-    total: dict[int, int] = {}
-    for r in sizes.collect():
-        by_length.setdefault(r["length"], {})[r["salt"]] = r["before"]
-        total[r["length"]] = total.get(r["length"], 0) + r["n"]
+    done: dict[int, int] = {}
+    for r in sorted(sizes.collect(), key=lambda r: (r["length"], r["salt"])):
+        by_length.setdefault(r["length"], {})[r["salt"]] = done.get(r["length"], 0)
+        done[r["length"]] = done.get(r["length"], 0) + r["n"]
     table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     grouped: dict[int, list] = {}
     for length, rank, n, seq, offset in plan(total, limits):
@@ -224,7 +240,7 @@ def pack(spark: SparkSession, cut: DataFrame, limits: Limits = Limits()) -> Data
 
     keep = [c for c in rows.columns if c != "salt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "salt") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).unionByName(full)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
