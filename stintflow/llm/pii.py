@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stintflow.llm.common import free_name
+
 ROUNDS = 8
 DIGITS, HEX, BASE36, UPPER36 = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Stands for the three alphabets 0-9, a-z and A-Z: each symbol stays within its own.
+BY_CLASS = ""
+KEY_CONF = "spark.stintflow.pii.key"
 
 #: What a match may be, tried in this order at each place. Runs are taken whole (trailing digits are consumed), so that
 #: a part of a longer number is never mistaken for a number; each match is then validated.
@@ -37,7 +44,9 @@ def _round(key: str, kind: str, r: int, other: Column) -> Column:
 
 
 def _add_digits(half: Column, noise: Column, charset: str) -> Column:
-    """The symbols of half, each moved within charset by its own four digits of noise."""
+    """The symbols of half, each moved within charset (or its own class) by its own four digits of noise."""
+    if not charset:
+        return _add_in_class(half, noise)
     base = len(charset)
     return F.when(F.length(half) == 0, F.lit("")).otherwise(
         F.array_join(
@@ -50,9 +59,21 @@ def _add_digits(half: Column, noise: Column, charset: str) -> Column:
     )
 
 
+def _add_in_class(half: Column, noise: Column) -> Column:
+    def moved(i: Column) -> Column:
+        code = F.ascii(F.substr(half, i, F.lit(1)))
+        first = F.when(code <= 57, 48).when(code <= 90, 65).otherwise(97)
+        size = F.when(code <= 57, 10).otherwise(26)
+        step = F.conv(F.substr(noise, ((i - 1) % 32) * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        return F.char(first + (code - first + step) % size)
+
+    return F.when(F.length(half) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(half), F.lit(1))), moved), ""))
+
+
 def permute_symbols(value: Column, charset: str, key: str, kind: str) -> Column:
     """A keyed permutation of the strings over charset of value's length: an alternating Feistel network whose round
-    adds digits modulo the size of the charset. Its inverse subtracts them in reverse order."""
+    adds digits modulo the size of the charset. Its inverse subtracts them in reverse order. With BY_CLASS, the strings
+    with a digit, a small or a capital letter in the same places are permuted among themselves."""
     cut = F.floor(F.length(value) / 2).cast("int")
     state = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value)).alias("r"))
     # A lambda with a second parameter would get the place in the array for it, so rounds are bound by a function.
@@ -169,8 +190,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
     def password() -> Column:
         value = F.regexp_extract(m, r"([0-9A-Za-z]+)$", 1)
-        charset = F.when(value.rlike("^[0-9a-f]+$"), permute_symbols(value, HEX, key, "secret")).otherwise(permute_symbols(F.lower(value), BASE36, key, "secret"))
-        return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), charset)
+        return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), permute_symbols(value, BY_CLASS, key, "secret"))
 
     return (
         F.when(kind == "card", card())
@@ -190,27 +210,44 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """docs with the personal data of text_col replaced; kinds_col, if given, gets the kinds found, in order.
 
-    Every column but the text stays. Every text is searched; a null text stays null and an empty one empty. Equal values get equal pseudonyms in all documents; different values of one format get
-    different ones. The expressions are native; nothing is shuffled.
+    Every column but the text stays, whatever its name; kinds_col must be a new one. Every text is searched; a null text
+    stays null and an empty one empty. Equal values get equal pseudonyms in all documents; different values of one format
+    get different ones. Two rules are meant: e-mail addresses that differ only in case count as equal, and an address keeps
+    its domain in clear text. Who knows the key can invert every pseudonym. The expressions are native; nothing is
+    shuffled.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    if kinds_col and kinds_col.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is already a column {kinds_col}")
+    found_col, text_out = free_name(docs, "found"), free_name(docs, "replaced")
     text = F.col(text_col)
     found = F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
     judged = F.transform(found, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k")))
-    work = docs.withColumn("__found", judged)
-    hits = F.exists("__found", lambda x: x["k"].isNotNull())
-    replaced = F.transform("__found", lambda x: F.when(x["k"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["k"], key)))
+    work = docs.withColumn(found_col, judged)
+    hits = F.exists(found_col, lambda x: x["k"].isNotNull())
+    replaced = F.transform(found_col, lambda x: F.when(x["k"].isNull(), x["m"]).otherwise(pseudonym(x["m"], x["k"], key)))
     gaps = F.split(text, PATTERN, -1)
     rebuilt = F.array_join(F.zip_with(gaps, replaced, lambda g, r: F.concat(g, F.coalesce(r, F.lit("")))), "")
-    out = work.withColumn("__text", F.when(hits, rebuilt).otherwise(text))
+    out = work.withColumn(text_out, F.when(hits, rebuilt).otherwise(text))
     if kinds_col:
-        out = out.withColumn(kinds_col, F.transform(F.filter("__found", lambda x: x["k"].isNotNull()), lambda x: x["k"]))
-    order = [F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
+        out = out.withColumn(kinds_col, F.transform(F.filter(found_col, lambda x: x["k"].isNotNull()), lambda x: x["k"]))
+    order = [F.col(text_out).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*order, *([F.col(kinds_col)] if kinds_col else []))
 
 
-KEY = "stintflow"
+def session_key(spark: SparkSession) -> str:
+    """The key of the session's setting spark.stintflow.pii.key; where it is unset, a random one is made and set.
+
+    Set it to link pseudonyms between sessions, and keep it as secret as the data.
+    """
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_CONF, key)
+    return key
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs, KEY, kinds_col="kinds").select("doc_id", "text", F.array_join("kinds", ",").alias("kinds"))
+    return pseudonymise(docs, session_key(spark), kinds_col="kinds").select("doc_id", "text", F.array_join("kinds", ",").alias("kinds"))
