@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stintflow.llm.common import fold, free_name
 from stintflow.llm.decontaminate import without_leaks
 from stintflow.llm.packing import pack_documents
-from stintflow.llm.pii import KEY, pseudonymise
+from stintflow.llm.pii import pseudonymise, session_key
 from stintflow.llm.simhash import keep_one
 from stintflow.llm.toxicity import without_toxic
 
@@ -31,9 +31,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms; n_chars follows the text where it changed."""
     if "n_chars" not in docs.columns:
-        return pseudonymise(docs, KEY)
+        return pseudonymise(docs, session_key(spark))
     old = free_name(docs, "old_length")
-    out = pseudonymise(docs.withColumn(old, F.length("text")), KEY)
+    out = pseudonymise(docs.withColumn(old, F.length("text")), session_key(spark))
     grown = F.col("n_chars") + F.coalesce(F.length("text") - F.col(old), F.lit(0))
     return out.withColumn("n_chars", grown.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
