@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import fold, hash_words, lower_words, mix
+from stintflow.llm.common import fold, free_name, hash_words, lower_words, mix
 
 _FEATURES = 1 << 14
 
@@ -80,54 +80,53 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def gumbel_top_k(spark: SparkSession, scored: DataFrame, k: int | None = None, bins: int = 1024, most: int = 10_000) -> DataFrame:
-    """scored with selected: whether a row is among the k largest (key, smaller id first on ties).
+    """scored with selected: whether a row is among the k largest keys, of rows with any type of id; exactly k are.
 
-    By default k is the number of rows that the target model finds likelier than the raw one. The k-th key is found by
-    counting: rows are counted in `bins` equal steps of key, and again inside the step that holds the k-th, until that
-    step has at most `most` rows, or one key alone, whose ids are then counted the same way. Only counts reach the driver,
-    and at the end those few rows; nothing is sorted as a whole.
+    By default k is the number of rows that the target model finds likelier than the raw one. Of equal keys, those with
+    smaller ids come first if ids are whole numbers (null ones last), then a hash of the row decides, then the row's place in
+    the stored table, so that repeated rows count one by one. The
+    k-th row is found by counting (see _nth), thus only counts and a few values reach the driver and nothing is sorted
+    as a whole.
     """
-    rows = fold(spark, scored)
+    place, tie = free_name(scored, "place"), free_name(scored, "tie")
+    rows = fold(spark, scored.withColumns({place: F.monotonically_increasing_id(), tie: F.shiftrightunsigned(F.xxhash64(*scored.columns), 11)}), "scored")
     if k is None:
         k = rows.filter("log_weight > 0").count()
-    if k <= 0:
-        return rows.withColumn("selected", F.lit(False))
-    if k >= rows.count():
-        return rows.withColumn("selected", F.lit(True))
-    inside, need = F.lit(True), k
-    while True:
-        low, high, n = rows.filter(inside).agg(F.min("key"), F.max("key"), F.count("*")).first()
-        if n <= most or low == high:
+    if k <= 0 or k >= rows.count():
+        return rows.select(*scored.columns, F.lit(k > 0).alias("selected"))
+    chosen, level, need = F.lit(False), F.lit(True), k
+    small_first = []
+    if scored.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        small_first = [free_name(rows, "order")]
+        rows = rows.withColumn(small_first[0], F.coalesce(-F.col("id").cast("long"), F.lit(-(1 << 63))))
+    for by in ("key", *small_first, tie, place):
+        cut, need, ties = _nth(rows.filter(level), by, need, bins, most)
+        chosen = chosen | (level & (F.col(by) > F.lit(cut)))
+        level = level & (F.col(by) == F.lit(cut))
+        if need == ties:
+            chosen = chosen | level
             break
-        step = F.least(F.floor((F.col("key") - low) / ((high - low) / bins)), F.lit(bins - 1))
-        seen = 0
-        for b, m in sorted(((r["b"], r["n"]) for r in rows.filter(inside).groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
-            if seen + m >= need:
-                inside, need = inside & (step == b), need - seen
-                break
-            seen += m
-    if low == high:
-        cut, last = low, _kth_id(rows.filter(inside), need, most)
-    else:
-        edge = sorted(((-r["key"], r["id"]) for r in rows.filter(inside).select("key", "id").collect()), key=lambda x: (x[0], x[1] is None, x[1]))[need - 1]
-        cut, last = -edge[0], edge[1]
-    chosen = F.col("key") > cut
-    return rows.withColumn("selected", chosen | ((F.col("key") == cut) & (F.coalesce(F.col("id") <= F.lit(last), F.lit(last is None)))))
-
-
-def _kth_id(ties: DataFrame, need: int, most: int, bins: int = 1024):
-    """The need-th smallest id among rows of one key; rows of one id stay together, and null ids come last."""
+    return rows.select(*scored.columns, chosen.alias("selected"))
+
+
+def _nth(rows: DataFrame, by: str, need: int, bins: int, most: int) -> tuple[float, int, int]:
+    """The need-th largest value of a numeric column, how many of its rows are needed, and how many rows have it.
+
+    Rows are counted in `bins` equal steps, and again inside the step that holds the value, until that step has at most
+    `most` rows, whose values are then read, or one value alone.
+    """
     while True:
-        low, high, n = ties.agg(F.min("id"), F.max("id"), F.count("id")).first()
-        if need > n or low is None:
-            return None
-        if n <= most or low == high:
-            return sorted(r["id"] for r in ties.filter("id is not null").select("id").collect())[need - 1] if low != high else low
-        width = max(1, -(-(high - low + 1) // bins))
-        step = F.floor((F.col("id") - F.lit(low)) / F.lit(width))
-        for b, m in sorted((r["b"], r["n"]) for r in ties.filter("id is not null").groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()):
+        low, high, n = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+        if low == high:
+            return low, need, n
+        if n <= most:
+            values = sorted((r[0] for r in rows.select(by).collect()), reverse=True)
+            cut = values[need - 1]
+            return cut, need - sum(v > cut for v in values), sum(v == cut for v in values)
+        step = F.least(F.floor((F.col(by).cast("double") - F.lit(float(low))) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        for b, m in sorted(((r["b"], r["n"]) for r in rows.groupBy(step.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True):
             if need <= m:
-                ties = ties.filter(step == b)
+                rows = rows.filter(step == b)
                 break
             need -= m
 
