@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 #: Bytes stripped from both ends of a word before words are compared.
@@ -62,12 +63,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     else. Null or empty texts and items match nothing; repeated rows give repeated results.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = read_items(benchmark, item_col, item_text_col)
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {kind}, item_id {item_kind}, score double, n_seeds int, first_word int, end_word int"
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    schema = f"id {kind}, item_id {item_kind.simpleString()}, score double, n_seeds int, first_word int, end_word int"
     out = None
-    for at in range(0, len(items), block):
-        found = _block(rows, items[at : at + block], schema, n, least_score)
+    for items in item_blocks(benchmark, item_col, item_text_col, block):
+        found = _block(rows, items, schema, to_arrow_type(item_kind), n, least_score)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -94,9 +94,8 @@ def _judge(text: str | None, prepared: tuple, n: int, least_score: float) -> lis
     return [(ids[item], *rest) for item, *rest in _matches(x, codes, seeds, short, base, n, least_score)]
 
 
-def _block(rows: DataFrame, items: list, schema: str, n: int, least_score: float) -> DataFrame:
+def _block(rows: DataFrame, items: list, schema: str, item_type: pa.DataType, n: int, least_score: float) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_prepared(items, n))
-    item_type = [f for f in _fields(schema) if f[0] == "item_id"][0][1]
 
     def run(batches):
         for b in batches:
@@ -107,18 +106,25 @@ def _block(rows: DataFrame, items: list, schema: str, n: int, least_score: float
     return rows.mapInArrow(run, schema)
 
 
-def read_items(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    got = [(r[0], compared(r[1])) for r in benchmark.select(F.col(item_col), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator()]
-    return sorted(((i, w) for i, w in got if w), key=lambda x: (str(x[0]), x[1]))
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
+    """Lists of at most block (item id, words), sorted; the driver holds one partition of items and one block at a time."""
+    held = []
+    for r in benchmark.select(F.col(item_col), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator():
+        if ws := compared(r[1]):
+            held.append((r[0], ws))
+        if len(held) == block:
+            yield sorted(held, key=lambda x: (str(x[0]), x[1]))
+            held = []
+    if held:
+        yield sorted(held, key=lambda x: (str(x[0]), x[1]))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
     """The rows of docs, all columns, that leaks() finds nothing in. Rows are judged where they are read."""
-    items = read_items(benchmark, item_col, item_text_col)
     at = docs.columns.index(text_col)
     out = docs
-    for k in range(0, len(items), block):
-        sent = docs.sparkSession.sparkContext.broadcast(_prepared(items[k : k + block], n))
+    for items in item_blocks(benchmark, item_col, item_text_col, block):
+        sent = docs.sparkSession.sparkContext.broadcast(_prepared(items, n))
 
         def run(batches, sent=sent):
             for b in batches:
@@ -128,11 +134,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out
 
 
-def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "long": pa.int64()}
-    return [(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
-
-
 def _pair_keys(a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
     return a.astype(np.uint64) * np.uint64(base) + b.astype(np.uint64)
 
