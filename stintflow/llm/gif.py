@@ -366,10 +366,11 @@ def _slices(b: pa.RecordBatch, most: int = 4_000_000):
         at = k
 
 
-def timed_frames(media: DataFrame, id_col: str = "id", gif_col: str = "gif") -> DataFrame:
+def timed_frames(media: DataFrame, id_col: str = "id", gif_col: str = "gif", max_pixels: int = 1 << 24) -> DataFrame:
     """(id, frame, start_ms, duration_ms, width, height, rgba, histogram) of every frame of a column of GIF files.
 
-    A null or unreadable file has no rows. rgba is the composited screen, row by row.
+    A null or unreadable file has no rows, and neither has one whose header asks for a screen of over max_pixels. rgba is
+    the composited screen, row by row.
     """
 
     def run(batches):
@@ -377,7 +378,7 @@ def timed_frames(media: DataFrame, id_col: str = "id", gif_col: str = "gif") ->
             for k in range(0, len(b), 64):
                 part = b.slice(k, 64)
                 rows = []
-                good = [(i, g) for i, g in zip(range(len(part)), map(_try_parse, part.column(1).to_pylist()), strict=True) if g]
+                good = [(i, g) for i, g in zip(range(len(part)), map(_try_parse, part.column(1).to_pylist()), strict=True) if g and g.width * g.height <= max_pixels]
                 fill([g for _, g in good])
                 for i, g in good:
                     clock = 0

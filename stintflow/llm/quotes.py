@@ -64,7 +64,8 @@ def link_quotes(spark: SparkSession, messages: DataFrame, conv_col: str = "conv_
     their links; an empty table gives an empty one.
     """
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("raw")).withColumn("lines", parsed(F.col("raw")))
-    own = rows.withColumn("text", own_text(F.col("lines"))).withColumn("parts", blocks(F.col("lines"))).withColumn("quotes", F.filter("parts", lambda b: b["level"] > 0))
+    # Messages are parsed once; passages, originals and the result read the stored blocks.
+    own = fold(spark, rows.select("conv", "turn", "role", own_text(F.col("lines")).alias("text"), blocks(F.col("lines")).alias("parts")), "messages").withColumn("quotes", F.filter("parts", lambda b: b["level"] > 0))
     keyed = own.filter("conv is not null and turn is not null")
     passages = keyed.filter(F.size("quotes") > 0).select("conv", "turn", F.posexplode("quotes").alias("passage", "q")).select("conv", "turn", "passage", F.col("q.level").alias("level"), F.explode(units(F.col("q.lines"))).alias("unit"))
     passages = fold(spark, passages)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import hash_words, mix, partitions, words
+from stintflow.llm.common import fold, hash_words, mix, partitions, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK_BITS = 22
@@ -148,7 +148,8 @@ def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndar
     parts = docs.select("text").mapInArrow(build, "block int, seen binary, again binary")
     merged = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, again binary")
     out = np.zeros((rows << (bits - size), 1 << (size - 3)), np.uint8)
-    for r in merged.toLocalIterator():
+    # All blocks are merged in one job; what is read back is at most 64 MB a row of the sketch.
+    for r in fold(docs.sparkSession, merged, "sketch").coalesce(4).toLocalIterator():
         out[r["block"]] = np.frombuffer(r["again"], np.uint8)
     return out.reshape(rows, -1)
 
@@ -284,8 +285,11 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     A window of width words is repeated if it also starts in a row with a smaller id; windows are judged on the input.
     Windows are told apart by a 64-bit hash. Rows with the same id never count against each other; a null id neither
     removes nor loses anything; null and blank texts have no words and stay as an empty text. An empty table gives an
-    empty one.
+    empty one. Ids are whole numbers; ids of another type raise a ValueError.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids must be whole numbers, not {kind}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).select("id", "body", "text")
     runs = repeated_runs(spark, rows, width).groupBy("id", "body").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 

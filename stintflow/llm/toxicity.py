@@ -178,8 +178,13 @@ def fit_chain(spark: SparkSession, sample: DataFrame, categories: list[str], siz
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "p_") -> DataFrame:
-    """docs with a column <prefix><category> for each category; null and empty texts are scored as texts without words."""
+    """docs with a column <prefix><category> for each category; null and empty texts are scored as texts without words.
+
+    A column of docs that has such a name already, in any case, is replaced.
+    """
     spark = docs.sparkSession
+    new = {f"{prefix}{c}".lower() for c in chain.categories}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
     sent = spark.sparkContext.broadcast((chain.categories, chain.words, chain.weights, chain.thresholds))
     names = [f"{prefix}{c}" for c in chain.categories]
 
@@ -225,7 +230,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, categ
     """The rows of docs, all columns, that the chain doesn't judge toxic."""
     own = categories or CATEGORIES
     chain = fit_chain(spark, labelled_sample(docs, labels, own, max_rows), own)
-    return score(docs, chain, prefix="__p_").filter(F.col(f"__p_{own[-1]}") < chain.thresholds[-1]).select(*docs.columns)
+    prefix = "p_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return score(docs, chain, prefix=prefix).filter(F.col(f"{prefix}{own[-1]}") < chain.thresholds[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
