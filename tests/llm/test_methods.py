@@ -285,37 +285,107 @@ def test_language_model_base_and_gain(spark, sf, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_add_up():
-    s = pitman_yor.Settings(samples=2)
-    rng = np.random.default_rng(9)
-    words, u = 30, rng.integers(0, 256, 200)
-    row = np.sort(rng.integers(0, words, 200))
-    key = np.unique(row * 256 + u)
-    row, u, c = key // 256, key % 256, rng.integers(1, 9, len(key))
-    c2 = np.bincount(u, c, 256)
-    t0 = pitman_yor.Totals(int(c.sum()), words, c2, np.bincount(u, minlength=256).astype(float), np.full(16, 10.0), float(words))
-    sweeps = pitman_yor.gibbs(row, u, c, words, t0, s, rng, [pitman_yor.log_stirling(d) for d in s.discount])
-    next(sweeps)
-    t2, t1, t00, mid_row, mid_g = next(sweeps)
-    assert (t2 >= 1).all() and (t2 <= c).all()
-    after = pitman_yor.Totals(t0.tokens, words, c2, np.bincount(u, t2, 256), np.bincount(mid_g, t1, 16), float(t00.sum()))
-    for ctx in (int(u[0]), 7):
-        total = 0.0
-        for w in range(words + 1):  # one more: any unseen word
-            at2, at1 = (row == w) & (u == ctx), (mid_row == w) & (mid_g == ctx >> 4)
-            below = (row == w) & (u >> 4 == ctx >> 4)
-            total += pitman_yor.predictive(c[at2].sum(), t2[at2].sum(), t2[below].sum(), t1[at1].sum(), t1[mid_row == w].sum(), t00[w] if w < words else 0, np.int64(ctx), after, s)
-        assert total == pytest.approx(1.0)
+def _trigram_model(docs, s):
+    """A bucket of all tokens of docs (lists of words), with the root given: what the operator's tasks hold."""
+    buffer = pitman_yor.Buffer()
+    for d in docs:
+        buffer.add(" ".join(d))
+    two, before, w, text = buffer.columns()
+    h = buffer.hashes()
+    n = np.bincount(w, minlength=len(h))
+    head = pitman_yor.Head(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), 1.0 / (int((n > 0).sum()) + 1))
+    order = np.argsort(before, kind="stable")
+    codes = np.full(len(h), -1)
+    more = (np.array([0, len(docs)]), np.packbits(np.ones(len(docs), np.uint8)))
+    values = [v for _, v in pitman_yor._blobs(np.zeros(len(w), np.int64), [before[order], two[order], w[order]], head, h, codes, text[order].astype(np.uint32), more)]
+    own = pitman_yor.Contents(values, head, 2)
+    at = pitman_yor._order([own.context, *own.words], [len(own.contexts), own.n_codes, own.n_codes])
+    context, two, word = own.context[at], own.words[0][at], own.words[1][at]
+    first = pitman_yor._starts(context, two, word)
+    c3 = pitman_yor._sizes(first, len(word))
+    return own, head, two[first], context[first], word[first], c3
+
+
+def test_probabilities_add_up_and_more_customers_weigh_more():
+    rng = random.Random(4)
+    docs = [[f"w{min(int(rng.expovariate(0.3)), 20)}" for _ in range(30)] for _ in range(40)]
+    s = pitman_yor.Settings()
+    own, head, two, context, word, c3 = _trigram_model(docs, s)
+    tables = [pitman_yor.log_stirling(d) for d in s.discount]
+    # Types that were never seen are asked for along with the seen ones: every word in every context of two words.
+    pairs = sorted(set(zip(context.tolist(), two.tolist(), strict=True)))
+    dishes = sorted(set(word.tolist()))
+    seen = dict(zip(zip(context.tolist(), two.tolist(), word.tolist(), strict=True), c3.tolist(), strict=True))
+    every = [(c, t, w) for c, t in pairs for w in dishes]
+    full = np.array(every)
+    counts = np.array([seen.get(x, 0) for x in every])
+    alpha, beta = pitman_yor.seat_bucket(own, head, full[:, 1], full[:, 0], full[:, 2], counts, s, tables)
+    p = alpha + beta * head.other_p
+    by = defaultdict(float)
+    for (c, t, _), x, b in zip(every, p, beta, strict=True):
+        by[c, t] += x
+        rest = b * head.other_p  # an unseen word has the back-off mass alone
+    for (c, t), total in by.items():
+        unseen = float(beta[[k for k, x in enumerate(every) if x[:2] == (c, t)][0]]) * head.other_p
+        assert total + unseen == pytest.approx(1.0)
+    assert p[counts > 3].mean() > p[counts == 0].mean() and rest > 0
 
 
 def test_table_numbers_follow_their_law():
     d, a, c = 0.5, 0.7, 6
     table = pitman_yor.log_stirling(d)
+    u = pitman_yor.uniforms(np.arange(20_000, dtype=np.uint64), 1)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01
     w = np.exp(table[c, 1 : c + 1]) * a ** np.arange(1, c + 1)
-    got = np.bincount(pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, a), d, table, np.random.default_rng(1)), minlength=c + 1)[1:]
+    got = np.bincount(pitman_yor.draw_tables(np.full(20_000, c), np.full(20_000, a), d, table, u), minlength=c + 1)[1:]
     assert np.abs(got / 20_000 - w / w.sum()).max() < 0.02
-    big = pitman_yor.draw_tables(np.full(2000, 5000), np.full(2000, 2.0), d, table, np.random.default_rng(2))
-    assert 1 <= big.min() and abs(big.mean() - 2.0 / d * (1 - (2.0 / 5000))) < 0.5
+    # The law beyond the exact range against the exact law at its end.
+    n = pitman_yor._EXACT
+    for weight in (0.05, 0.7, 5.0, 80.0):
+        logits = table[n, 1 : n + 1] + np.log(weight) * np.arange(1, n + 1)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        exact = float((p * np.arange(1, n + 1)).sum())
+        assert 1 + pitman_yor.poisson_mean(np.array([n]), np.array([weight]), d)[0] == pytest.approx(exact, rel=0.022)
+        drawn = pitman_yor.draw_tables(np.full(4000, n + 1), np.full(4000, weight), d, table, u[:4000])
+        assert drawn.mean() == pytest.approx(exact, rel=0.04)
+
+
+def test_language_model_beats_a_plain_bigram_and_ignores_partitions(spark):
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = []
+    for n in (4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scores.append({r.id: r.score for r in pitman_yor.model_scores(spark, docs.repartition(n)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert scores[0] == scores[1]
+    toks = {r.doc_id: ["<", *(r.text or "").encode().lower().split(), ">"] for r in docs.collect()}
+    train = [t for d, t in toks.items() if not pitman_yor.held_out(d)]
+    one, two = Counter(w for t in train for w in t[1:]), Counter(x for t in train for x in zip(t, t[1:]))
+    after, kinds = Counter(), Counter()
+    for (a, _), c in two.items():
+        after[a] += c
+        kinds[a] += 1
+    n, v = sum(one.values()), len(one)
+    total, tokens = 0.0, 0
+    for d, t in toks.items():
+        if pitman_yor.held_out(d):
+            for a, b in zip(t, t[1:]):
+                p = (one[b] + 1) / (n + v + 1)
+                total += np.log10((max(two[a, b] - 0.75, 0) + 0.75 * kinds[a] * p) / after[a] if after[a] else p)
+                tokens += 1
+    ours = sum(x for d, x in scores[0].items() if pitman_yor.held_out(d))
+    assert 10 ** (-ours / tokens) < 0.7 * 10 ** (-total / tokens)
+
+
+def test_split_restaurants_still_score_all_tokens(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.id: r for r in pitman_yor.model_scores(spark, docs).collect()}
+    split = {r.id: r for r in pitman_yor.model_scores(spark, docs, settings=pitman_yor.Settings(split=300, bucket=5_000, head=2_000)).collect()}
+    assert {d: (r.n_tokens, r.n_known, r.train_tokens) for d, r in whole.items()} == {d: (r.n_tokens, r.n_known, r.train_tokens) for d, r in split.items()}
+    assert all(split[d].base_score == pytest.approx(r.base_score, rel=1e-9) and split[d].score < 0 for d, r in whole.items())
 
 
 def test_chain_on_held_out_rows(spark):
