@@ -118,3 +118,13 @@ def guarded_delete(df: DataFrame, predicate: Column, most_share: float = 0.5) ->
 def facet(df: DataFrame, group: str, value: str, k: int) -> tuple[DataFrame, DataFrame]:
     """(the k largest, means by group) over one filtered input."""
     return top(df.filter(F.col(value).isNotNull()), [F.col(value).desc(), *[F.col(c) for c in df.columns if c != value]], k), df.groupBy(group).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def unwound_counts(docs: DataFrame, array: str, keep, by: list[str]) -> DataFrame:
+    """(by, n, n_documents): elements of an array of structs that keep(element) takes, counted by fields of theirs.
+
+    The array is filtered before it is unwound, so what falls out makes no row.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("__d"), F.explode(F.filter(array, keep)).alias("x"))
+    each = rows.groupBy(*[F.col(f"x.{c}").alias(c) for c in by], "__d").agg(F.count("*").alias("n"))
+    return each.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("n_documents"))

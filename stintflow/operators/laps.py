@@ -110,3 +110,16 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
     one = df.agg(*[corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+
+
+def sector_times(df: DataFrame, marks: list[str], out: list[str]) -> DataFrame:
+    """df with the time of each sector from cumulative marks: the first mark itself, then the differences; a difference is
+    null if a mark is missing or falls back."""
+    gap = lambda a, b: F.when(F.col(b) >= F.col(a), F.col(b) - F.col(a))
+    return df.withColumns({out[0]: F.col(marks[0]), **{o: gap(a, b) for o, a, b in zip(out[1:], marks, marks[1:], strict=False)}})
+
+
+def sample_rate(samples: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """(keys, n_samples, seconds, rate_hz): intervals by seconds from first to last sample; null where no time passes."""
+    s = samples.groupBy(*keys).agg(F.count(ts).alias("n_samples"), ((F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6).alias("seconds"))
+    return s.withColumn("rate_hz", F.try_divide(F.col("n_samples") - 1, F.when(F.col("seconds") > 0, F.col("seconds"))))

@@ -76,7 +76,7 @@ def baselines(train: DataFrame, test: DataFrame, y: str, category: str) -> DataF
     """test with p_constant, the mean of train, and p_category, the category's mean or the constant."""
     constant = train.agg(F.avg(y).alias("p_constant"))
     by = train.groupBy(category).agg(F.avg(y).alias("__m"))
-    return test.join(F.broadcast(by), category, "left").crossJoin(F.broadcast(constant)).withColumn("p_category", F.coalesce("__m", "p_constant")).drop("__m")
+    return test.join(by, category, "left").crossJoin(F.broadcast(constant)).withColumn("p_category", F.coalesce("__m", "p_constant")).drop("__m")
 
 
 def split(df: DataFrame, season: Column, train: list, validation: list, test: list) -> DataFrame:
@@ -102,10 +102,15 @@ def category_codes(df: DataFrame, column: str, unknown: str = "UNKNOWN") -> Data
     v = F.coalesce(F.col(column), F.lit(unknown))
     levels = df.select(v.alias("__v")).distinct()
     coded = levels.withColumn("code", F.row_number().over(Window.orderBy("__v")) - 1)
-    return df.withColumn("__v", v).join(F.broadcast(coded), "__v").drop("__v")
+    return df.withColumn("__v", v).join(coded, "__v").drop("__v")
 
 
-def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
+def one_hot(df: DataFrame, column: str, levels: list[str] | None = None, most: int = 200) -> DataFrame:
+    """df with a 0/1 column for each level; by default for the observed ones in order, of which there may be at most `most`."""
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+        if len(levels) > most:
+            raise ValueError(f"{column} has over {most} levels")
     return df.withColumns({f"{column}_{lv}": F.coalesce((F.col(column) == lv).cast("int"), F.lit(0)) for lv in levels})
 
 

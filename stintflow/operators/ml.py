@@ -13,6 +13,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stintflow.functions.scalars import blended
+
 
 def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataFrame:
     """Finite doubles as one vector; null and NaN become 0."""
@@ -54,11 +56,16 @@ def combined_probability(df: DataFrame, models, weights: list[float], out: str =
 
 
 def importances(spark, columns: list[str], model) -> DataFrame:
-    """(feature, importance, share, rank) by falling importance."""
+    """(feature, importance, share, rank, cumulative, unused, bottom_decile) by falling importance: the shares summed down
+    to a feature, whether the model never splits by it, and whether it is in the last tenth of the ranks."""
     values = [float(v) for v in model.featureImportances.toArray()]
     total = sum(values) or 1.0
     order = sorted(range(len(columns)), key=lambda k: (-values[k], columns[k]))
-    return spark.createDataFrame([(columns[k], values[k], values[k] / total, r + 1) for r, k in enumerate(order)], "feature string, importance double, share double, rank int")
+    rows, seen = [], 0.0
+    for r, k in enumerate(order):
+        seen += values[k] / total
+        rows.append((columns[k], values[k], values[k] / total, r + 1, seen, values[k] == 0.0, 10 * (r + 1) > 9 * len(order)))
+    return spark.createDataFrame(rows, "feature string, importance double, share double, rank int, cumulative double, unused boolean, bottom_decile boolean")
 
 
 def embedding(df: DataFrame, column: str, size: int = 16, out: str = "latent") -> DataFrame:
@@ -89,6 +96,22 @@ def clusters(df: DataFrame, column: str, k: int, seed: int = 5, least: int = 3,
     return out.withColumn("cluster", F.when((F.col("__n") < least) | (F.col("__d") > F.col("__cut")), -1).otherwise(F.col("prediction"))).drop("prediction", "features", "__n", "__d", "__cut"), silhouette
 
 
+def cluster_profiles(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
+    """(cluster, n, share, and by column its mean and how far that lies from the mean of all, in standard deviations)."""
+    total = df.agg(F.count("*").alias("__all"), *[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"__s_{c}") for c in columns])
+    own = df.groupBy(cluster).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns]).crossJoin(F.broadcast(total))
+    return own.select(cluster, "n", (F.col("n") / F.col("__all")).alias("share"), *[x for c in columns for x in (F.col(f"{c}_mean"), F.try_divide(F.col(f"{c}_mean") - F.col(f"__m_{c}"), F.col(f"__s_{c}")).alias(f"{c}_z"))])
+
+
+def scored_laps(df: DataFrame, regressors: dict, classifiers, weights: list[float], keep: list[str], start: float = 12.0, width: float = 6.0) -> DataFrame:
+    """A row a lap: keep, a prediction of each of two regressors (by name), their blend, and probability_cliff."""
+    names = list(regressors)
+    for name, model in regressors.items():
+        df = model.transform(df).withColumnRenamed("prediction", name)
+    df = df.withColumn("blend", blended(F.col(names[0]), F.col(names[1]), start, width))
+    return combined_probability(df.select(*keep, *names, "blend", "features"), classifiers, weights).drop("features")
+
+
 def searched(train: DataFrame, validation: DataFrame, label: str, depths: list[int], trees: list[int], seed: int = 3) -> DataFrame:
     """(depth, trees, mae) on a fixed validation set by rising error."""
     spark = train.sparkSession

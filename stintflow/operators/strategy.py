@@ -50,7 +50,7 @@ def prerace_state(priors: DataFrame, distances: DataFrame, event: list[str], dri
     """Lap-zero states from practice priors (event, driver, category, prior, length) and distances (event, n_laps, temp):
     the base pace is the prior of the starting compound, and nothing has been used yet."""
     own = priors.filter(F.col(category) == start).select(*event, driver, F.col("prior").alias("base_pace"), F.col("length").alias("practice_laps"))
-    return own.join(F.broadcast(distances), event).withColumns({"cur_lap": F.lit(0), "into": F.lit(0), "compound": F.lit(start), "used": F.array(F.lit(start)), "wet": F.lit(False)})
+    return own.join(distances, event).withColumns({"cur_lap": F.lit(0), "into": F.lit(0), "compound": F.lit(start), "used": F.array(F.lit(start)), "wet": F.lit(False)})
 
 
 def degradation_profile(stints: DataFrame, parameters: DataFrame, keys: list[str]) -> DataFrame:

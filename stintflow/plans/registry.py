@@ -42,7 +42,7 @@ def query(name: str, sql: str | None = None, places: int = 5):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from stintflow.plans import document_queries, fit_queries, lap_queries, ml_queries, quality_queries, stint_queries, strategy_queries  # noqa: F401
+    from stintflow.plans import detail_queries, document_queries, fit_queries, lap_queries, ml_queries, quality_queries, stint_queries, strategy_queries  # noqa: F401
 
 
 load()
