@@ -68,7 +68,12 @@ def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def response(df: DataFrame, x: str, y: str, bins: int = 8, ceiling: float = 2.5, anchors: tuple[float, float] = (0.9, 0.99)) -> DataFrame:
-    """One row: the robust line through binned medians and its multipliers at x's quantiles against x = 0, in 1..ceiling."""
+    """One row: the robust line through binned medians and its multipliers at x's quantiles against x = 0, in 1..ceiling.
+
+    The line is fitted to all pairs of bins, of which there may be 64 at most.
+    """
+    if bins > 64:
+        raise ValueError("at most 64 bins")
     kept = df.filter((F.col(y) > 0) & (F.col(y) < 1) & F.col(x).isNotNull())
     line = theil_sen(quantile_bins(kept, x, y, bins), "x_mean", "y_median")
     at = kept.agg(F.count("*").alias("n"), F.percentile(x, F.array(*[F.lit(a) for a in anchors])).alias("a"))
