@@ -296,8 +296,7 @@ def _trigram_model(docs, s):
     head = pitman_yor.Head(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), 1.0 / (int((n > 0).sum()) + 1))
     order = np.argsort(before, kind="stable")
     codes = np.full(len(h), -1)
-    more = (np.array([0, len(docs)]), np.packbits(np.ones(len(docs), np.uint8)))
-    values = [v for _, v in pitman_yor._blobs(np.zeros(len(w), np.int64), [before[order], two[order], w[order]], head, h, codes, text[order].astype(np.uint32), more)]
+    values = [v for _, v in pitman_yor._blobs(np.zeros(len(w), np.int64), [before[order], two[order], w[order]], head, h, codes, lambda part: (text[order][part].astype(np.uint32),))]
     own = pitman_yor.Contents(values, head, 2)
     at = pitman_yor._order([own.context, *own.words], [len(own.contexts), own.n_codes, own.n_codes])
     context, two, word = own.context[at], own.words[0][at], own.words[1][at]
