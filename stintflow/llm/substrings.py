@@ -197,24 +197,27 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_
         n = 0
 
         def flush():
+            ids, bodies = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
+            line = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
             h, pos, anchor = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            size = [len(x[2]) for x in held]
-            line = np.repeat(np.arange(len(held)), size)
-            ids, bodies = np.array([x[0] for x in held], np.int64)[line], np.array([x[1] for x in held], np.int64)[line]
+            held.clear()
             order = np.argsort(h)
-            first = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1])))
-            least = np.empty(len(h), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(h))))
+            own = h[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            own = ids[line[order]]
+            late = np.empty(len(h), bool)
+            late[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(h))))
+            del own, order, first
             for settled in (True, False):
-                on = np.flatnonzero((ids > least) == settled)
+                on = np.flatnonzero(late == settled)
                 if not len(on):
                     continue
                 at = _runs(line[on], *(() if settled else (anchor[on],)), pos=pos[on])
                 count = np.diff(np.append(at, len(on)))
                 k = on[at]
                 listed = pa.nulls(len(at), pa.list_(pa.int64())) if settled else pa.ListArray.from_arrays(pa.array(np.append(at, len(on)).astype(np.int32)), pa.array(h[on].view(np.int64)))
-                deal = mix(ids[k].view(np.uint64)) if settled else anchor[k]
-                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[k]), pa.array(bodies[k]), pa.array(pos[k].astype(np.int32)), pa.array(count.astype(np.int32)), listed], ["deal", "id", "body", "start", "n", "windows"])
+                deal = mix(ids[line[k]].view(np.uint64)) if settled else anchor[k]
+                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[line[k]]), pa.array(bodies[line[k]]), pa.array(pos[k]), pa.array(count.astype(np.int32)), listed], ["deal", "id", "body", "start", "n", "windows"])
 
         for b in batches:
             for i, body, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -222,7 +225,7 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_
                 h = windows(ws, width)
                 at = estimate.repeated(h)
                 if len(at) and i is not None:
-                    held.append((i, body, h[at], at, anchors(ws, width)[at]))
+                    held.append((i, body, h[at], at.astype(np.int32), anchors(ws, width)[at]))
                     n += len(at)
                     if n >= _FLUSH:
                         yield from flush()
