@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stintflow.llm.audit import op12_filter_audit
 from stintflow.llm.decontaminate import op1_decontaminate
 from stintflow.llm.gif import op3_gif
 from stintflow.llm.packing import op7_packing
@@ -9,8 +10,9 @@ from stintflow.llm.pii import op4_pii
 from stintflow.llm.pitman_yor import op9_pitman_yor
 from stintflow.llm.quotes import op8_quotes
 from stintflow.llm.resample import op6_resample
+from stintflow.llm.sharding import op13_shards
 from stintflow.llm.simhash import op5_simhash
-from stintflow.llm.sql import QUOTES, SUBSTRINGS
+from stintflow.llm.sql import FILTER_AUDIT, QUOTES, SHARDS, SUBSTRINGS
 from stintflow.llm.substrings import op2_substrings
 from stintflow.llm.toxicity import op10_toxicity
 
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_shards": op13_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substrings": SUBSTRINGS, "op8_quotes": QUOTES}
+ORACLE_SQL: dict[str, str] = {"op2_substrings": SUBSTRINGS, "op8_quotes": QUOTES, "op12_filter_audit": FILTER_AUDIT, "op13_shards": SHARDS}
