@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stintflow.llm.alignment import op11_alignment
 from stintflow.llm.audit import op12_filter_audit
 from stintflow.llm.decontaminate import op1_decontaminate
 from stintflow.llm.gif import op3_gif
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_quotes": op8_quotes,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_shards": op13_shards,
 }
