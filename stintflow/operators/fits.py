@@ -21,24 +21,63 @@ def stint_slopes(laps: DataFrame, keys: list[str], life: str, lap: str, pace: st
     return out.filter(F.col("n") >= least)
 
 
-def nearest_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
-    """The value at place floor((n - 1) * q + 0.5) of each key's sorted values. Ranked, not collected, so that a key of
-    any size spills instead of filling one array."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).withColumns({"__r": F.row_number().over(w.orderBy(value)) - 1, "__n": F.count("*").over(w)})
-    return ranked.filter(F.col("__r") == F.floor((F.col("__n") - 1) * q + 0.5)).select(*keys, F.col(value).alias(out))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], nearest: list[float] = (), accuracy: int = 10_000) -> DataFrame:
+    """(keys, n, quantiles, nearest): exact quantiles of each key's values, linear between ranks as NumPy's for qs, and the value
+    at place floor((n - 1) * q + 0.5) for those of `nearest`. Nulls and NaN are left out; a key without values has no row.
+
+    By refinement, so that no task holds a key's values: a mergeable sketch bounds where each rank can lie, one count
+    (combined on the map side) gives how many values are below and how often each value between the bounds comes, and
+    running sums over these few values find the rank. A sketch of `accuracy` errs by n / accuracy ranks; the bounds are
+    ten times as wide, and the whole range for a key of up to accuracy / 4 values. A value that many rows share is one row.
+    """
+    eps = 10.0 / accuracy
+    every = [*qs, *nearest]
+    spread = F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for q in every for d in (-eps, eps)])
+    v = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    sketch = v.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"), F.percentile_approx("__v", spread, accuracy).alias("__s"))
+    few = F.col("__n") <= accuracy // 4
+    low = [F.when(few | F.lit(q <= eps), F.col("__min")).otherwise(F.get("__s", F.lit(2 * k))) for k, q in enumerate(every)]
+    high = [F.when(few | F.lit(q >= 1 - eps), F.col("__max")).otherwise(F.get("__s", F.lit(2 * k + 1))) for k, q in enumerate(every)]
+    place = [(F.col("__n") - 1) * q if k < len(qs) else F.floor((F.col("__n") - 1) * q + 0.5).cast("double") for k, q in enumerate(every)]
+    bounds = sketch.select(*keys, F.array(*[F.struct(F.lit(k).alias("k"), place[k].alias("place"), low[k].alias("low"), high[k].alias("high")) for k in range(len(every))]).alias("__b"))
+    x = F.col("__v")
+    within = F.filter("__b", lambda b: x <= b["high"])
+    joined = v.join(bounds, keys) if keys else v.crossJoin(F.broadcast(bounds))
+    rows = joined.select(*keys, F.inline(F.transform(within, lambda b: F.struct(b["k"].alias("__k"), b["place"].alias("__place"), F.when(x >= b["low"], x).alias("__x")))))
+    counted = rows.groupBy(*keys, "__k", "__place", "__x").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__k").orderBy(F.col("__x").asc_nulls_first()))
+    at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("__x")))
+    found = counted.withColumn("__upto", upto).groupBy(*keys, "__k", "__place").agg(at(F.floor("__place")).alias("__l"), at(F.ceil("__place")).alias("__h"), F.max("__upto").alias("__m"))
+    found = found.withColumn("__q", F.col("__l") + (F.col("__h") - F.col("__l")) * (F.col("__place") - F.floor("__place")))
+    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__k", "__q"))).alias("__a"))
+    values = F.transform("__a", lambda a: a["__q"])
+    sizes = sketch.select(*keys, F.col("__n").alias("n"))
+    out = listed.join(sizes, keys) if keys else listed.filter(F.size("__a") > 0).crossJoin(F.broadcast(sizes))
+    return out.select(*keys, "n", F.slice(values, 1, len(qs)).alias("quantiles"), F.slice(values, len(qs) + 1, max(len(nearest), 1)).alias("nearest"))
+
+
+def spread_of_all(slopes: DataFrame, slope: str = "slope") -> DataFrame:
+    """(beta, sigma): the median slope and the sample spread of all stints, one row."""
+    one = slopes.withColumn("__part", F.lit(1))
+    middle = exact_quantiles(one, ["__part"], slope, [0.5])
+    return one.groupBy("__part").agg(F.stddev_samp(slope).alias("sigma")).join(middle, "__part").select(F.col("quantiles")[0].alias("beta"), "sigma")
 
 
 def category_slopes(slopes: DataFrame, category: str, slope: str = "slope", least: int = 5, low: float = 0.02, high: float = 0.5, fallback: float = 0.05) -> DataFrame:
-    """(category, n_stints, beta, sigma): median slope (of all stints where a category has fewer than `least`) and robust
-    spread, clip(IQR / 1.349, low, high) with nearest quantiles; for small categories the sample spread or fallback."""
+    """(category, n_stints, beta, sigma): median slope and robust spread, clip(IQR / 1.349, low, high) with nearest
+    quantiles; a category with fewer than `least` stints has the median and the sample spread of all stints, or the
+    fallback where there is one stint in all."""
     s = slopes.filter(F.col(slope).isNotNull())
-    everything = s.agg(F.median(slope).alias("__all"))
-    q1, q3 = nearest_quantile(s, [category], slope, 0.25, "__q1"), nearest_quantile(s, [category], slope, 0.75, "__q3")
-    out = s.groupBy(category).agg(F.count("*").alias("n_stints"), F.median(slope).alias("__m"), F.stddev_samp(slope).alias("__s")).join(q1, category).join(q3, category).crossJoin(F.broadcast(everything))
+    # All stints are a category of their own for the exact quantiles: one pass serves both.
+    both = s.select(F.explode(F.array(F.struct(F.col(category).alias("c"), F.lit(True).alias("own")), F.struct(F.lit(None).cast(s.schema[category].dataType).alias("c"), F.lit(False).alias("own")))).alias("g"), F.col(slope).alias("v")).select(F.col("g.c").alias("c"), F.col("g.own").alias("own"), F.concat_ws("|", F.col("g.own").cast("string"), F.col("g.c").cast("string")).alias("key"), "v")
+    plain = both.groupBy("key", "c", "own").agg(F.count("*").alias("n_stints"), F.stddev_samp("v").alias("s"))
+    q = exact_quantiles(both, ["key"], "v", [0.5], [0.25, 0.75])
+    rows = plain.join(q, "key")
+    everything = rows.filter("not own").select(F.col("quantiles")[0].alias("__all"), F.coalesce("s", F.lit(fallback)).alias("__s"))
     big = F.col("n_stints") >= least
-    sigma = F.least(F.greatest((F.col("__q3") - F.col("__q1")) / 1.349, F.lit(low)), F.lit(high))
-    return out.select(category, "n_stints", F.when(big, F.col("__m")).otherwise(F.col("__all")).alias("beta"), F.when(big, sigma).otherwise(F.coalesce("__s", F.lit(fallback))).alias("sigma"))
+    sigma = F.least(F.greatest((F.col("nearest")[1] - F.col("nearest")[0]) / 1.349, F.lit(low)), F.lit(high))
+    out = rows.filter("own").crossJoin(F.broadcast(everything))
+    return out.select(F.col("c").alias(category), "n_stints", F.when(big, F.col("quantiles")[0]).otherwise(F.col("__all")).alias("beta"), F.when(big, sigma).otherwise(F.col("__s")).alias("sigma"))
 
 
 def driver_profile(laps: DataFrame, slopes: DataFrame, keys: list[str], pace: str, flag: str, near: str) -> DataFrame:

@@ -1,16 +1,32 @@
-"""Pit plans as tables: decisions, candidates, costs, ranks, comparisons. One row per decision, all at once."""
+"""Pit plans as tables. A decision is a row; its plans, draws and costs are arrays of that row, so that costing them
+shuffles nothing and explodes no draws."""
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from stintflow.functions.scalars import keyed_normal, keyed_uniform
-from stintflow.operators.documents import thin_by
+from stintflow.operators.fits import exact_quantiles
 
+#: Seconds of a stop, of a fresh start, of a cliff and of each lap beyond it, and the pace past the best
+#: that counts as a cliff.
 PIT_LOSS, WARM_UP = 21.0, 2.0
+CLIFF_JUMP, CLIFF_SLOPE, CLIFF_PACE = 1.5, 0.15, 1.5
+#: A cliff that never comes.
+NEVER = 1e9
+PLAN = "array<struct<compound:string,end_lap:int,is_current:boolean>>"
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
 
 
 def executed_stints(laps: DataFrame, keys: list[str], stint: str, category: str, lap: str) -> DataFrame:
@@ -33,12 +49,40 @@ def decision_points(executed: DataFrame, n_laps: str, wet: list[str], include_we
     return executed.withColumns({"decision_lap": first["last_lap"], "skipped": why})
 
 
-def decision_state(laps: DataFrame, decisions: DataFrame, keys: list[str], lap: str, pace: str, category: str, life: str, temp: str, default_temp: float = 36.0) -> DataFrame:
-    """decisions (keys, cur_lap, n_laps) with the state at cur_lap: category, laps into the stint, last known pace,
-    temperature, categories used. One pass over the laps up to the decision, grouped by key."""
-    past = laps.join(decisions.select(*keys, "cur_lap"), keys).filter(F.col(lap) <= F.col("cur_lap"))
-    state = past.groupBy(*keys).agg(F.max_by(category, lap).alias("compound"), F.max_by(life, lap).alias("into"), F.max_by(pace, F.when(F.col(pace).isNotNull(), F.col(lap))).alias("base_pace"), F.coalesce(F.max_by(temp, lap), F.lit(default_temp)).alias("temp"), F.array_sort(F.collect_set(category)).alias("used"))
-    return decisions.join(state, keys)
+def executed_plan(stints: Column, current: Column, cur_lap: Column, known: list[str]) -> Column:
+    """What was driven from the decision on, as a plan: the stop at the decision, then the stints that followed on known
+    compounds."""
+    later = F.filter(F.slice(stints, 2, F.greatest(F.size(stints), F.lit(1))), lambda s: s["category"].isin(known))
+    rest = F.transform(later, lambda s: F.struct(s["category"].alias("compound"), s["last_lap"].cast("int").alias("end_lap"), F.lit(False).alias("is_current")))
+    return F.concat(F.array(F.struct(current.alias("compound"), cur_lap.cast("int").alias("end_lap"), F.lit(True).alias("is_current"))), rest)
+
+
+def decision_state(laps: DataFrame, decisions: DataFrame, keys: list[str], lap: str, stint: str, life: str, pace: str, above_best: str, category: str, temp: str, cluster: str, rain: str, wet_categories: list[str], default_temp: float = 36.0) -> DataFrame:
+    """decisions (keys, cur_lap) with the state at cur_lap: compound, stint_no, into (laps of the stint so far, this one
+    included), base_pace, in_cliff, temp, cluster, used (compounds so far), wet.
+
+    If the lap is the last of its stint and another stint follows, it is a pit-entry lap: pace and cliff flag are those
+    of the stint's lap before it. An unknown pace falls back to the last known one. One shuffle by key: the window over
+    a run's laps and the aggregate share it.
+    """
+    race, own = Window.partitionBy(*keys), Window.partitionBy(*keys, stint)
+    cur = F.col("cur_lap")
+    at = F.struct(F.col(stint).alias("stint"), F.col(category).alias("category"), F.col(pace).alias("pace"), F.col(above_best).alias("above"), F.col(temp).alias("temp"), F.col(cluster).alias("cluster"), F.max(lap).over(own).alias("ends"), F.max(stint).over(race).alias("last"))
+    seen = laps.join(decisions.select(*keys, "cur_lap"), keys).withColumn("__at", at)
+    seen = seen.withColumn("__now", F.max_by("__at", F.when(F.col(lap) == cur, F.col(life))).over(race)).filter((F.col(lap) <= cur) & F.col("__now").isNotNull())
+    ours = F.col(stint) == F.col("__now.stint")
+    prev = F.max_by(F.struct(F.col(pace).alias("pace"), F.col(above_best).alias("above")), F.when(ours & (F.col(lap) < cur), F.col(life)))
+    s = seen.groupBy(*keys).agg(
+        F.first("__now").alias("now"), F.sum(ours.cast("int")).alias("into"), prev.alias("prev"), F.max_by(pace, F.when(F.col(pace).isNotNull(), F.col(lap))).alias("known"),
+        F.array_sort(F.collect_set(category)).alias("used"), F.max(F.coalesce(F.col(rain), F.lit(0))).alias("rain"),
+    )
+    j = decisions.join(s, keys)
+    entry = (F.col("now.ends") == cur) & (F.col("now.last") > F.col("now.stint")) & F.col("prev").isNotNull()
+    chosen = lambda c: F.when(entry, F.col(f"prev.{c}")).otherwise(F.col(f"now.{c}"))
+    return j.select(
+        *[F.col(c) for c in decisions.columns], F.col("now.category").alias("compound"), F.col("now.stint").alias("stint_no"), F.col("into").cast("int").alias("into"), F.coalesce(chosen("pace"), "known").alias("base_pace"),
+        (F.coalesce(chosen("above"), F.lit(0.0)) > CLIFF_PACE).alias("in_cliff"), F.coalesce("now.temp", F.lit(default_temp)).alias("temp"), F.col("now.cluster").alias("cluster"), "used", ((F.col("rain") > 0) | F.coalesce(F.col("now.category").isin(wet_categories), F.lit(False))).alias("wet"),
+    )
 
 
 def allowed_compounds(wet: Column, dry_pool: list[str], wet_pool: list[str]) -> Column:
@@ -53,123 +97,117 @@ def prerace_state(priors: DataFrame, distances: DataFrame, event: list[str], dri
     return own.join(distances, event).withColumns({"cur_lap": F.lit(0), "into": F.lit(0), "compound": F.lit(start), "used": F.array(F.lit(start)), "wet": F.lit(False)})
 
 
-def degradation_profile(stints: DataFrame, parameters: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, plan_id, place, compound, length, beta, loss): the slope of each stint of a plan and what it costs by its end."""
-    own = parameters.select(F.col("compound").alias("stint_compound"), "beta")
-    return stints.join(F.broadcast(own), "stint_compound").select(*keys, "plan_id", "place", F.col("stint_compound").alias("compound"), "length", "beta", (F.col("beta") * F.col("length")).alias("loss"))
-
-
-def candidates(states: DataFrame, keys: list[str], pool: list[str], most: int | None = 400, first_step: int = 2, second_step: int = 4) -> DataFrame:
-    """(keys, plan_id, stops, plan): plans as arrays of structs (compound, end_lap, is_current).
+def candidates(states: DataFrame, pool: Column, most: int = 400, first_step: int = 2, second_step: int = 4) -> DataFrame:
+    """states (cur_lap, n_laps, compound, used, wet) with plans: array of plans, in order, plan k at place k - 1.
 
     One stop every first_step laps, two stops every second_step with at least six laps between; a dry race needs two
-    compounds in all; staying out is a plan if that is allowed or nothing else is. Each decision keeps at most `most`
-    plans at even distances of their order (stops, laps, compounds).
+    compounds in all; staying out is a plan if that is allowed or nothing else is. At most `most` plans stay, at even
+    distances of their order (stops, laps, compounds). How many plans there are is arithmetic, and so is the plan at a
+    place: only those that stay are made, within the row.
     """
-    c = F.col
-    laps_from = lambda a, b, step: F.when(a <= b, F.sequence(a.cast("int"), F.greatest(a, b).cast("int"), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    pools = F.array(*[F.lit(x) for x in pool])
-    legal = lambda extra: c("wet") | (F.size(F.array_union(c("used"), extra)) >= 2)
-    now = lambda end: F.struct(c("compound"), end.cast("int").alias("end_lap"), F.lit(True).alias("is_current"))
-    then = lambda comp, end: F.struct(comp.alias("compound"), end.cast("int").alias("end_lap"), F.lit(False).alias("is_current"))
-    base = states.select(*keys, "cur_lap", "n_laps", "compound", "used", "wet")
-    one = base.withColumn("p1", F.explode(laps_from(c("cur_lap") + 2, c("n_laps") - 3, first_step))).withColumn("c1", F.explode(pools)).filter(legal(F.array("c1")))
-    one = one.select(*keys, F.lit(1).alias("stops"), "p1", F.lit(0).alias("p2"), "c1", F.lit("").alias("c2"), F.array(now(c("p1")), then(c("c1"), c("n_laps"))).alias("plan"))
-    two = base.withColumn("p1", F.explode(laps_from(c("cur_lap") + 3, c("n_laps") - 11, second_step))).withColumn("p2", F.explode(laps_from(c("p1") + 6, c("n_laps") - 3, second_step))).withColumn("c1", F.explode(pools)).withColumn("c2", F.explode(pools)).filter(legal(F.array("c1", "c2")))
-    two = two.select(*keys, F.lit(2).alias("stops"), "p1", "p2", "c1", "c2", F.array(now(c("p1")), then(c("c1"), c("p2")), then(c("c2"), c("n_laps"))).alias("plan"))
-    some_stop = (c("n_laps") - 3 >= c("cur_lap") + 2) & F.exists(pools, lambda x: legal(F.array(x)))
-    none = base.filter(legal(F.array().cast("array<string>")) | ~some_stop)
-    none = none.select(*keys, F.lit(3).alias("stops"), F.lit(0).alias("p1"), F.lit(0).alias("p2"), F.lit("").alias("c1"), F.lit("").alias("c2"), F.array(now(c("n_laps"))).alias("plan"))
-    every = one.unionByName(two).unionByName(none)
-    order = [c(x) for x in ("stops", "p1", "p2", "c1", "c2")]
-    kept = thin_by(every, keys, order, most) if most else every
-    numbered = kept.withColumn("plan_id", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return numbered.select(*keys, "plan_id", (F.size("plan") - 1).alias("stops"), "plan")
-
-
-def plan_stints(plans: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per stint of a plan with its length and the state's columns; stints without laps stay with length 0."""
-    s = plans.select(*keys, "plan_id", "stops", "plan", F.posexplode("plan").alias("place", "s"))
-    start = F.when(F.col("place") == 0, F.col("cur_lap")).otherwise(F.get(F.col("plan"), F.col("place") - 1)["end_lap"])
-    j = s.join(states, keys)
-    return j.select(*keys, "plan_id", "stops", "place", F.col("s.compound").alias("stint_compound"), F.col("s.end_lap").alias("end_lap"), start.alias("start_lap"), F.greatest(F.col("s.end_lap") - start, F.lit(0)).alias("length"), "cur_lap", "n_laps", "compound", "into", "base_pace", "temp")
-
-
-def stint_cost(base: Column, penalty: Column, beta: Column, length: Column, cliff: Column, jump: float = 1.5, slope: float = 0.15) -> Column:
+    c, n, cur = F.col, F.col("n_laps").cast("long"), F.col("cur_lap").cast("long")
+    steps = lambda a, b, step: F.greatest(F.ceil((b - a) / step), F.lit(0))  # noqa: E731  the length of range(a, b, step)
+    legal = lambda more: c("wet") | (F.size(F.array_union(c("used"), more)) >= 2)
+    pairs = F.flatten(F.transform(c("__pool"), lambda a: F.transform(c("__pool"), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    df = states.withColumn("__pool", pool)
+    df = df.withColumns({"__one": F.filter("__pool", lambda x: legal(F.array(x))), "__two": F.filter(pairs, lambda p: legal(F.array(p["a"], p["b"])))})
+    # The first stop's i-th place leaves b - i places for the second.
+    df = df.withColumns({"__n1": steps(cur + 2, n - 2, first_step) * F.size("__one"), "__a": steps(cur + 3, n - 10, second_step), "__b": steps(cur + 9, n - 2, second_step)})
+    before = lambda i: i * c("__b") - (i * (i - 1) / 2).cast("long")  # noqa: E731  pairs of places with an earlier first stop
+    df = df.withColumn("__n2", before(c("__a")) * F.size("__two"))
+    df = df.withColumn("__n", c("__n1") + c("__n2") + F.when(legal(F.array().cast("array<string>")) | (c("__n1") + c("__n2") == 0), 1).otherwise(0))
+    stint = lambda comp, end, now: F.struct(comp.alias("compound"), end.cast("int").alias("end_lap"), F.lit(now).alias("is_current"))
+    over = lambda x, by: F.floor(x / F.greatest(by, F.lit(1))).cast("long")
+    item = lambda items, x: F.get(items, (x % F.greatest(F.size(items), F.lit(1))).cast("int"))
+
+    def two_stops(t: Column) -> Column:
+        place = over(t, F.size("__two"))
+        root = lambda p: F.floor((2 * c("__b") + 1 - F.sqrt(F.greatest((2 * c("__b") + 1) * (2 * c("__b") + 1) - 8 * p, F.lit(0)).cast("double"))) / 2).cast("long")
+        exact = lambda i, p: F.when(before(i) > p, i - 1).when(before(i + 1) <= p, i + 1).otherwise(i)
+        own = item(c("__two"), t)
+        made = lambda p, i: F.array(stint(c("compound"), cur + 3 + second_step * i, True), stint(own["a"], cur + 9 + second_step * (p - before(i) + i), False), stint(own["b"], n, False))
+        return let(place, lambda p: let(let(root(p), lambda i: exact(i, p)), lambda i: made(p, i)))
+
+    def plan(r: Column) -> Column:
+        one = F.array(stint(c("compound"), cur + 2 + first_step * over(r, F.size("__one")), True), stint(item(c("__one"), r), n, False))
+        return F.when(r < c("__n1"), one).when(r < c("__n1") + c("__n2"), two_stops(r - c("__n1"))).otherwise(F.array(stint(c("compound"), n, True)))
+
+    places = F.when(c("__n") <= most, F.sequence(F.lit(0).cast("long"), c("__n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.floor(j * ((c("__n") - 1) / (most - 1))).cast("long")))
+    return df.withColumn("plans", F.transform(places, plan)).drop("__pool", "__one", "__two", "__n1", "__n2", "__a", "__b", "__n")
+
+
+def listed(df: DataFrame, keys: list[str], values: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, plan_id, stops, values): one row a plan; values are arrays by plan, or `plan` where none are given."""
+    zipped = F.arrays_zip(F.transform("plans", lambda p: F.size(p) - 1).alias("stops"), *[v.alias(k) for k, v in (values or {"plan": F.col("plans")}).items()])
+    return df.select(*keys, F.posexplode(zipped).alias("__k", "__p")).select(*keys, (F.col("__k") + 1).alias("plan_id"), "__p.*")
+
+
+def fitted_parameters(slopes: DataFrame, spread: DataFrame, onsets: DataFrame, offsets: DataFrame, category: str, pool: list[str], base: str, priors: dict[str, tuple[float, float, float]], least: int = 5) -> DataFrame:
+    """(compound, n_stints, beta, sigma, offset, censor, quantiles): one row for each compound of the pool.
+
+    slopes: category_slopes() by category; spread: one row (beta, sigma) of all stints, for compounds with fewer than
+    `least` stints, which also have no cliff before lap 20; onsets: onset_distribution(); offsets: (category, offset) of
+    paired_fit(). priors: by compound the least and largest offset and the one without a fit; the base has none. A table
+    of the pool's size, whatever the laps.
+    """
+    spark = slopes.sparkSession
+    rows = [(p, *((0.0, 0.0, 0.0) if p == base else priors[p])) for p in pool]
+    known = spark.createDataFrame(rows, "compound string, __low double, __high double, __prior double")
+    s = slopes.select(F.col(category).alias("compound"), "n_stints", F.col("beta").alias("__beta"), F.col("sigma").alias("__sigma"))
+    o = onsets.select(F.col(category).alias("compound"), F.col("censored").alias("__censored"), F.col("quantiles").alias("__q"))
+    g = offsets.select(F.col(category).alias("compound"), F.col("offset").alias("__offset"))
+    j = known.join(s, "compound", "left").join(o, "compound", "left").join(g, "compound", "left").crossJoin(F.broadcast(spread.select(F.col("beta").alias("__all"), F.col("sigma").alias("__spread"))))
+    big = F.coalesce(F.col("n_stints") >= least, F.lit(False))
+    some = big & F.coalesce(F.size("__q") > 0, F.lit(False))
+    none = F.array(F.lit(20.0))
+    return j.select(
+        "compound", F.coalesce("n_stints", F.lit(0)).cast("long").alias("n_stints"), F.coalesce(F.when(big, F.col("__beta")), "__all").alias("beta"), F.coalesce(F.when(big, F.col("__sigma")), "__spread", F.lit(0.05)).alias("sigma"),
+        F.least(F.greatest(F.coalesce("__offset", "__prior"), "__low"), "__high").alias("offset"), F.when(big, F.coalesce("__censored", F.lit(1.0))).otherwise(1.0).alias("censor"), F.when(some, F.col("__q")).otherwise(none).alias("quantiles"),
+    )
+
+
+def scenario_table(response: DataFrame, penalties: dict[str, tuple[str | None, float]], pit_loss: float = PIT_LOSS) -> DataFrame:
+    """(scenario, beta_mult, penalty, pit_loss): one row a scenario; penalties: by scenario the column of response (one
+    row of fitted multipliers) or None, and the seconds a lap lost in traffic."""
+    rows = F.array(*[F.struct(F.lit(k).alias("scenario"), (F.coalesce(F.col(col), F.lit(1.0)) if col else F.lit(1.0)).alias("beta_mult"), F.lit(p).alias("penalty"), F.lit(pit_loss).alias("pit_loss")) for k, (col, p) in penalties.items()])
+    return response.select(F.inline(rows))
+
+
+def with_parameters(states: DataFrame, parameters: DataFrame, clusters: DataFrame | None = None, temperature: DataFrame | None = None) -> DataFrame:
+    """states with par: array of (compound, beta, sigma, offset, censor, quantiles), the compounds in order.
+
+    Slopes are shifted by the offset of the state's cluster (clusters: cluster, offset) and by temperature's (effect,
+    mean) times the distance of the state's temperature from the mean. The three tables have a row a compound, a row a
+    cluster and one row; the first and the last are gathered into one row and sent to all tasks.
+    """
+    names = ["compound", "beta", "sigma", "offset", "censor", "quantiles"]
+    df = states.crossJoin(F.broadcast(parameters.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("par"))))
+    shift = F.lit(0.0)
+    if clusters is not None:
+        df = df.join(clusters.select("cluster", F.col("offset").alias("__cluster")), "cluster", "left")
+        shift = shift + F.coalesce("__cluster", F.lit(0.0))
+    if temperature is not None:
+        df = df.crossJoin(F.broadcast(temperature.select(F.col("effect").alias("__effect"), F.col("mean").alias("__mean"))))
+        shift = shift + F.coalesce("__effect", F.lit(0.0)) * (F.col("temp") - F.coalesce("__mean", F.lit(0.0)))
+    moved = df.withColumn("__shift", shift)
+    moved = moved.withColumn("par", F.transform("par", lambda p: F.struct(p["compound"].alias("compound"), (p["beta"] + F.col("__shift")).alias("beta"), *[p[k].alias(k) for k in names[2:]])))
+    return moved.drop("__shift", "__cluster", "__effect", "__mean")
+
+
+def stint_cost(base: Column, penalty: Column, beta: Column, length: Column, cliff: Column, jump: float = CLIFF_JUMP, slope: float = CLIFF_SLOPE) -> Column:
     """L (base + penalty) + beta L (L + 1) / 2 + jump m + slope m (m + 1) / 2, m = the laps past the cliff."""
     m = F.greatest(length - F.greatest(cliff, F.lit(0.0)), F.lit(0.0))
     return length * (base + penalty) + beta * length * (length + 1) / 2 + jump * m + slope * m * (m + 1) / 2
 
 
-def with_parameters(stints: DataFrame, parameters: DataFrame) -> DataFrame:
-    """stints with the parameters of their own compound (own_*) and of the current one (cur_*); there is one row a compound."""
-    own = parameters.select(*[F.col(c).alias(f"own_{c}") for c in parameters.columns])
-    cur = parameters.select(*[F.col(c).alias(f"cur_{c}") for c in parameters.columns])
-    return stints.join(F.broadcast(own), F.col("stint_compound") == F.col("own_compound")).join(F.broadcast(cur), F.col("compound") == F.col("cur_compound"))
+def by_compound(par: Column, compound: Column) -> Column:
+    return F.filter(par, lambda p: p["compound"] == compound)[0]
 
 
-def expected_costs(stints: DataFrame, parameters: DataFrame, keys: list[str], scenarios: DataFrame, drift: float = 0.0) -> DataFrame:
-    """(scenario, keys, plan_id, stops, cost): closed-form cost at the mean slope and the median cliff."""
-    s = with_parameters(stints, parameters).crossJoin(F.broadcast(scenarios))
-    k0 = F.greatest(F.col("into") - 1, F.lit(0))
-    fresh = F.col("base_pace") - F.col("cur_beta") * k0
-    first = F.col("place") == 0
-    base = F.when(first, fresh).otherwise(fresh + F.col("own_offset") - F.col("cur_offset"))
-    beta = F.col("own_beta") * F.col("beta_mult")
-    cliff = F.col("own_cliff") - F.when(first, k0).otherwise(0)
-    cost = stint_cost(base, F.col("penalty"), beta, F.col("length"), cliff.cast("double")) + F.when(first, beta * k0 * F.col("length")).otherwise(0.0)
-    cost = cost + drift * F.col("length") * (0.5 * (F.col("start_lap") + 1 + F.col("end_lap")) - (F.col("cur_lap") - 1))
-    return s.groupBy("scenario", *keys, "plan_id", "stops").agg((F.sum(F.when(F.col("length") > 0, cost).otherwise(0.0)) + F.first("stops") * (F.first("pit_loss") + WARM_UP)).alias("cost"))
-
-
-def drawn_costs(stints: DataFrame, parameters: DataFrame, keys: list[str], draws: int, penalty: float = 0.0, beta_mult: float = 1.0, seed: str = "s") -> DataFrame:
-    """(keys, plan_id, stops, draw, cost): Monte Carlo with keyed randoms.
-
-    A slope is a clipped normal, a cliff one of the compound's quantiles or none, a control period starts at a
-    uniform lap of four race lengths; all are functions of (decision, draw, what is drawn), so all plans of a decision see the same draws, whatever
-    the partitioning. They are made once a decision and draw and joined to the stints by decision; stints of a plan and draw
-    are summed by one aggregate.
-    """
-    who = [F.lit(seed), *[F.col(k) for k in keys], F.col("draw")]
-    place = lambda p: F.struct(keyed_normal(*who, p, F.lit("beta")).alias("z"), keyed_uniform(*who, p, F.lit("censor")).alias("u"), keyed_uniform(*who, p, F.lit("cliff")).alias("q"))
-    drawn = stints.groupBy(*keys).agg(F.max("place").alias("__last")).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawn = drawn.select(*keys, "draw", keyed_uniform(*who, F.lit("control")).alias("v"), F.transform(F.sequence(F.lit(0), F.col("__last")), place).alias("__at"))
-    s = with_parameters(stints, parameters).join(drawn, keys).withColumn("__own", F.get("__at", F.col("place")))
-
-    def beta(p: str, normal: Column) -> Column:
-        high = F.least(F.greatest(F.col(f"{p}_beta"), F.lit(0.0)) * 4 + 0.15, F.lit(1.0))
-        return F.least(F.greatest(F.col(f"{p}_beta") + F.col(f"{p}_sigma") * normal, F.lit(0.005)), high)
-
-    first = F.col("place") == 0
-    k0 = F.greatest(F.col("into") - 1, F.lit(0))
-    now = beta("cur", F.get("__at", F.lit(0))["z"])
-    s = s.withColumns({"b_cur": now, "b_own": F.when(first, now).otherwise(beta("own", F.col("__own.z"))), "u": F.col("__own.u"), "q": F.col("__own.q")})
-    fresh = F.col("base_pace") - F.col("b_cur") * k0
-    base = F.when(first, fresh).otherwise(fresh + F.col("own_offset") - F.col("cur_offset"))
-    cliff = F.when(F.col("u") < F.col("own_censor"), 1e9).otherwise(F.element_at("own_quantiles", (F.floor(F.col("q") * F.size("own_quantiles")) + 1).cast("int"))) - F.when(first, k0).otherwise(0)
-    b = F.col("b_own") * beta_mult
-    cost = F.when(F.col("length") > 0, stint_cost(base, F.lit(penalty), b, F.col("length"), cliff.cast("double")) + F.when(first, b * k0 * F.col("length")).otherwise(0.0)).otherwise(0.0)
-    # A control period covers one lap window of three at 1 + floor(v * 4 * n_laps); beyond the race it never comes.
-    starts = F.floor(F.col("v") * 4 * F.col("n_laps")) + 1
-    stops_here = F.col("place") < F.col("stops")
-    cheap = (F.col("end_lap") >= starts) & (F.col("end_lap") < starts + 3)
-    stop = F.when(stops_here, F.when(cheap, PIT_LOSS / 3).otherwise(PIT_LOSS) + WARM_UP).otherwise(0.0)
-    return s.groupBy(*keys, "plan_id", "stops", "draw").agg(F.sum(cost + stop).alias("cost"))
-
-
-def ranked(costs: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
-    """Mean, population spread, 5 % and 95 % quantiles of each plan over its draws, rank and distance to the best."""
-    p = costs.groupBy(*keys, "plan_id", "stops").agg(F.avg(cost).alias("mean"), F.stddev_pop(cost).alias("std"), F.percentile(cost, F.lit(0.05)).alias("p5"), F.percentile(cost, F.lit(0.95)).alias("p95"))
-    w = Window.partitionBy(*keys)
-    return p.withColumns({"rank": F.row_number().over(w.orderBy("mean", "plan_id")), "delta_vs_best": F.col("mean") - F.min("mean").over(w)})
-
-
-def paired(costs: DataFrame, keys: list[str], a: DataFrame, b: DataFrame) -> DataFrame:
-    """a and b: (keys, plan_id). Mean, 90 % band and win share of b - a over common draws."""
-    x = costs.join(a, [*keys, "plan_id"]).select(*keys, "draw", F.col("cost").alias("__a"))
-    y = costs.join(b, [*keys, "plan_id"]).select(*keys, "draw", F.col("cost").alias("__b"))
-    d = x.join(y, [*keys, "draw"]).withColumn("d", F.col("__b") - F.col("__a"))
-    return d.groupBy(*keys).agg(F.avg("d").alias("mean_gain"), F.percentile("d", F.lit(0.05)).alias("low"), F.percentile("d", F.lit(0.95)).alias("high"), F.avg((F.col("d") > 0).cast("int")).alias("win_share"))
+def best_of(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """The cheapest plan of each key, the smaller number on ties of six decimals."""
+    m = F.min(F.struct(F.round("cost", 6).alias("cost"), "plan_id", "stops"))
+    return costs.groupBy(*keys).agg(m.alias("b")).select(*keys, "b.*")
 
 
 def branch_summary(best: DataFrame, keys: list[str], green: str, neutral: str) -> DataFrame:
@@ -178,36 +216,326 @@ def branch_summary(best: DataFrame, keys: list[str], green: str, neutral: str) -
     return best.groupBy(*keys).agg(g(green, "plan_id").alias("green_plan"), g(green, "cost").alias("green_cost"), g(neutral, "plan_id").alias("neutral_plan"), g(neutral, "cost").alias("neutral_cost")).withColumn("difference", F.col("neutral_cost") - F.col("green_cost"))
 
 
-def backtest_summary(df: DataFrame, gain: str, matched: str) -> DataFrame:
-    """Win share and quantiles of the gain, over all decisions and by whether the stops agree."""
-    m = F.explode(F.array(F.lit("all"), F.when(F.col(matched), "same stops").otherwise("other stops")))
-    return df.withColumn("part", m).groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col(gain) > 0).cast("int")).alias("win_share"), F.median(gain).alias("median_gain"), F.percentile(gain, F.lit(0.1)).alias("p10"), F.percentile(gain, F.lit(0.9)).alias("p90"))
+def degradation_profile(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, plan_id, place, compound, length, beta, loss): the slope of each stint of a plan and what it costs by its end."""
+    c = F.col
+    s = listed(df, [*keys, "cur_lap", "par"]).select(*keys, "plan_id", "par", F.posexplode("plan").alias("place", "s"), F.concat(F.array(c("cur_lap").cast("int")), F.transform("plan", lambda s: s["end_lap"])).alias("ends"))
+    return s.select(*keys, "plan_id", "place", c("s.compound").alias("compound"), F.greatest(c("s.end_lap") - F.get("ends", c("place")), F.lit(0)).alias("length"), by_compound(c("par"), c("s.compound"))["beta"].alias("beta")).withColumn("loss", c("beta") * c("length"))
 
 
-def calibration(residuals: DataFrame, residual: str, weight: str, drifts: list[float]) -> DataFrame:
-    """(drift, n, mean, median, mad) of residual + drift * weight for each drift of a grid."""
-    grid = residuals.select(F.explode(F.array(*[F.lit(d) for d in drifts])).alias("drift"), (F.col(residual)).alias("r"), F.col(weight).alias("w")).withColumn("x", F.col("r") + F.col("drift") * F.col("w"))
-    med = grid.groupBy("drift").agg(F.median("x").alias("median"), F.avg("x").alias("mean"), F.count("*").alias("n"))
-    return grid.join(F.broadcast(med), "drift").groupBy("drift", "n", "mean", "median").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
+def keyed_draws(key: str, draws: int, places: int) -> dict[str, np.ndarray]:
+    """z (normal), u and q (uniform) by stint of a plan and draw, v and w (uniform) by draw, from the MD5 of (key, draw, stint):
+    functions of what is drawn, so all plans of a decision see the same draws, whatever the partitioning."""
+    numbers = range(1, draws + 1)
+    raw = b"".join(hashlib.md5(f"{key}|{d}|{p}".encode()).digest() for p in [*range(places), "control"] for d in numbers)
+    x = (np.frombuffer(raw, ">u4").reshape(places + 1, draws, 4) + 0.5) / 4294967296.0
+    return {"z": np.sqrt(-2 * np.log(x[:-1, :, 0])) * np.cos(2 * np.pi * x[:-1, :, 1]), "u": x[:-1, :, 2], "q": x[:-1, :, 3], "v": x[-1, :, 0], "w": x[-1, :, 1]}
 
 
-def changed_share(base: DataFrame, variant: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of decisions whose best plan changes under other parameters; both have (keys, plan_id)."""
-    j = base.select(*keys, F.col("plan_id").alias("__a")).join(variant.select(*keys, F.col("plan_id").alias("__b")), keys)
-    return j.agg(F.count("*").alias("n"), F.avg((F.col("__a") != F.col("__b")).cast("int")).alias("changed"))
+def onset_distributions(hazards: DataFrame, circuit: str) -> DataFrame:
+    """(circuit, onset_by): by circuit the chance that a race's first control period has begun by lap 1, 2, ...: one minus
+    the product of the laps' survival. hazards: (circuit, lap, hazard); a lap without a row has none.
 
+    The hazards of a circuit are as many as the laps of its longest race.
+    """
+    h = hazards.groupBy(circuit).agg(F.map_from_entries(F.collect_list(F.struct(F.col("lap").cast("int"), "hazard"))).alias("h"), F.max("lap").cast("int").alias("n"))
+    lap_hazard = lambda k: F.coalesce(F.try_element_at("h", k), F.lit(0.0))
+    grown = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(F.lit(1.0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) * (1 - lap_hazard(k)))))
+    return h.select(circuit, F.transform(F.slice(grown, 2, F.col("n")), lambda s: 1 - s).alias("onset_by"))
+
+
+def with_control(df: DataFrame, hazards: DataFrame, durations: DataFrame, circuit: str) -> DataFrame:
+    """df with onset_by, of its circuit and cut to the race's laps, and lengths, the sorted distinct lengths of first
+    control periods (durations: column laps; [1] if there are none), a list of small numbers."""
+    lists = durations.agg(F.coalesce(F.array_sort(F.collect_set(F.col("laps").cast("int"))), F.array().cast("array<int>")).alias("lengths")).withColumn("lengths", F.when(F.size("lengths") > 0, F.col("lengths")).otherwise(F.array(F.lit(1))))
+    j = df.join(onset_distributions(hazards, circuit), circuit, "left").crossJoin(F.broadcast(lists))
+    return j.withColumn("onset_by", F.slice(F.coalesce("onset_by", F.array().cast("array<double>")), F.lit(1), F.greatest(F.col("n_laps").cast("int"), F.lit(1))))
+
+
+def control_window(v: np.ndarray, w: np.ndarray, onset_by: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lap of a draw's control period: v's place among the chances of an onset by lap 1, 2, ..., and w's
+    length; past the last lap there is none."""
+    start = np.searchsorted(onset_by, v, side="right").astype(float) + 1
+    start[start > len(onset_by)] = np.inf
+    return start, start + lengths[np.minimum((w * len(lengths)).astype(int), len(lengths) - 1)] - 1
+
+
+def drawn_tyres(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes and cliffs by compound, stint and draw: a clipped normal, and one of the compound's quantiles or none."""
+    mean, spread = row["beta"][:, None, None], row["sigma"][:, None, None]
+    beta = np.minimum(np.maximum(mean + spread * row["z"], 0.005), np.minimum(np.maximum(mean, 0.0) * 4 + 0.15, 1.0))
+    of = lambda c, x: np.where(row["u"] < c, NEVER, x[np.minimum((row["q"] * len(x)).astype(int), len(x) - 1)])
+    return beta, np.stack([of(c, x) for c, x in zip(row["censor"], row["quantiles"], strict=True)])
+
+
+def mean_tyres(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The mean slope, and the middle quantile of the cliff or none where most stints have none, as a single draw."""
+    places = int(row["sizes"].max())
+    cliff = np.array([NEVER if c > 0.5 else x[(len(x) - 1) // 2] for c, x in zip(row["censor"], row["quantiles"], strict=True)])
+    spread = lambda x: np.repeat(x[:, None, None], places, axis=1)
+    return spread(row["beta"]), spread(cliff)
+
+
+class Costing:
+    """Costs of one decision's plans, from the numbers of its row."""
+
+    def __init__(self, row: dict, beta: np.ndarray, cliff: np.ndarray, jump: float = CLIFF_JUMP, slope: float = CLIFF_SLOPE, drift: float = 0.0):
+        """beta and cliff by compound, stint and draw."""
+        self.row, self.beta, self.cliff, self.jump, self.slope, self.drift = row, beta, cliff, jump, slope, drift
+        self.k0 = max(int(row["into"]) - 1, 0)
+        self.fresh = row["base_pace"] - beta[row["now"], 0] * self.k0
+
+    def stints(self, place: np.ndarray, compound: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """cost[stint, draw]: seconds of stints in every draw, without their stops."""
+        r, first = self.row, (place == 0)[:, None]
+        n = np.maximum(end - start, 0).astype(float)[:, None]
+        beta, cliff = self.beta[compound, place] * r["beta_mult"], self.cliff[compound, place]
+        cliff = np.where(first, np.minimum(cliff - self.k0, -1.0 if r["in_cliff"] else NEVER), cliff)
+        base = self.fresh + np.where(first, 0.0, (r["offset"][compound] - r["offset"][r["now"]])[:, None])
+        past = np.maximum(n - np.maximum(cliff, 0.0), 0.0)
+        cost = n * (base + r["penalty"]) + beta * n * (n + 1) / 2 + self.jump * past + self.slope * past * (past + 1) / 2 + np.where(first, beta * self.k0 * n, 0.0)
+        cost += self.drift * n * (0.5 * (start + 1 + end) - (r["cur_lap"] - 1))[:, None]
+        return np.where(n > 0, cost, 0.0)
+
+    def plans(self, sizes: np.ndarray, compounds: np.ndarray, ends: np.ndarray, loss: float = PIT_LOSS) -> np.ndarray:
+        """cost[plan, draw]; equal stints of the plans are costed once."""
+        place = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        starts = np.where(place == 0, self.row["cur_lap"], np.concatenate(([0], ends[:-1])))
+        stops = place < np.repeat(sizes, sizes) - 1
+        laps = int(max(starts.max(), ends.max())) + 1
+        key = ((((place * (int(compounds.max()) + 1)) + compounds) * laps + starts) * laps + ends) * 2 + stops
+        _, at, own = np.unique(key, return_index=True, return_inverse=True)
+        costs = self.stints(place[at], compounds[at], starts[at], ends[at])
+        if len(self.row["onset_by"]):
+            first, last = control_window(self.row["v"], self.row["w"], self.row["onset_by"], self.row["lengths"])
+            end = ends[at][:, None]
+            loss = np.where((end >= first) & (end <= last), self.row["pit_loss_control"], loss)
+        costs += np.where(stops[at][:, None], loss + WARM_UP, 0.0)
+        begin = np.cumsum(sizes) - sizes
+        out = costs[own[begin]]
+        for p in range(1, int(sizes.max())):
+            has = np.flatnonzero(sizes > p)
+            out[has] += costs[own[begin[has] + p]]
+        return out
+
+
+def quantile_of(sorted_rows: np.ndarray, q: float) -> np.ndarray:
+    """Linear quantile of rows that are sorted at the places that it needs."""
+    at = q * (sorted_rows.shape[1] - 1)
+    low = int(at)
+    return sorted_rows[:, low] + (at - low) * (sorted_rows[:, min(low + 1, sorted_rows.shape[1] - 1)] - sorted_rows[:, low])
+
+
+def over_decisions(df: DataFrame, keep: list[str], more: dict[str, Column], key: Column, f: Callable[[dict, str], tuple], result: str) -> DataFrame:
+    """Columns `keep` of df, a row a decision, and f(numbers, key) of each as columns `result`. The numbers are those of the
+    state, the parameters (in the order of par) and the plans (sizes, and the compounds, as places in par, and ends of all
+    their stints), and `more`. Rows are worked on where they are: nothing is shuffled."""
+    c = F.col
+    names = F.transform("par", lambda p: p["compound"])
+    of = lambda k: F.transform("par", lambda p: p[k])
+    stints = F.flatten("plans")
+    optional = lambda k, kind: (c(k) if k in df.columns else F.array()).cast(kind)
+    numbers = {
+        "cur_lap": c("cur_lap").cast("int"), "into": c("into").cast("int"), "base_pace": c("base_pace").cast("double"), "in_cliff": F.coalesce("in_cliff", F.lit(False)), "now": (F.array_position(names, c("compound")) - 1).cast("int"), "key": key,
+        "rival": (c("rival") if "rival" in df.columns else F.lit(None)).cast("int"), "sizes": F.transform("plans", lambda p: F.size(p)), "compounds": F.transform(stints, lambda s: (F.array_position(names, s["compound"]) - 1).cast("int")), "ends": F.transform(stints, lambda s: s["end_lap"]),
+        "beta": of("beta"), "sigma": of("sigma"), "offset": of("offset"), "censor": of("censor"), "quantiles": of("quantiles"), "onset_by": optional("onset_by", "array<double>"), "lengths": optional("lengths", "array<int>"), **more,
+    }
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keep], *T._parse_datatype_string(result).fields])
+    kinds = to_arrow_schema(T._parse_datatype_string(result)).types
+    scalars = ("cur_lap", "into", "base_pace", "in_cliff", "now", "rival", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 32):
+                part = b.slice(at, 32)
+                own = part.column(len(keep))
+                columns = dict(zip([x.name for x in own.type], own.flatten(), strict=True))
+                found = []
+                for k in range(len(part)):
+                    row = {}
+                    for name, col in columns.items():
+                        value = col[k]
+                        row[name] = value.as_py() if name in scalars else [x.values.to_numpy() for x in value] if name == "quantiles" else value.values.to_numpy(zero_copy_only=False)
+                    if row["now"] < 0 or (row["compounds"] < 0).any():
+                        raise ValueError("a plan has a compound without parameters")
+                    found.append(f(row, row["key"]))
+                results = [pa.array(list(col), t) for col, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(keep))], *results], schema.names)
+
+    return df.select(*keep, F.struct(*[v.alias(k) for k, v in numbers.items()]).alias("__n")).mapInArrow(run, schema)
+
+
+_STATS = "stops array<int>, mean array<double>, std array<double>, p5 array<double>, p95 array<double>, rank array<int>, best int, best_compounds array<int>, best_ends array<int>, gain_mean double, gain_low double, gain_high double, win_share double, parts array<double>"
+
+
+def evaluated(row: dict, jump: float, slope: float, drift: float) -> tuple:
+    """The columns of costed() for one decision."""
+    costing, sizes, rival = Costing(row, *drawn_tyres(row), jump, slope, drift), row["sizes"], row["rival"]
+    begin = np.cumsum(sizes) - sizes
+    cost = costing.plans(sizes, row["compounds"], row["ends"])
+    mean, std = cost.mean(axis=1), cost.std(axis=1)
+    places = [int(x * (cost.shape[1] - 1)) + k for x in (0.05, 0.95) for k in (0, 1)]
+    part = np.partition(cost, sorted({min(p, cost.shape[1] - 1) for p in places}), axis=1)
+    chosen = np.arange(len(sizes)) if rival is None else np.delete(np.arange(len(sizes)), rival)
+    order = chosen[np.lexsort((chosen, np.round(mean[chosen], 6)))]
+    rank = np.zeros(len(sizes), np.int32)
+    rank[order] = np.arange(1, len(order) + 1)
+    of = lambda name, k: row[name][begin[k] : begin[k] + sizes[k]]
+    out = [sizes - 1, mean, std, quantile_of(part, 0.05), quantile_of(part, 0.95), rank]
+    if not len(order):
+        return (*out, *[None] * 8)
+    best = int(order[0])
+    out += [best + 1, of("compounds", best), of("ends", best)]
+    if rival is None:
+        return (*out, *[None] * 5)
+    gain = np.sort(cost[rival] - cost[best])[None, :]
+    ends = of("ends", rival)
+    parts = costing.stints(np.arange(len(ends)), of("compounds", rival), np.concatenate(([row["cur_lap"]], ends[:-1])), ends).mean(axis=1)
+    return (*out, float(gain.mean()), float(quantile_of(gain, 0.05)[0]), float(quantile_of(gain, 0.95)[0]), float((gain > 0).mean()), parts)
+
+
+def costed(df: DataFrame, keys: list[str], keep: list[str], draws: int = 250, seed: str = "s", jump: float = CLIFF_JUMP, slope: float = CLIFF_SLOPE, drift: float = 0.0, beta_mult: float = 1.0, penalty: float = 0.0, pit_loss_control: float = PIT_LOSS / 3) -> DataFrame:
+    """The keys and columns `keep` of df, a row a decision (candidates(), with_parameters()), with arrays by plan: mean, std
+    (population), p5, p95 of the costs over the draws, stops, and rank (by mean, then place; 0 for the rival), and best,
+    the number of the cheapest plan, with its stints' compounds (places in par) and ends. Draws are made once a decision,
+    from its keys.
+
+    A slope is a clipped normal, a cliff one of the compound's quantiles or none; with with_control(), a stop within the
+    draw's control period costs less. If df has a column rival, the place from 0 of a plan that isn't a candidate, there
+    also are the gain of the best plan over it on common draws (mean, 5 % and 95 %, share above 0) and parts, the mean
+    seconds of the rival's stints. A decision's draws and costs are some hundred kilobytes in its task.
+    """
 
-def realised(laps: DataFrame, plans: DataFrame, keys: list[str], lap: str, pace: str) -> DataFrame:
-    """(keys, n, realised): sum of the run's laps after the decision, for decisions with at least three of them."""
-    j = laps.join(plans.select(*keys, "cur_lap"), keys).filter((F.col(lap) > F.col("cur_lap")) & F.col(pace).isNotNull())
-    return j.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(pace).alias("realised")).filter("n >= 3")
+    def stats(row: dict, key: str) -> tuple:
+        row |= {"beta_mult": beta_mult, "penalty": penalty, "pit_loss_control": pit_loss_control, **keyed_draws(key, draws, int(row["sizes"].max()))}
+        return evaluated(row, jump, slope, drift)
 
+    return over_decisions(df, [*keys, *keep], {}, F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in keys]), stats, _STATS)
 
-def best_of(costs: DataFrame, keys: list[str]) -> DataFrame:
-    """The cheapest plan of each key, the smaller number on ties."""
-    m = F.min(F.struct("cost", "plan_id", "stops"))
-    return costs.groupBy(*keys).agg(m.alias("b")).select(*keys, "b.*")
+
+def expected_costs(df: DataFrame, keys: list[str], scenarios: DataFrame, drift: float = 0.0) -> DataFrame:
+    """(scenario, keys, plan_id, stops, cost): closed-form cost at the mean slope and the middle quantile of the cliff, or
+    no cliff where most stints have none; scenarios as of scenario_table(), a handful of rows that every row gets."""
+    names = ["scenario", "beta_mult", "penalty", "pit_loss"]
+    with_all = df.crossJoin(F.broadcast(scenarios.agg(F.sort_array(F.collect_list(F.struct(*names))).alias("__all"))))
+
+    def costs(row: dict, _: str) -> tuple:
+        costing = Costing(row, *mean_tyres(row), drift=drift)
+        out = []
+        for mult, penalty, loss in zip(row["beta_mults"], row["penalties"], row["pit_losses"], strict=True):
+            row |= {"beta_mult": mult, "penalty": penalty}
+            out.append(costing.plans(row["sizes"], row["compounds"], row["ends"], loss)[:, 0])
+        return row["sizes"] - 1, np.concatenate(out)
+
+    of = lambda k: F.transform("__all", lambda x: x[k])
+    found = over_decisions(with_all, [*keys, "__all"], {"beta_mults": of("beta_mult"), "penalties": of("penalty"), "pit_losses": of("pit_loss")}, F.lit(""), costs, "stops array<int>, costs array<double>")
+    n = F.size("stops")
+    each = found.select(*keys, "stops", F.posexplode("__all").alias("__k", "__s"), "costs").select(F.col("__s.scenario").alias("scenario"), *keys, F.posexplode(F.arrays_zip("stops", F.slice("costs", F.col("__k") * n + 1, n).alias("cost"))).alias("__p", "__c"))
+    return each.select("scenario", *keys, (F.col("__p") + 1).alias("plan_id"), "__c.stops", "__c.cost")
+
+
+def ranked(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, plan_id, stops, mean, std, p5, p95, rank, delta_vs_best) of costed() rows."""
+    zipped = F.arrays_zip(*[F.col(k) for k in ("stops", "mean", "std", "p5", "p95", "rank")], F.transform("mean", lambda m: m - F.array_min("mean")).alias("delta_vs_best"))
+    return costs.select(*keys, F.posexplode(zipped).alias("__k", "__p")).select(*keys, (F.col("__k") + 1).alias("plan_id"), "__p.*")
+
+
+def gains(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a decision of costed() rows that kept a rival: both plans' stops and means, and the gain of the best one on
+    common draws."""
+    rival = F.col("rival")
+    best = F.col("best") - 1
+    return costs.filter("gain_mean is not null").select(
+        *keys, F.get("stops", rival).alias("actual_stops"), F.get("stops", best).alias("best_stops"), F.get("mean", rival).alias("actual_mean"), F.get("mean", best).alias("best_mean"), F.col("gain_mean").alias("gain"), "gain_low", "gain_high", "win_share",
+    )
+
+
+def backtest_summary(df: DataFrame, gain: str, actual: str, best: str) -> DataFrame:
+    """(part, n, win_share, mean_gain, median_gain, p10, p90, actual_stops, best_stops): over all decisions and by whether the
+    stops agree."""
+    rows = df.withColumn("part", F.explode(F.array(F.lit("all"), F.when(F.col(actual) == F.col(best), "same stops").otherwise("other stops"))))
+    plain = rows.groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col(gain) > 0).cast("int")).alias("win_share"), F.avg(gain).alias("mean_gain"), F.avg(actual).alias("actual_stops"), F.avg(best).alias("best_stops"))
+    q = exact_quantiles(rows, ["part"], gain, [0.1, 0.5, 0.9]).drop("n")
+    return plain.join(q, "part").select("part", "n", "win_share", "mean_gain", F.col("quantiles")[1].alias("median_gain"), F.col("quantiles")[0].alias("p10"), F.col("quantiles")[2].alias("p90"), "actual_stops", "best_stops")
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def changed_recommendations(costs: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """(variant, n, changed, mean_gain): share of decisions whose best plan is another under a variant's parameters, and the
+    mean gain of that plan over the base's rival; costs has (variant, keys, best, mean, rival) of costed() for the base and
+    the variants."""
+    own = costs.select(*keys, "variant", "best", F.get("mean", F.col("best") - 1).alias("best_mean"), F.get("mean", F.col("rival")).alias("rival_mean"))
+    first = lambda c: F.max(F.when(F.col("variant") == base, F.col(c)))
+    wide = own.groupBy(*keys).agg(first("best").alias("b"), first("rival_mean").alias("r"), F.collect_list(F.struct("variant", "best", "best_mean")).alias("all"))
+    rows = wide.select("b", "r", F.inline("all")).filter(F.col("variant") != base)
+    return rows.groupBy("variant").agg(F.count("*").alias("n"), F.avg((F.col("best") != F.col("b")).cast("int")).alias("changed"), F.avg(F.col("r") - F.col("best_mean")).alias("mean_gain"))
+
+
+def stint_residuals(laps: DataFrame, costs: DataFrame, keys: list[str], lap: str, pace: str, least: int = 3) -> DataFrame:
+    """(keys, position, compound, start_lap, length, simulated, realised, residual, weight): the rival's stints, simulated
+    and as driven; weight is what a drift of one second a lap adds to the residual.
+
+    costs: costed() rows that kept cur_lap and the rival's plan as rival_plan. Stints with fewer than `least` laps of known pace are
+    left out.
+    """
+    c = F.col
+    s = costs.filter("parts is not null").select(*keys, "cur_lap", c("rival_plan").alias("plan"), "parts")
+    s = s.select(*keys, "cur_lap", "plan", F.posexplode(F.arrays_zip(c("plan").alias("s"), c("parts").alias("t"))).alias("position", "x"))
+    start = F.when(c("position") == 0, c("cur_lap")).otherwise(F.get("plan", c("position") - 1)["end_lap"]).cast("int")
+    s = s.select(*keys, "cur_lap", "position", c("x.s.compound").alias("compound"), start.alias("start_lap"), c("x.s.end_lap").alias("end_lap"), c("x.t").alias("simulated")).filter("end_lap > start_lap")
+    driven = laps.filter(c(pace).isNotNull()).select(*keys, c(lap).alias("__lap"), c(pace).alias("__pace"))
+    real = s.join(driven, keys).filter((c("__lap") > c("start_lap")) & (c("__lap") <= c("end_lap")))
+    real = real.groupBy(*keys, "cur_lap", "position", "compound", "start_lap", "end_lap", "simulated").agg(F.count("*").alias("n"), F.sum("__pace").alias("realised")).filter(c("n") >= least)
+    n = c("end_lap") - c("start_lap")
+    return real.select(*keys, "position", "compound", "start_lap", n.alias("length"), "simulated", "realised", (c("simulated") - c("realised")).alias("residual"), (n * (0.5 * (c("start_lap") + 1 + c("end_lap")) - (c("cur_lap") - 1))).alias("weight"))
+
+
+def drift_grid(residuals: DataFrame, drifts: list[float]) -> DataFrame:
+    """(drift, n, mean, median, mad) of residual + drift * weight for each drift of a grid; medians exact over any number of
+    stints."""
+    grid = residuals.select(F.explode(F.array(*[F.lit(d) for d in drifts])).alias("drift"), "residual", "weight").select("drift", (F.col("residual") + F.col("drift") * F.col("weight")).alias("x"))
+    middle = exact_quantiles(grid, ["drift"], "x", [0.5]).select("drift", F.col("quantiles")[0].alias("median"))
+    # One row a drift of the grid.
+    away = grid.join(F.broadcast(middle), "drift").withColumn("d", F.abs(F.col("x") - F.col("median")))
+    mad = exact_quantiles(away, ["drift"], "d", [0.5]).select("drift", F.col("quantiles")[0].alias("mad"))
+    return grid.groupBy("drift").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).join(middle, "drift").join(mad, "drift").select("drift", "n", "mean", "median", "mad")
+
+
+def best_drift(grid: DataFrame) -> DataFrame:
+    """(drift, mad): the drift of the least spread, 0 unless another is smaller in nine decimals; one row."""
+    return grid.agg(F.min(F.struct(F.round("mad", 9).alias("mad"), F.abs("drift").alias("size"), F.col("drift"))).alias("b")).select("b.drift", "b.mad")
+
+
+def residual_buckets(residuals: DataFrame, drift: DataFrame) -> DataFrame:
+    """(dimension, bucket, n, mean_length, mean_start, before, after): mean residuals by length, compound and start lap,
+    without and with the drift (one row)."""
+    c = F.col
+    length = F.when(c("length") <= 12, "a <=12").when(c("length") <= 20, "b 13-20").otherwise("c >20")
+    start = F.when(c("start_lap") <= 18, "a <=18").when(c("start_lap") <= 30, "b 19-30").when(c("start_lap") <= 42, "c 31-42").otherwise("d >42")
+    rows = residuals.crossJoin(F.broadcast(drift.select("drift"))).withColumn("after", c("residual") + c("drift") * c("weight"))
+    rows = rows.select("length", "start_lap", "residual", "after", F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), b.alias("bucket")) for d, b in (("length", length), ("compound", c("compound")), ("start", start))])))
+    return rows.groupBy("dimension", "bucket").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"), F.avg("start_lap").alias("mean_start"), F.avg("residual").alias("before"), F.avg("after").alias("after"))
+
+
+def realised_pace(laps: DataFrame, costs: DataFrame, keys: list[str], lap: str, pace: str, category: str) -> DataFrame:
+    """(keys, actual, recommended, gain, first_stop, n_after, actual_compound, best_compound): laps driven from the decision
+    on, and the same with the laps from the recommended stop on moved by the offset between the two final compounds.
+
+    costs: costed() rows that kept cur_lap and par. Decisions without laps from the stop on are left out; an
+    actual compound without parameters counts as the recommended one.
+    """
+    c = F.col
+    best = costs.select(*keys, "cur_lap", "par", c("best_ends")[0].alias("first_stop"), F.get("par", F.element_at("best_compounds", -1))["compound"].alias("best_compound"))
+    j = laps.filter(c(pace).isNotNull()).select(*keys, c(lap).alias("__lap"), c(pace).alias("__pace"), c(category).alias("__category")).join(best, keys).filter(c("__lap") >= c("cur_lap"))
+    after = c("__lap") >= c("first_stop")
+    s = j.groupBy(*keys, "first_stop", "best_compound").agg(F.first("par").alias("par"), F.sum("__pace").alias("actual"), F.sum(after.cast("int")).alias("n_after"), F.max_by("__category", F.when(after, c("__lap"))).alias("last"))
+    s = s.filter("n_after > 0").withColumn("actual_compound", F.when(by_compound(c("par"), c("last")).isNotNull(), c("last")).otherwise(c("best_compound")))
+    moved = c("n_after") * (by_compound(c("par"), c("best_compound"))["offset"] - by_compound(c("par"), c("actual_compound"))["offset"])
+    return s.select(*keys, "actual", (c("actual") + moved).alias("recommended"), (-moved).alias("gain"), "first_stop", c("n_after").cast("long").alias("n_after"), "actual_compound", "best_compound")
+
+
+def realised_summary(df: DataFrame) -> DataFrame:
+    """One row of realised_pace(): n, win_share, mean_gain, median_gain, p10, p90, agreement of the final compounds."""
+    one = df.withColumn("part", F.lit(1))
+    plain = one.groupBy("part").agg(F.count("*").alias("n"), F.avg((F.col("gain") > 0).cast("int")).alias("win_share"), F.avg("gain").alias("mean_gain"), F.avg((F.col("actual_compound") == F.col("best_compound")).cast("int")).alias("agreement"))
+    q = exact_quantiles(one, ["part"], "gain", [0.1, 0.5, 0.9]).drop("n")
+    return plain.join(q, "part").select("n", "win_share", "mean_gain", F.col("quantiles")[1].alias("median_gain"), F.col("quantiles")[0].alias("p10"), F.col("quantiles")[2].alias("p90"), "agreement")

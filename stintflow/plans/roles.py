@@ -37,6 +37,30 @@ LAPS_SQL = """laps AS (
   FROM lineitem)"""
 
 
+def races(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as races with contiguous stints: a supplier's year is a race, its quarters are the stints, whose compounds
+    follow from supplier, year and quarter. A lap is under control if one of the last three sets off a period."""
+    c = F.col
+    race = Window.partitionBy("driver", "season")
+    df = table(spark, sf_dir, "lineitem").select(
+        c("l_suppkey").alias("driver"), F.year("l_shipdate").alias("season"), F.quarter("l_shipdate").alias("stint"), "l_shipdate", "l_orderkey", "l_linenumber", F.when(c("l_discount") != 0, F.lit(80.0) + F.lit(0.2) * c("l_quantity")).alias("pace"),
+        (c("l_linestatus") == "O").cast("int").alias("rain"), c("l_discount").alias("dirty"), c("l_tax").alias("temp"), (c("l_suppkey") % 5).cast("int").alias("cluster"), ((c("l_tax") >= 0.08) & (c("l_discount") >= 0.1)).cast("int").alias("trigger"),
+    )
+    df = df.withColumn("compound", F.element_at(F.array(*[F.lit(x) for x in "ANR"]), ((c("driver") + c("season") + c("stint")) % 3 + 1).cast("int")))
+    order = ["l_shipdate", "l_orderkey", "l_linenumber"]
+    df = df.withColumns({"lap": F.row_number().over(race.orderBy(*order)), "life": F.row_number().over(Window.partitionBy("driver", "season", "stint").orderBy(*order)), "control": F.max("trigger").over(race.orderBy(*order).rowsBetween(-2, 0))})
+    best = F.min("pace").over(Window.partitionBy("driver", "season", "stint").orderBy("life"))
+    return df.withColumn("above_best", c("pace") - best).drop(*order, "trigger")
+
+
+RACES_SQL = """r0 AS (
+  SELECT l_suppkey AS driver, year(l_shipdate) AS season, quarter(l_shipdate) AS stint, CASE WHEN l_discount <> 0 THEN 80.0::DOUBLE + 0.2::DOUBLE * l_quantity END AS pace, (l_linestatus = 'O')::INT AS rain, l_discount AS dirty, l_tax AS temp,
+         (l_suppkey % 5)::INT AS cluster, ['A', 'N', 'R'][(l_suppkey + year(l_shipdate) + quarter(l_shipdate)) % 3 + 1] AS compound,
+         (row_number() OVER r)::INT AS lap, (row_number() OVER s)::INT AS life, max((l_tax >= 0.08 AND l_discount >= 0.1)::INT) OVER (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS control
+  FROM lineitem WINDOW r AS (PARTITION BY l_suppkey, year(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber), s AS (PARTITION BY l_suppkey, year(l_shipdate), quarter(l_shipdate) ORDER BY l_shipdate, l_orderkey, l_linenumber)),
+races AS (SELECT *, pace - min(pace) OVER (PARTITION BY driver, season, stint ORDER BY life) AS above_best FROM r0)"""
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as samples: a user's six-day block is a lap; the event type says which channel a value belongs to."""
     c = F.col

@@ -125,11 +125,6 @@ def test_slope_keeps_two_populations(spark):
     assert T.stint_slopes(holes, ["driver", "stint"], "life", "lap", "pace", "flag").first().slope < 0.2
 
 
-def test_nearest_quantile(spark):
-    df = spark.createDataFrame([("a", float(k)) for k in range(5)], "k string, v double")
-    assert T.nearest_quantile(df, ["k"], "v", 0.4, "q").first().q == 2.0
-
-
 def test_latest_before(spark):
     f = spark.createDataFrame([("a", 1, 10.0), ("a", 5, 50.0)], "k string, t int, v double")
     q = spark.createDataFrame([("a", 4), ("a", 5), ("a", 0), ("b", 9)], "k string, at int")
@@ -191,7 +186,7 @@ def test_draws_do_not_depend_on_partitions(spark):
 
 def test_candidates_follow_the_two_compound_rule(spark):
     s = spark.createDataFrame([("a", 10, 30, "S", ["S"], False), ("b", 28, 30, "S", ["S"], False), ("w", 10, 30, "S", ["S"], True)], "driver string, cur_lap int, n_laps int, compound string, used array<string>, wet boolean")
-    plans = G.candidates(s, ["driver"], ["S", "M"]).collect()
+    plans = G.listed(G.candidates(s, F.array(F.lit("S"), F.lit("M"))), ["driver"]).collect()
     by = {d: [p for p in plans if p.driver == d] for d in "abw"}
     assert all(len({x.compound for x in p.plan}) == 2 for p in by["a"])
     assert [len(p.plan) for p in by["b"]] == [1]
