@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from stintflow.functions.scalars import FUEL_SECONDS_PER_LAP
 
 CLIFF = 1.5
-OUT = "race string, driver string, lap int, stint_no int, laps_into_stint int, compound string, fuel_corr double, pace_above_best double, in_cliff_now boolean, slope double, track_temp double, track_temp_mean double, compounds_used array<string>, alert string"
-STATE = "lap int, stint_no int, explicit int, n int, compound string, best double, sx double, sy double, sxx double, sxy double, temp double, t_sum double, t_n int, used string, above int, ended boolean"
+OUT = "race string, driver string, lap int, stint_no int, laps_into_stint int, compound string, fuel_corr double, pace_above_best double, in_cliff_now boolean, slope double, track_temp double, track_temp_mean double, compounds_used array<string>, alert string, revision int"
 
 
 def batch_snapshots(laps: DataFrame, keys: list[str], lap: str = "lap", laptime: str = "laptime", compound: str = "compound", stint: str | None = None) -> DataFrame:
@@ -69,31 +68,92 @@ def alert(s: dict, probability: float | None, life: float | None, threshold: flo
 EMPTY = {"lap": 0, "stint_no": 0, "explicit": None, "n": 0, "compound": None, "best": None, "sx": 0.0, "sy": 0.0, "sxx": 0.0, "sxy": 0.0, "temp": None, "t_sum": 0.0, "t_n": 0, "used": "", "above": 0, "ended": False}
 
 
-def snapshots(stream: DataFrame, threshold: float = 0.5, joint_limit: float = 15.0, imminent_at: float = 2.0) -> DataFrame:
-    """A snapshot per lap of a stream (race, driver, lap, laptime, compound, stint, track_temp, probability, life).
+class LapState(StatefulProcessor):
+    """The laps of one (race, driver), by number, and how often their snapshots were given out.
 
-    State is kept by (race, driver). Laps are put in order inside a micro-batch; a lap that comes after a later one of an
-    earlier batch is left out, since its place in the sums is past.
+    A lap that comes late is put in its place: its own snapshot comes out, and those of the laps after it once more, with
+    a higher revision. A lap that comes again replaces what came before. The state holds a race's laps, some dozens, and
+    goes at the event time of its timer, `keep` after the last lap seen.
     """
 
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(EMPTY, state.get, strict=True)) if state.exists else dict(EMPTY)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("lap", kind="stable")
-        out = []
-        for row in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            if row["laptime"] is None or row["lap"] is None or int(row["lap"]) <= s["lap"]:
+    def __init__(self, threshold: float, joint_limit: float, imminent_at: float, keep_ms: int | None):
+        self.how, self.keep_ms = (threshold, joint_limit, imminent_at), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.laps = handle.getMapState("laps", "lap int", "laptime double, compound string, stint int, track_temp double, probability double, life double")
+        self.revision = handle.getValueState("revision", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, latest = None, None
+        for frame in rows:
+            plain = frame.astype(object).where(frame.notna(), None)
+            for row in plain.to_dict("records"):
+                if row["laptime"] is None or row["lap"] is None:
+                    continue
+                lap = int(row["lap"])
+                value = (float(row["laptime"]), row["compound"], None if row["stint"] is None else int(row["stint"]), *[None if row[c] is None else float(row[c]) for c in ("track_temp", "probability", "life")])
+                self.laps.updateValue((lap,), value)
+                first = lap if first is None else min(first, lap)
+                if self.keep_ms is not None and row["at"] is not None:
+                    at = int(pd.Timestamp(row["at"]).timestamp() * 1000)
+                    latest = at if latest is None else max(latest, at)
+        if latest is not None:
+            timers = list(self.handle.listTimers())
+            if all(t < latest + self.keep_ms for t in timers):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(latest + self.keep_ms)
+        if first is not None:
+            revision = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+            self.revision.update((revision,))
+            known = sorted((k[0], *v) for k, v in self.laps.iterator())
+            yield pd.DataFrame(list(self.snapshots(key, known, first, revision)), columns=[c.strip().split(" ")[0] for c in OUT.split(", ")])
+
+    def snapshots(self, key, known: list[tuple], first: int, revision: int) -> Iterator[tuple]:
+        s = dict(EMPTY)
+        for lap, laptime, compound, stint, temp, probability, life in known:
+            s = step(s, {"lap": lap, "laptime": laptime, "compound": compound, "stint": stint, "track_temp": temp})
+            word = alert(s, probability, life, *self.how)
+            if lap < first:
                 continue
-            row |= {"lap": int(row["lap"]), "stint": None if row["stint"] is None else int(row["stint"])}
-            s = step(s, row)
-            n, y = s["n"], row["laptime"] + FUEL_SECONDS_PER_LAP * row["lap"]
-            det = n * s["sxx"] - s["sx"] * s["sx"]
-            gap = y - s["best"]
-            out.append((key[0], key[1], s["lap"], s["stint_no"], n, s["compound"], y, gap, gap > CLIFF, (n * s["sxy"] - s["sx"] * s["sy"]) / det if n >= 2 and abs(det) > 1e-9 else 0.0, s["temp"], s["t_sum"] / s["t_n"] if s["t_n"] else None, s["used"].split(","), alert(s, row["probability"], row["life"], threshold, joint_limit, imminent_at)))
-        state.update(tuple(s[k] for k in EMPTY))
-        if out:
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in OUT.split(", ")])
-
-    return stream.groupBy("race", "driver").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+            n, y = s["n"], laptime + FUEL_SECONDS_PER_LAP * lap
+            det, gap = n * s["sxx"] - s["sx"] * s["sx"], y - s["best"]
+            slope = (n * s["sxy"] - s["sx"] * s["sy"]) / det if n >= 2 and abs(det) > 1e-9 else 0.0
+            yield (key[0], key[1], lap, s["stint_no"], n, s["compound"], y, gap, gap > CLIFF, slope, s["temp"], s["t_sum"] / s["t_n"] if s["t_n"] else None, s["used"].split(","), word, revision)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.laps.clear()
+        self.revision.clear()
+        yield pd.DataFrame(columns=[c.strip().split(" ")[0] for c in OUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def snapshots(stream: DataFrame, threshold: float = 0.5, joint_limit: float = 15.0, imminent_at: float = 2.0, keep: float | None = None) -> DataFrame:
+    """Snapshots of a stream (race, driver, lap, laptime, compound, stint, track_temp, probability, life), keyed by (race, driver).
+
+    Laps may come in any order, within a micro-batch and across them: no lap is left out. latest() of the output has, for
+    each lap, what batch_snapshots() gives for all laps so far. With `keep` seconds, the stream has an event time `at` with
+    a watermark, and a driver's state goes when the watermark is that far past the driver's last lap; rows that the
+    watermark rules out are counted by dropped_rows(). Laps without number or time fall out. It takes the RocksDB state
+    store (spark.sql.streaming.stateStore.providerClass), which transformWithState asks for.
+    """
+    processor = LapState(threshold, joint_limit, imminent_at, None if keep is None else int(keep * 1000))
+    columns = ["race", "driver", "lap", "laptime", "compound", "stint", "track_temp", "probability", "life", *(["at"] if keep is not None else [])]
+    return stream.select(*columns).groupBy("race", "driver").transformWithStateInPandas(processor, OUT, "append", "None" if keep is None else "EventTime")
+
+
+def latest(snapshot: DataFrame) -> DataFrame:
+    """The last revision of each lap's snapshot."""
+    keys = ["race", "driver", "lap"]
+    return snapshot.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in snapshot.columns if c not in keys]), "revision").alias("s")).select(*keys, "s.*")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows that came past the watermark, over the progress reports that the query still has."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 
 
 def decision_state(snapshot: DataFrame) -> DataFrame:
