@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintflow.operators.ranks import global_rank
+
 from stintflow.functions.scalars import natural_key
 
 
@@ -77,22 +79,28 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) ->
 
 
 def thin(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """k rows of a ranked list at even distances, both ends included (all rows of a shorter list).
-
-    Rank by group counts would need no single task; lists here are plans of one decision, so `thin_by` is the general form.
-    """
-    return thin_by(df.withColumn("__one", F.lit(1)), ["__one"], order, k).drop("__one")
+    """k rows of a ranked list at even distances, both ends included (all rows of a shorter list); the list is ranked by
+    ranges and may be of any length."""
+    ranked = global_rank(df, order, "__r")
+    # The number of rows is one row.
+    sized = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("__n"))))
+    return sized.filter(_kept(k)).drop("__r", "__n")
 
 
 def thin_by(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """thin() for each key's list; a key's list is ranked in one task."""
     w = Window.partitionBy(*keys)
     ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
-    # Place j of k is floor(j * (n - 1) / (k - 1)); a rank is kept if some j gives it. The first j at or past the rank is
-    # found with a margin for rounding, and its neighbour is tried as well.
+    return ranked.filter(_kept(k)).drop("__r", "__n")
+
+
+def _kept(k: int) -> Column:
+    """Whether rank __r of __n is floor(j * (n - 1) / (k - 1)) for some j. The first j at or past the rank is found with a margin
+    for rounding, and its neighbour is tried as well."""
     step = (F.col("__n") - 1) / (k - 1)
     j = F.ceil(F.col("__r") / step - 1e-9)
     hit = (F.floor(j * step) == F.col("__r")) | (F.floor((j + 1) * step) == F.col("__r"))
-    return ranked.filter((F.col("__n") <= k) | hit).drop("__r", "__n")
+    return (F.col("__n") <= k) | hit
 
 
 def decision_filter(df: DataFrame, driver: str | None = None, scenario: str | None = None, compound: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintflow.sources.tables import stored
+
 
 def stint_slopes(laps: DataFrame, keys: list[str], life: str, lap: str, pace: str, flag: str, usable: Column | None = None, skip: int = 3, least: int = 4, means: list[str] = (), firsts: list[str] = ()) -> DataFrame:
     """(keys, n, slope, ...): cov(life, pace) / var(life) of each stint's laps after the first `skip`, green ones only.
@@ -91,11 +93,13 @@ def pace_by(df: DataFrame, keys: list[str], pace: str) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, x: str, y: str, bins: int, least: int = 3) -> DataFrame:
-    """(bin, n, x_mean, y_median) of rows binned by x's quantile edges; the edges are one aggregate, sent as one row."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(k / bins) for k in range(bins + 1)])).alias("__e"))
+    """(bin, n, x_mean, y_median) of rows binned by x's exact quantile edges; the edges are one row, sent to all tasks, and
+    medians are exact without a bin in one task."""
+    edges = exact_quantiles(df, [], x, [k / bins for k in range(bins + 1)]).select(F.col("quantiles").alias("__e"))
     place = F.size(F.filter("__e", lambda e: e <= F.col(x))) - 1
-    binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x_mean"), F.median(y).alias("y_median")).filter(F.col("n") >= least)
+    binned = df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("bin", F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
+    middle = exact_quantiles(binned, ["bin"], y, [0.5]).select("bin", F.col("quantiles")[0].alias("y_median"))
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x_mean")).filter(F.col("n") >= least).join(middle, "bin", "left")
 
 
 def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
@@ -106,19 +110,30 @@ def theil_sen(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.crossJoin(F.broadcast(slope)).groupBy("slope").agg(F.median(F.col(y) - F.col("slope") * F.col(x)).alias("intercept"))
 
 
-def response(df: DataFrame, x: str, y: str, bins: int = 8, ceiling: float = 2.5, anchors: tuple[float, float] = (0.9, 0.99)) -> DataFrame:
-    """One row: the robust line through binned medians and its multipliers at x's quantiles against x = 0, in 1..ceiling.
+def response(df: DataFrame, x: str, y: str, bins: int = 8, ceiling: float = 2.5, anchors: tuple[float, float] = (0.9, 0.99), fallback: tuple[float, float] = (1.15, 1.25), least: int = 30, least_bins: int = 3) -> DataFrame:
+    """One row: n, slope, intercept and r2 of the robust line through binned medians, its multipliers at x's quantiles
+    against x = 0, in 1..ceiling, and whether they are fitted.
 
-    The line is fitted to all pairs of bins, of which there may be 64 at most.
+    The line goes through all pairs of bins, of which there may be 64 at most; r2 is that of the binned medians. With
+    fewer rows than `least` or fewer bins than `least_bins` the multipliers are the fallback's; without rows there is no
+    line either.
     """
     if bins > 64:
         raise ValueError("at most 64 bins")
-    kept = df.filter((F.col(y) > 0) & (F.col(y) < 1) & F.col(x).isNotNull())
-    line = theil_sen(quantile_bins(kept, x, y, bins), "x_mean", "y_median")
-    at = kept.agg(F.count("*").alias("n"), F.percentile(x, F.array(*[F.lit(a) for a in anchors])).alias("a"))
+    # Read for the edges, the bins, their medians and the anchors: two columns, stored once; so are the bins, a few rows.
+    kept = stored(df.sparkSession, df.select(x, y).filter((F.col(y) > 0) & (F.col(y) < 1) & F.col(x).isNotNull()), "response")
+    points = stored(df.sparkSession, quantile_bins(kept, x, y, bins), "points")
+    line = theil_sen(points, "x_mean", "y_median")
+    at = exact_quantiles(kept, [], x, list(anchors)).select("n", F.col("quantiles").alias("a"))
     value = lambda v: F.col("slope") * v + F.col("intercept")
+    rest = F.col("y_median") - value(F.col("x_mean"))
+    total = (F.count("*") - 1) * F.var_samp("y_median")
+    # The bins are a few rows, the line and the anchors one row each.
+    fit = points.crossJoin(F.broadcast(line)).groupBy("slope", "intercept").agg(F.count("*").alias("bins"), F.when(total > 1e-9, 1 - F.sum(rest * rest) / total).otherwise(0.0).alias("r2"))
     mult = lambda v: F.least(F.greatest(value(v) / F.greatest(value(F.lit(0.0)), F.lit(1e-6)), F.lit(1.0)), F.lit(ceiling))
-    return line.crossJoin(at).select("n", "slope", "intercept", mult(F.col("a")[0]).alias("mult_near"), mult(F.col("a")[1]).alias("mult_far"))
+    found = fit.crossJoin(F.broadcast(at.drop("n"))).select("slope", "intercept", "r2", "bins", *[mult(F.col("a")[k]).alias(f"m{k}") for k in range(2)])
+    out = kept.agg(F.count("*").alias("n")).join(F.broadcast(found), F.lit(True), "left").withColumn("fitted", F.coalesce((F.col("n") >= least) & (F.col("bins") >= least_bins), F.lit(False)))
+    return out.select("n", "slope", "intercept", "r2", *[F.when(F.col("fitted"), F.col(f"m{k}")).otherwise(fallback[k]).alias(c) for k, c in enumerate(("mult_near", "mult_far"))], "fitted")
 
 
 def paired_gaps(laps: DataFrame, keys: list[str], category: str, base: str, others: list[str], pace: str, index: str) -> DataFrame:
@@ -141,15 +156,15 @@ def temperature_effect(df: DataFrame, temp: str, pace: str, least: int = 50) ->
 
 
 def group_offsets(slopes: DataFrame, group: str, slope: str = "slope", least: int = 30) -> DataFrame:
-    """Median slope of each group of at least `least` stints against the median of all."""
-    everything = slopes.agg(F.median(slope).alias("__all"))
-    return slopes.groupBy(group).agg(F.count(slope).alias("n"), F.median(slope).alias("__m")).filter(F.col("n") >= least).crossJoin(F.broadcast(everything)).select(group, "n", (F.col("__m") - F.col("__all")).alias("offset"))
+    """Median slope of each group of at least `least` stints against the median of all, which is one row."""
+    everything = exact_quantiles(slopes, [], slope, [0.5]).select(F.col("quantiles")[0].alias("__all"))
+    return exact_quantiles(slopes, [group], slope, [0.5]).filter(F.col("n") >= least).crossJoin(F.broadcast(everything)).select(group, "n", (F.col("quantiles")[0] - F.col("__all")).alias("offset"))
 
 
 def degradation_curve(laps: DataFrame, keys: list[str], category: str, life: str, pace: str) -> DataFrame:
     """Median loss against the stint's best by category and life."""
     loss = F.col(pace) - F.min(pace).over(Window.partitionBy(*keys))
-    return laps.withColumn("__l", loss).filter("__l is not null").groupBy(category, life).agg(F.median("__l").alias("loss"), F.count("*").alias("n"))
+    return exact_quantiles(laps.withColumn("__l", loss), [category, life], "__l", [0.5]).select(category, life, F.col("quantiles")[0].alias("loss"), "n")
 
 
 def onset_distribution(stints: DataFrame, category: str, onset: str, early: float = 3.0, n: int = 25) -> DataFrame:

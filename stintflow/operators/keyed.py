@@ -32,7 +32,9 @@ def combined(df: DataFrame, keys: list[str], combine: list[Column], merge: list[
 
 
 def conservation(before: DataFrame, after: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """(emitted, received, keys_in_several_rows): whether an aggregate kept every record and has one row a key."""
+    """(emitted, received, keys_in_several_rows, keys_in_several_partitions): whether an aggregate kept every record, has one
+    row a key, and has each key in one partition, as its rows lie when they are read."""
     e = before.agg(F.count("*").alias("emitted"))
-    by = after.groupBy(*keys).agg(F.count("*").alias("m"), F.sum(count).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("received"), F.coalesce(F.sum((F.col("m") > 1).cast("long")), F.lit(0)).alias("keys_in_several_rows"))
-    return e.crossJoin(by)
+    by = after.withColumn("__p", F.spark_partition_id()).groupBy(*keys).agg(F.count("*").alias("m"), F.countDistinct("__p").alias("p"), F.sum(count).alias("c"))
+    several = lambda c: F.coalesce(F.sum((F.col(c) > 1).cast("long")), F.lit(0))
+    return e.crossJoin(by.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("received"), several("m").alias("keys_in_several_rows"), several("p").alias("keys_in_several_partitions")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintflow.functions.scalars import DEFAULT_LIFE_CAP, LIFE_CAPS, capped_life
@@ -33,11 +33,20 @@ def remaining_life(laps: DataFrame, s: Stint, pace: str, life: str, flag: str, c
     return df.withColumns({"target_life": capped_life(c("raw_life"), c(category), caps or LIFE_CAPS, default), "onset_near": F.coalesce((c("onset") - c(life)).between(0, near), F.lit(False)).cast("int")})
 
 
-def sensitivity(laps: DataFrame, s: Stint, pace: str, life: str, flag: str, thresholds: list[float], windows: list[int]) -> DataFrame:
-    """Label rates by threshold and sustained window: one row per pair, all from one cached order of the laps."""
-    out = None
-    for t in thresholds:
-        for k in windows:
-            one = onset(laps, s, pace, life, flag, threshold=t, sustained=k).select(F.lit(float(t)).alias("threshold"), F.lit(k).alias("sustained"), F.col("onset").isNotNull().cast("int").alias("labelled"), F.coalesce((F.col("onset") - F.col(life)).between(0, 3), F.lit(False)).cast("int").alias("near"))
-            out = one if out is None else out.unionAll(one)
-    return out.groupBy("threshold", "sustained").agg(F.count("*").alias("n"), F.avg("labelled").alias("labelled_rate"), F.avg("near").alias("near_rate"))
+def sensitivity(laps: DataFrame, s: Stint, pace: str, life: str, flag: str, thresholds: list[float], windows: list[int], narrow: int = 3) -> DataFrame:
+    """Label rates by threshold and sustained window, one row a pair, as onset() would label: one shuffle by stint.
+
+    The rolling median is taken once; beside each lap stand, by threshold, how many laps from it on are above in a row,
+    and from these the onsets of all pairs.
+    """
+    c = F.col
+    df = laps.withColumns({"__pos": position(s), "__best": stint_best(s, c(pace), c(flag)), "__median": F.percentile(c(pace), F.lit(0.5)).over(s.last(narrow)), "__n": F.count("*").over(s.whole)})
+    green = (c("__pos") >= 2) & (F.coalesce(c(flag), F.lit(0)) == 0)
+    above = [F.coalesce((c("__median") > c("__best") + t) & green, F.lit(False)) for t in thresholds]
+    ahead = s.ordered.rowsBetween(0, Window.unboundedFollowing)
+    df = df.withColumns({f"__run{k}": F.coalesce(F.min(F.when(~a, c("__pos"))).over(ahead), c("__n")) - c("__pos") for k, a in enumerate(above)})
+    pairs = [(k, t, w) for k, t in enumerate(thresholds) for w in windows]
+    df = df.withColumns({f"__on{k}_{w}": F.min(F.when(c(f"__run{k}") >= w, c(life))).over(s.whole) for k, _, w in pairs})
+    on = lambda k, w: c(f"__on{k}_{w}")
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(w).alias("sustained"), on(k, w).isNotNull().cast("int").alias("labelled"), F.coalesce((on(k, w) - c(life)).between(0, 3), F.lit(False)).cast("int").alias("near")) for k, t, w in pairs])
+    return df.select(F.inline(rows)).groupBy("threshold", "sustained").agg(F.count("*").alias("n"), F.avg("labelled").alias("labelled_rate"), F.avg("near").alias("near_rate"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintflow.operators.fits import exact_quantiles
+from stintflow.operators.ranks import global_rank
+
 
 def _finite(*cols: Column) -> Column:
     ok = F.lit(True)
@@ -98,10 +101,9 @@ def standardised(df: DataFrame, columns: list[str], fold: str = "fold") -> DataF
 
 
 def category_codes(df: DataFrame, column: str, unknown: str = "UNKNOWN") -> DataFrame:
-    """code: place of the value (null: UNKNOWN) among the sorted distinct values, joined from the few distinct ones."""
+    """code: place of the value (null: UNKNOWN) among the sorted distinct values, which are ranked by ranges."""
     v = F.coalesce(F.col(column), F.lit(unknown))
-    levels = df.select(v.alias("__v")).distinct()
-    coded = levels.withColumn("code", F.row_number().over(Window.orderBy("__v")) - 1)
+    coded = global_rank(df.select(v.alias("__v")).distinct(), ["__v"], "code")
     return df.withColumn("__v", v).join(coded, "__v").drop("__v")
 
 
@@ -131,5 +133,6 @@ def signature(vectors: DataFrame, keys: list[str], column: str, size: int) -> Da
 
 
 def outliers(df: DataFrame, value: str, q: float = 0.99) -> DataFrame:
-    """Adds is_outlier: above the exact quantile of all rows."""
-    return df.crossJoin(F.broadcast(df.agg(F.percentile(value, F.lit(q)).alias("__q")))).withColumn("is_outlier", F.col(value) > F.col("__q")).drop("__q")
+    """Adds is_outlier: above the exact quantile of all rows, which is found by refinement and is one row."""
+    cut = exact_quantiles(df, [], value, [q]).select(F.col("quantiles")[0].alias("__q"))
+    return df.crossJoin(F.broadcast(cut)).withColumn("is_outlier", F.col(value) > F.col("__q")).drop("__q")

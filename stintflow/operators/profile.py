@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from stintflow.functions.scalars import typed
+from stintflow.functions.scalars import NULL_TOKENS, typed
+from stintflow.operators.fits import exact_quantiles
 
 
 def null_rates(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
@@ -50,6 +52,54 @@ def coerce(df: DataFrame, targets: dict[str, str]) -> tuple[DataFrame, DataFrame
     return cast, counts
 
 
+def coerce_nested(df: DataFrame, targets: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(df with the leaves cast, counts (path, kind, n)) for dotted paths through structs and arrays of any depth.
+
+    The schema is walked: a path's arrays are gone into, so `stints.laps.time` means every lap's time. Kinds: kept, of the
+    type and value it had; a_to_b, another type; null_token; nonfinite_to_null; lost, a value that doesn't fit. Nulls
+    count as nothing. Every row is read once for the counts.
+    """
+    paths = {tuple(p.split(".")): k for p, k in targets.items()}
+
+    def cast(c: Column, t: DataType, at: tuple[str, ...]) -> Column:
+        if at in paths:
+            return F.transform(c, lambda x: typed(x, paths[at])) if isinstance(t, ArrayType) else typed(c, paths[at])
+        if not any(p[: len(at)] == at for p in paths):
+            return c
+        if isinstance(t, ArrayType):
+            return F.transform(c, lambda x: cast(x, t.elementType, at))
+        if isinstance(t, StructType):
+            return F.when(c.isNotNull(), F.struct(*[cast(c[f.name], f.dataType, (*at, f.name)).alias(f.name) for f in t]))
+        raise ValueError(f"{'.'.join(at)} is neither a struct nor an array")
+
+    def leaves(c: Column, t: DataType, rest: tuple[str, ...], own: str) -> tuple[Column, str]:
+        """The values at a path below c as one array, and their type."""
+        if isinstance(t, ArrayType):
+            inner = leaves(F.lit(None), t.elementType, rest, own)[1]
+            return F.flatten(F.transform(F.coalesce(c, F.array().cast(t)), lambda x: leaves(x, t.elementType, rest, own)[0])), inner
+        if rest:
+            if not isinstance(t, StructType):
+                raise ValueError(f"{own} is not there")
+            return leaves(c[rest[0]], t[rest[0]].dataType, rest[1:], own)
+        return F.array(c), t.simpleString()
+
+    def kind(v: Column, had: str, to: str) -> Column:
+        text = F.trim(v.cast("string"))
+        number = text.try_cast("double")
+        lost = F.when(text.isin(NULL_TOKENS), "null_token").when(F.lit(to in ("double", "int")) & (F.isnan(number) | (F.abs(number) == float("inf"))), "nonfinite_to_null").otherwise("lost")
+        return F.when(v.isNull(), F.lit(None)).when(typed(v, to).isNull(), lost).otherwise("kept" if had == to else f"{had}_to_{to}")
+
+    def named(values: Column, path: tuple[str, ...], had: str, to: str) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(".".join(path)).alias("path"), kind(v, had, to).alias("kind")))
+
+    found = []
+    for path, to in paths.items():
+        values, had = leaves(F.col(path[0]), df.schema[path[0]].dataType, path[1:], ".".join(path))
+        found.append(named(values, path, had, to))
+    counts = df.select(F.explode(F.concat(*found)).alias("x")).select("x.*").filter("kind is not null").groupBy("path", "kind").agg(F.count("*").alias("n"))
+    return df.withColumns({p[0]: cast(F.col(p[0]), df.schema[p[0]].dataType, (p[0],)) for p in paths}), counts
+
+
 def judged(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """df with problems: the names of the rules that a row breaks. A rule that is null counts as broken."""
     return df.withColumn("problems", F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull()))
@@ -117,11 +167,15 @@ def content_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def bucket_sizes(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """(layout, bucket, n_keys, n_rows) of a hash and of a single-bucket layout by a CRC of the key."""
-    by_key = df.groupBy(key).agg(F.count("*").alias("n"))
+    """(layout, bucket, n_keys, n_rows) of three layouts of a numeric key: hash, by the CRC of its text; range, with bounds at
+    the exact quantiles of the rows' keys; single, one bucket. A range holds at most n / buckets rows and one key's more."""
+    by_key = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    # One row of buckets - 1 bounds.
+    bounds = exact_quantiles(df, [], key, [], [k / buckets for k in range(1, buckets)]).select(F.array_distinct("nearest").alias("__b"))
     crc = (F.crc32(F.col(key).cast("string").cast("binary")) % buckets).cast("int")
-    laid = by_key.select(F.explode(F.array(F.struct(F.lit("hash").alias("layout"), crc.alias("bucket"), "n"), F.struct(F.lit("single").alias("layout"), F.lit(0).alias("bucket"), "n"))).alias("x")).select("x.*")
-    return laid.groupBy("layout", "bucket").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"))
+    place = F.size(F.filter("__b", lambda b: b <= F.col(key).cast("double")))
+    rows = by_key.crossJoin(F.broadcast(bounds)).select(F.inline(F.array(*[F.struct(F.lit(name).alias("layout"), bucket.alias("bucket"), F.col("n").alias("n")) for name, bucket in (("hash", crc), ("range", place), ("single", F.lit(0)))])))
+    return rows.groupBy("layout", "bucket").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"))
 
 
 def stale(exported: DataFrame, current: DataFrame, keys: list[str], value: str, missing: int = -1) -> DataFrame:
@@ -136,6 +190,12 @@ def leaking_columns(columns: list[str], labels: set[str]) -> list[str]:
     return sorted(c for c in columns if c in labels or any(c.startswith(f"{x}_") for x in labels))
 
 
+def features(df: DataFrame, keys: list[str], labels: set[str]) -> DataFrame:
+    """df without labels and what is derived from them by name, keys first: what a model may see."""
+    leaking = set(leaking_columns(df.columns, labels))
+    return df.select(*keys, *[F.col(f"`{c}`") for c in df.columns if c not in leaking and c not in keys])
+
+
 def require(df: DataFrame, columns: list[str], rows: int | None = None) -> None:
     """Raise if a column is missing or the number of rows isn't the expected one."""
     lacking = [c for c in columns if c not in df.columns]

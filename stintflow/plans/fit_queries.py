@@ -58,8 +58,11 @@ def response_bins(spark, sf_dir):
     return T.quantile_bins(k, "x", "y", 8)
 
 
-@query("response", f"""WITH {LAPS_SQL}, {SLOPES_SQL}, {_RESPONSE_SQL}, a AS (SELECT count(*) AS n, quantile_cont(x, 0.9) AS p, quantile_cont(x, 0.99) AS q FROM k)
-SELECT n, round(slope, 4) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, round(least(greatest((slope * p + intercept) / greatest(intercept, 1e-6), 1.0), 2.5), 4) AS mult_near, round(least(greatest((slope * q + intercept) / greatest(intercept, 1e-6), 1.0), 2.5), 4) AS mult_far FROM i, a""", 4)
+_R2_SQL = "f AS (SELECT slope, intercept, count(*) AS bins, CASE WHEN (count(*) - 1) * var_samp(ym) > 1e-9 THEN 1 - sum((ym - slope * xm - intercept) ** 2) / ((count(*) - 1) * var_samp(ym)) ELSE 0 END AS r2 FROM b, i GROUP BY 1, 2)"
+
+
+@query("response", f"""WITH {LAPS_SQL}, {SLOPES_SQL}, {_RESPONSE_SQL}, {_R2_SQL}, a AS (SELECT count(*) AS n, quantile_cont(x, 0.9) AS p, quantile_cont(x, 0.99) AS q FROM k)
+SELECT n, round(slope, 4) + 0.0 AS slope, round(intercept, 4) + 0.0 AS intercept, round(r2, 4) + 0.0 AS r2, round(CASE WHEN n >= 30 AND bins >= 3 THEN least(greatest((slope * p + intercept) / greatest(intercept, 1e-6), 1.0), 2.5) ELSE 1.15 END, 4) AS mult_near, round(CASE WHEN n >= 30 AND bins >= 3 THEN least(greatest((slope * q + intercept) / greatest(intercept, 1e-6), 1.0), 2.5) ELSE 1.25 END, 4) AS mult_far, (n >= 30 AND bins >= 3)::INT::BIGINT AS fitted FROM f, a""", 4)
 def response(spark, sf_dir):
     return T.response(slopes(spark, sf_dir).select(F.col("dirty_mean").alias("x"), (F.col("slope") + 0.3).alias("y")), "x", "y")
 

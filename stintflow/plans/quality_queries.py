@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stintflow.operators import fits as T
+from stintflow.operators import labels as B
 from stintflow.operators import laps as L
 from stintflow.operators import profile as P
 from stintflow.plans.fit_queries import SLOPES_SQL, slopes
 from stintflow.plans.registry import query
-from stintflow.plans.roles import LAPS_SQL, SAMPLES_SQL, laps, samples, table
+from stintflow.plans.roles import LAP_KEYS, LAPS_SQL, SAMPLES_SQL, STINT, laps, samples, table
+from stintflow.sources import readers as R
 
 
 @query("null_rates", f"""WITH {LAPS_SQL}, s AS (SELECT season, count(*) AS n, avg((pace IS NULL)::INT) AS pace, avg((dirty IS NULL)::INT) AS dirty FROM laps GROUP BY season)
@@ -96,7 +98,10 @@ def content_hash(spark, sf_dir):
     return P.content_hash(table(spark, sf_dir, "orders"))
 
 
-@query("bucket_sizes")
+@query("bucket_sizes", """WITH k AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+h AS (SELECT k, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(k::VARCHAR)), '..'), lambda y: ('0x' || y)::BIGINT)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 8 AS b FROM k, t),
+r AS (SELECT l_suppkey AS v, row_number() OVER (ORDER BY l_suppkey) - 1 AS i, count(*) OVER () AS n FROM lineitem), q AS (SELECT list(DISTINCT v) AS b FROM r WHERE i IN (SELECT floor((n - 1) * j / 8 + 0.5)::BIGINT FROM (SELECT count(*) AS n FROM lineitem), range(1, 8) t(j)))
+SELECT 'hash' AS layout, b::BIGINT AS bucket, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM h GROUP BY 2 UNION ALL SELECT 'range', len(list_filter(b, lambda x: x <= k))::BIGINT, count(*), sum(n)::BIGINT FROM k, q GROUP BY 2 UNION ALL SELECT 'single', 0, count(*), sum(n)::BIGINT FROM k""")
 def bucket_sizes(spark, sf_dir):
     return P.bucket_sizes(table(spark, sf_dir, "lineitem"), "l_suppkey", 8)
 
@@ -112,12 +117,58 @@ def category_counts(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("season")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("n_drivers"))
 
 
-@query("json_profile", """SELECT event_type AS kind, key AS field, count(*) AS n, count(*) FILTER (trim(val, '"') IN ('', 'None', 'none', 'null', 'N/A', 'nan')) AS n_null_tokens, max(CASE WHEN try_cast(val AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'string' END) AS type
-FROM (SELECT event_type, unnest(json_keys(props)) AS key, props->unnest(json_keys(props)) AS val FROM events) GROUP BY 1, 2""")
+@query("json_profile", """SELECT event_type AS kind, key AS field, string_agg(DISTINCT year(ts)::VARCHAR, ',' ORDER BY year(ts)::VARCHAR) AS periods, count(*) AS n, count(*) FILTER (tok) AS n_null_tokens, 0::BIGINT AS n_enveloped, max(CASE WHEN try_cast(val AS DOUBLE) IS NOT NULL THEN 'number' ELSE 'string' END) AS type, min(CASE WHEN NOT tok THEN val END) AS example
+FROM (SELECT event_type, ts, key, val, trim(val) IN ('', 'None', 'none', 'null', 'N/A', 'nan') AS tok FROM (SELECT event_type, ts, unnest(json_keys(props)) AS key, props->>unnest(json_keys(props)) AS val FROM events)) GROUP BY 1, 2""")
 def json_profile(spark, sf_dir):
-    from stintflow.sources.readers import field_profile
+    return R.field_profile(table(spark, sf_dir, "events").withColumn("year", F.year("ts")), "event_type", "props", "year")
 
-    return field_profile(table(spark, sf_dir, "events"), "event_type", "props")
+
+@query("nested_coercion", """WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'x' || event_id WHEN 2 THEN 'inf' WHEN 3 THEN NULL ELSE value::VARCHAR END AS a, unnest(range(0, event_id % 3)) AS i FROM events),
+o AS (SELECT CASE event_id % 6 WHEN 0 THEN 'None' WHEN 1 THEN 'x' || event_id WHEN 2 THEN 'inf' WHEN 3 THEN NULL ELSE value::VARCHAR END AS a FROM events),
+x AS (SELECT 'doc.value' AS path, a FROM o UNION ALL SELECT 'doc.items.a', a FROM r)
+SELECT path, CASE WHEN a = 'None' THEN 'null_token' WHEN a = 'inf' THEN 'nonfinite_to_null' WHEN a LIKE 'x%' THEN 'lost' ELSE 'string_to_double' END AS kind, count(*) AS n FROM x WHERE a IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'doc.items.n', 'kept', count(*) FROM r""")
+def nested_coercion(spark, sf_dir):
+    k = F.col("event_id")
+    a = F.when(k % 6 == 0, "None").when(k % 6 == 1, F.concat(F.lit("x"), k.cast("string"))).when(k % 6 == 2, "inf").when(k % 6 == 3, F.lit(None)).otherwise(F.col("value").cast("string"))
+    items = F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (k % 3).cast("int")), lambda i: F.struct(a.alias("a"), i.alias("n")))
+    e = table(spark, sf_dir, "events").select(F.struct(a.alias("value"), items.alias("items")).alias("doc"))
+    return P.coerce_nested(e, {"doc.value": "double", "doc.items.a": "double", "doc.items.n": "int"})[1]
+
+
+def _files(spark, sf_dir):
+    """The events of a user's day as a nested telemetry file, some of them broken, without envelope or without arrays."""
+    u, day = F.col("user_id"), F.dayofyear("ts")
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.year("ts").alias("y"), day.alias("d")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
+    speed = F.transform("e", lambda x: x["value"])
+    whole = F.when(u % 5 == 0, F.to_json(F.struct(speed.alias("speed")))).otherwise(F.to_json(F.struct(F.struct(speed.alias("speed"), F.lit("x").alias("dataKey")).alias("tel"))))
+    content = F.when(u % 11 == 0, "{oops").when(u % 13 == 0, "[1]").when(u % 17 == 0, '{"tel": {"dataKey": "x"}}').otherwise(whole)
+    path = F.concat(F.lit("/data/"), F.col("y"), F.lit("/Event "), u % 7, F.lit("/Race/D"), u, F.lit("/"), F.col("d"), F.lit("_tel.json"))
+    return R.session_keys(e.select(path.alias("path"), content.alias("content")))
+
+
+_FILES_SQL = """fi AS (SELECT user_id AS u, year(ts) AS y, dayofyear(ts) AS d, '/data/' || year(ts) || '/Event ' || user_id % 7 || '/Race/D' || user_id || '/' || dayofyear(ts) || '_tel.json' AS path FROM events GROUP BY 1, 2, 3),
+fk AS (SELECT *, CASE WHEN u % 11 = 0 THEN 'not json' WHEN u % 13 = 0 THEN 'not an object' WHEN u % 17 = 0 THEN 'no arrays' END AS type FROM fi)"""
+
+
+@query("telemetry_rows", """SELECT year(ts)::VARCHAR AS season, 'Event ' || user_id % 7 AS gp, 'Race' AS session, 'D' || user_id AS driver, dayofyear(ts) AS lap, row_number() OVER (PARTITION BY user_id, year(ts), dayofyear(ts) ORDER BY ts, event_id) - 1 AS place, round(value, 5) AS speed FROM events WHERE user_id % 11 <> 0 AND user_id % 13 <> 0 AND user_id % 17 <> 0""")
+def telemetry_rows(spark, sf_dir):
+    return R.telemetry(_files(spark, sf_dir)).select("season", "gp", "session", "driver", "lap", "place", "speed")
+
+
+@query("file_problems", f"WITH {_FILES_SQL} SELECT CASE type WHEN 'no arrays' THEN 'fields' ELSE 'parse' END AS stage, type, count(*) AS n, min(path) AS example FROM fk WHERE type IS NOT NULL GROUP BY 1, 2")
+def file_problems(spark, sf_dir):
+    return R.problem_summary(R.bad_files(_files(spark, sf_dir).select("path", "content")))
+
+
+@query("structure_counts", f"WITH {_FILES_SQL} SELECT y::VARCHAR AS season, count(DISTINCT u % 7) AS events, count(DISTINCT u % 7) AS sessions, count(DISTINCT u) AS drivers, count(*) AS telemetry, 0::BIGINT AS lap_times, count(*) FILTER (type = 'no arrays' OR (type IS NULL AND u % 5 <> 0)) AS enveloped FROM fk GROUP BY y")
+def structure_counts(spark, sf_dir):
+    return R.structure_counts(_files(spark, sf_dir))
+
+
+@query("model_features", f"WITH {LAPS_SQL} SELECT driver, season, stint, life::BIGINT AS life, lap::BIGINT AS lap, round(pace, 5) AS pace FROM laps")
+def model_features(spark, sf_dir):
+    labelled = B.remaining_life(laps(spark, sf_dir), STINT, "pace", "life", "flag", "stint").select(*LAP_KEYS, "lap", "pace", "onset", "raw_life", "target_life", "onset_near")
+    return P.features(labelled, LAP_KEYS, {"onset", "raw_life", "target_life"})
 
 
 @query("salted_totals", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 4) AS most FROM events GROUP BY event_type", 4)
@@ -127,7 +178,7 @@ def salted_totals(spark, sf_dir):
     return combined(table(spark, sf_dir, "events"), ["event_type"], [F.count("*").alias("c"), F.sum("value").alias("s"), F.max("value").alias("m")], [F.sum("c").alias("n"), F.sum("s").alias("total"), F.max("m").alias("most")])
 
 
-@query("conservation", "SELECT count(*) AS emitted, count(*) AS received, 0::BIGINT AS keys_in_several_rows FROM events")
+@query("conservation", "SELECT count(*) AS emitted, count(*) AS received, 0::BIGINT AS keys_in_several_rows, 0::BIGINT AS keys_in_several_partitions FROM events")
 def conservation(spark, sf_dir):
     from stintflow.operators.keyed import conservation as conserved
 

@@ -83,21 +83,53 @@ def drivers(files: DataFrame) -> DataFrame:
 
 
 def bad_files(files: DataFrame) -> DataFrame:
-    """(path, stage, problem): files that aren't a JSON object, and telemetry files without any array."""
+    """(path, season, gp, session, stage, type, message): what is wrong with files, and where. Stage parse: not JSON, or not an
+    object; stage fields: telemetry without any array, by its envelope or without."""
     parsed = F.try_parse_json("content")
-    kind = F.when(parsed.isNull(), "not json").when(~F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)), "not an object")
-    return files.select("path", F.lit("parse").alias("stage"), kind.alias("problem")).filter("problem is not null")
+    inner = F.coalesce(F.try_variant_get(parsed, "$.tel", "variant"), parsed)
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    arrays = F.coalesce(F.schema_of_variant(inner).contains("ARRAY<"), F.lit(False))
+    start = F.substring(F.coalesce(F.col("content"), F.lit("")), 1, 40)
+    what = lambda stage, kind: F.struct(F.lit(stage).alias("stage"), F.lit(kind).alias("type"), start.alias("message"))
+    tel = F.element_at(F.split("path", "/"), -1).rlike("_tel")
+    problem = F.when(parsed.isNull(), what("parse", "not json")).when(~is_object, what("parse", "not an object")).when(tel & ~arrays, what("fields", "no arrays"))
+    p = F.split("path", "/")
+    at = F.array_position(F.transform(p, lambda x: x.rlike("^(19|20)[0-9]{2}$")), True).cast("int")
+    part = lambda k: F.when(at > 0, F.get(p, at - 1 + k))
+    return files.select("path", part(0).alias("season"), part(1).alias("gp"), part(2).alias("session"), problem.alias("p")).filter("p is not null").select("path", "season", "gp", "session", "p.*")
 
 
 def problem_summary(problems: DataFrame) -> DataFrame:
-    return problems.groupBy("stage", "problem").agg(F.count("*").alias("n"), F.min("path").alias("example"))
+    return problems.groupBy("stage", "type").agg(F.count("*").alias("n"), F.min("path").alias("example"))
 
 
-def field_profile(rows: DataFrame, kind: str, json: str) -> DataFrame:
-    """(kind, field, n, n_null_tokens, type) of the fields of a JSON column, by kind."""
-    m = rows.select(F.col(kind).alias("kind"), F.explode(F.from_json(json, T.MapType(T.StringType(), T.StringType()))).alias("field", "value"))
+def field_profile(rows: DataFrame, kind: str, json: str, period: str | None = None, envelope: str | None = None) -> DataFrame:
+    """(kind, field, periods, n, n_null_tokens, n_enveloped, type, example) of the fields of a JSON column, by kind.
+
+    periods: the sorted distinct values of a column, such as the year, in which the field is there; the envelope, if a
+    row's object has that key, is gone into. The example is the smallest value that isn't a null token.
+    """
+    t = T.MapType(T.StringType(), T.StringType())
+    own = F.from_json(json, t)
+    inner = F.coalesce(F.from_json(F.try_element_at(own, F.lit(envelope)), t), own) if envelope else own
+    wrapped = F.coalesce(F.map_contains_key(own, envelope), F.lit(False)) if envelope else F.lit(False)
+    m = rows.select(F.col(kind).alias("kind"), (F.col(period).cast("string") if period else F.lit(None).cast("string")).alias("period"), wrapped.alias("wrapped"), F.explode(inner).alias("field", "value"))
     number = F.col("value").try_cast("double").isNotNull()
-    return m.groupBy("kind", "field").agg(F.count("*").alias("n"), F.sum(F.trim(F.coalesce("value", F.lit("null"))).isin(NULL_TOKENS).cast("long")).alias("n_null_tokens"), F.max(F.when(number, "number").otherwise("string")).alias("type"))
+    token = F.trim(F.coalesce("value", F.lit("null"))).isin(NULL_TOKENS)
+    return m.groupBy("kind", "field").agg(
+        F.array_join(F.array_sort(F.collect_set("period")), ",").alias("periods"), F.count("*").alias("n"), F.sum(token.cast("long")).alias("n_null_tokens"), F.sum(F.col("wrapped").cast("long")).alias("n_enveloped"),
+        F.max(F.when(number, "number").otherwise("string")).alias("type"), F.min(F.when(~token, F.col("value"))).alias("example"),
+    )
+
+
+def structure_counts(files: DataFrame) -> DataFrame:
+    """(season, events, sessions, drivers, telemetry, lap_times, enveloped) of session_keys() rows with their content: events,
+    sessions and drivers' folders by season, and its files by kind."""
+    distinct = lambda *c: F.countDistinct(*c)
+    tel = F.col("file").rlike("_tel")
+    wrapped = tel & F.coalesce(F.get_json_object("content", "$.tel").isNotNull(), F.lit(False))
+    count = lambda c: F.sum(c.cast("long"))
+    return files.groupBy("season").agg(distinct("gp").alias("events"), distinct("gp", "session").alias("sessions"), distinct("gp", "session", "driver").alias("drivers"), count(tel).alias("telemetry"), count(F.col("file") == "laptimes.json").alias("lap_times"), count(wrapped).alias("enveloped"))
 
 
 def footprint(spark: SparkSession, path: str) -> DataFrame:

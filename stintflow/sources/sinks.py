@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintflow.operators.profile import require
@@ -66,13 +66,24 @@ def replace_sessions(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> Da
     return stored.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def step_counts(steps: dict[str, DataFrame]) -> DataFrame:
-    """(step, rows, columns) of a chain of frames, to see where rows or columns get lost."""
-    out = None
-    for name, df in steps.items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("step"), "rows", F.lit(len(df.columns)).alias("columns"))
-        out = one if out is None else out.unionByName(one)
-    return out
+class StepCounts:
+    """Rows and columns of the steps of a job, counted while it runs: to see where rows or columns get lost.
+
+    watch() each step's frame and go on with what it returns; once an action on the last one has ended, rows() has what
+    this very run has seen. Nothing is computed again.
+    """
+
+    def __init__(self) -> None:
+        self.steps: list[tuple[str, int, Observation]] = []
+
+    def watch(self, step: str, df: DataFrame) -> DataFrame:
+        seen = Observation()
+        self.steps.append((step, len(df.columns), seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> list[tuple[str, int, int]]:
+        """(step, rows, columns), in the order of the steps. It waits for the action."""
+        return [(step, seen.get["rows"], columns) for step, columns, seen in self.steps]
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -131,7 +131,7 @@ def test_control_periods_begin_by_the_hazards(spark):
         assert (first == lap).sum() / max((first >= lap).sum(), 1) == pytest.approx(h, abs=4 * math.sqrt(0.25 / (20_000 * green)))
         green *= 1 - h
     assert np.isinf(first).mean() == pytest.approx(green, abs=0.015)
-    assert set((last - first)[np.isfinite(first)]) == {1.0, 2.0}
+    assert set(last[np.isfinite(first)] - first[np.isfinite(first)]) == {1.0, 2.0}
 
 
 def test_planted_drift_is_found_again(spark):
@@ -190,3 +190,26 @@ def test_ablation_without_cliffs_changes_only_plans_with_cliffs(spark):
     runs = [G.costed(df, ["driver"], ["rival"], **how).withColumn("variant", F.lit(v)) for v, how in (("whole", {}), ("same", {}), ("no_cliff", {"jump": 0.0, "slope": 0.0}))]
     got = {r.variant: r for r in G.changed_recommendations(runs[0].unionByName(runs[1]).unionByName(runs[2]), ["driver"], "whole").collect()}
     assert (got["same"].n, got["same"].changed) == (6, 0.0) and got["no_cliff"].mean_gain > got["same"].mean_gain
+
+
+def test_response_has_r2_and_fallbacks(spark):
+    rows = [(k / 400, 0.2 + 0.3 * k / 400) for k in range(400)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    r = T.response(df, "x", "y").first()
+    assert (r.n, r.fitted, r.slope, r.intercept, r.r2) == (400, True, pytest.approx(0.3), pytest.approx(0.2), pytest.approx(1.0))
+    assert r.mult_near == pytest.approx((0.2 + 0.3 * np.quantile([x for x, _ in rows], 0.9)) / 0.2)
+    few = T.response(df.limit(20), "x", "y").first()
+    assert (few.n, few.fitted, few.mult_near, few.mult_far) == (20, False, 1.15, 1.25)
+    none = T.response(df.filter("false"), "x", "y").first()
+    assert (none.n, none.slope, none.fitted, none.mult_far) == (0, None, False, 1.25)
+
+
+def test_thinning_and_codes_rank_by_ranges(spark):
+    from stintflow.operators import documents as D
+    from stintflow.operators import metrics as M
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(6)
+    assert sorted(r.v for r in D.thin(df, [F.col("v")], 11).collect()) == [math.floor(j * 999 / 10) for j in range(11)]
+    assert D.thin(df.filter("v < 5"), [F.col("v")], 11).count() == 5
+    codes = M.category_codes(df.select(F.format_string("%04d", F.col("v")).alias("b")), "b")
+    assert codes.filter(F.col("code") != F.col("b").cast("int")).count() == 0 and codes.count() == 1000

@@ -34,7 +34,7 @@ def test_nested_files_to_rows(spark, tmp_path):
     w = R.session_events(files, "weather").orderBy("place").collect()
     assert [(r.gp, r.wR, r.wTT) for r in w] == [("Monza", False, 30.5), ("Monza", True, None)]
     assert [r.driver for r in R.drivers(files).collect()] == ["HAM"]
-    assert [r.problem for r in R.bad_files(files).collect()] == ["not json"]
+    assert [(r.stage, r.type, r.season, r.gp, r.session, r.message) for r in R.bad_files(files).collect()] == [("parse", "not json", "2024", "Monza", "Race", "{oops")]
     assert R.problem_summary(R.bad_files(files)).first().n == 1
     assert {r.season for r in R.session_keys(R.raw_files(spark, root), years=["2023"]).collect()} == {"2023"}
     assert R.session_keys(R.raw_files(spark, root), limit=1).select("gp").distinct().count() == 1
