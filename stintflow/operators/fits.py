@@ -41,21 +41,19 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float],
     low = [F.when(few | F.lit(q <= eps), F.col("__min")).otherwise(F.get("__s", F.lit(2 * k))) for k, q in enumerate(every)]
     high = [F.when(few | F.lit(q >= 1 - eps), F.col("__max")).otherwise(F.get("__s", F.lit(2 * k + 1))) for k, q in enumerate(every)]
     place = [(F.col("__n") - 1) * q if k < len(qs) else F.floor((F.col("__n") - 1) * q + 0.5).cast("double") for k, q in enumerate(every)]
-    bounds = sketch.select(*keys, F.array(*[F.struct(F.lit(k).alias("k"), place[k].alias("place"), low[k].alias("low"), high[k].alias("high")) for k in range(len(every))]).alias("__b"))
+    bounds = sketch.select(*keys, F.array(*[F.struct(F.lit(k).alias("k"), F.col("__n").alias("n"), place[k].alias("place"), low[k].alias("low"), high[k].alias("high")) for k in range(len(every))]).alias("__b"))
     x = F.col("__v")
     within = F.filter("__b", lambda b: x <= b["high"])
     joined = v.join(bounds, keys) if keys else v.crossJoin(F.broadcast(bounds))
-    rows = joined.select(*keys, F.inline(F.transform(within, lambda b: F.struct(b["k"].alias("__k"), b["place"].alias("__place"), F.when(x >= b["low"], x).alias("__x")))))
-    counted = rows.groupBy(*keys, "__k", "__place", "__x").agg(F.count("*").alias("__c"))
+    rows = joined.select(*keys, F.inline(F.transform(within, lambda b: F.struct(b["k"].alias("__k"), b["n"].alias("__n"), b["place"].alias("__place"), F.when(x >= b["low"], x).alias("__x")))))
+    counted = rows.groupBy(*keys, "__k", "__n", "__place", "__x").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys, "__k").orderBy(F.col("__x").asc_nulls_first()))
     at = lambda r: F.min(F.when(F.col("__upto") > r, F.col("__x")))
-    found = counted.withColumn("__upto", upto).groupBy(*keys, "__k", "__place").agg(at(F.floor("__place")).alias("__l"), at(F.ceil("__place")).alias("__h"), F.max("__upto").alias("__m"))
+    found = counted.withColumn("__upto", upto).groupBy(*keys, "__n", "__k", "__place").agg(at(F.floor("__place")).alias("__l"), at(F.ceil("__place")).alias("__h"))
     found = found.withColumn("__q", F.col("__l") + (F.col("__h") - F.col("__l")) * (F.col("__place") - F.floor("__place")))
-    listed = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__k", "__q"))).alias("__a"))
+    listed = found.groupBy(*keys, F.col("__n").alias("n")).agg(F.sort_array(F.collect_list(F.struct("__k", "__q"))).alias("__a"))
     values = F.transform("__a", lambda a: a["__q"])
-    sizes = sketch.select(*keys, F.col("__n").alias("n"))
-    out = listed.join(sizes, keys) if keys else listed.filter(F.size("__a") > 0).crossJoin(F.broadcast(sizes))
-    return out.select(*keys, "n", F.slice(values, 1, len(qs)).alias("quantiles"), F.slice(values, len(qs) + 1, max(len(nearest), 1)).alias("nearest"))
+    return listed.select(*keys, "n", F.slice(values, 1, len(qs)).alias("quantiles"), F.slice(values, len(qs) + 1, max(len(nearest), 1)).alias("nearest"))
 
 
 def spread_of_all(slopes: DataFrame, slope: str = "slope") -> DataFrame:
@@ -69,7 +67,8 @@ def category_slopes(slopes: DataFrame, category: str, slope: str = "slope", leas
     """(category, n_stints, beta, sigma): median slope and robust spread, clip(IQR / 1.349, low, high) with nearest
     quantiles; a category with fewer than `least` stints has the median and the sample spread of all stints, or the
     fallback where there is one stint in all."""
-    s = slopes.filter(F.col(slope).isNotNull())
+    # Read for the counts, the bounds and the ranks: two columns a stint, stored once.
+    s = stored(slopes.sparkSession, slopes.filter(F.col(slope).isNotNull()).select(category, slope), "slopes")
     # All stints are a category of their own for the exact quantiles: one pass serves both.
     both = s.select(F.explode(F.array(F.struct(F.col(category).alias("c"), F.lit(True).alias("own")), F.struct(F.lit(None).cast(s.schema[category].dataType).alias("c"), F.lit(False).alias("own")))).alias("g"), F.col(slope).alias("v")).select(F.col("g.c").alias("c"), F.col("g.own").alias("own"), F.concat_ws("|", F.col("g.own").cast("string"), F.col("g.c").cast("string")).alias("key"), "v")
     plain = both.groupBy("key", "c", "own").agg(F.count("*").alias("n_stints"), F.stddev_samp("v").alias("s"))

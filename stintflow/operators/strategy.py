@@ -282,6 +282,7 @@ class Costing:
     def __init__(self, row: dict, beta: np.ndarray, cliff: np.ndarray, jump: float = CLIFF_JUMP, slope: float = CLIFF_SLOPE, drift: float = 0.0):
         """beta and cliff by compound, stint and draw."""
         self.row, self.beta, self.cliff, self.jump, self.slope, self.drift = row, beta, cliff, jump, slope, drift
+        self.laid: tuple[np.ndarray, ...] | None = None
         self.k0 = max(int(row["into"]) - 1, 0)
         self.fresh = row["base_pace"] - beta[row["now"], 0] * self.k0
 
@@ -297,14 +298,22 @@ class Costing:
         cost += self.drift * n * (0.5 * (start + 1 + end) - (r["cur_lap"] - 1))[:, None]
         return np.where(n > 0, cost, 0.0)
 
+    def layout(self, sizes: np.ndarray, compounds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of all stints of the plans their places, starts and whether they end in a stop; of the different ones the first,
+        and which one each stint is. A decision's plans are laid out once, for any number of scenarios."""
+        if self.laid is None:
+            place = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            starts = np.where(place == 0, self.row["cur_lap"], np.concatenate(([0], ends[:-1])))
+            stops = place < np.repeat(sizes, sizes) - 1
+            laps = int(max(starts.max(), ends.max())) + 1
+            key = ((((place * (int(compounds.max()) + 1)) + compounds) * laps + starts) * laps + ends) * 2 + stops
+            _, at, own = np.unique(key, return_index=True, return_inverse=True)
+            self.laid = place, starts, stops, at, own
+        return self.laid
+
     def plans(self, sizes: np.ndarray, compounds: np.ndarray, ends: np.ndarray, loss: float = PIT_LOSS) -> np.ndarray:
         """cost[plan, draw]; equal stints of the plans are costed once."""
-        place = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        starts = np.where(place == 0, self.row["cur_lap"], np.concatenate(([0], ends[:-1])))
-        stops = place < np.repeat(sizes, sizes) - 1
-        laps = int(max(starts.max(), ends.max())) + 1
-        key = ((((place * (int(compounds.max()) + 1)) + compounds) * laps + starts) * laps + ends) * 2 + stops
-        _, at, own = np.unique(key, return_index=True, return_inverse=True)
+        place, starts, stops, at, own = self.layout(sizes, compounds, ends)
         costs = self.stints(place[at], compounds[at], starts[at], ends[at])
         if len(self.row["onset_by"]):
             first, last = control_window(self.row["v"], self.row["w"], self.row["onset_by"], self.row["lengths"])
