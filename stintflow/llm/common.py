@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 _hash = xxhash.xxh64_intdigest
 _FOLDED: list[str] = []
+_TABLES: list[str] = []
 
 
 def words(text: str | None) -> list[bytes]:
@@ -78,8 +79,24 @@ def fold(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str, n: int, name: str = "table") -> DataFrame:
+    """df as a table of n buckets by key in the shared folder: groups and cogroups by key then read it without a shuffle.
+
+    Rows are shuffled once, to one task and one file a bucket. The table stays until remove_folded().
+    """
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    _FOLDED.append(path)
+    _TABLES.append(table)
+    return spark.table(table)
+
+
 def remove_folded(spark: SparkSession) -> int:
-    """Delete the tables that fold() has written in this process; call it when no result that reads them is needed."""
+    """Delete the tables that fold() and bucketed() have written in this process; call it when no result that reads them is
+    needed."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = len(_FOLDED)
     while _FOLDED:

@@ -1,4 +1,8 @@
-"""Removal of word windows that an earlier document has: a count-min prefilter, then exact grouping."""
+"""Removal of word windows that an earlier document has: a count-min prefilter, then exact grouping.
+
+The sketch grows with the corpus and is never held whole: parts of the corpus send the cells they fill to the blocks of the
+sketch, and every block answers each part with those of its cells that are counted twice.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintflow.llm.common import fold, hash_words, mix, partitions, words
+from stintflow.llm.common import bucketed, hash_words, mix, partitions, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK_BITS = 22
+_BLOCK_BITS = 24
 _FLUSH = 2_000_000
+#: Characters of a part of the corpus: some three million windows.
+_PART = 18_000_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -30,7 +36,7 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def anchors(text_hashes: np.ndarray, width: int, part: int = 3) -> np.ndarray:
+def anchors(text_hashes: np.ndarray, width: int, part: int = 6) -> np.ndarray:
     """For each window of word hashes, the smallest hash of its runs of part words: neighbouring windows mostly share
     it, and equal windows always do."""
     part = min(part, width)
@@ -49,8 +55,8 @@ def anchors(text_hashes: np.ndarray, width: int, part: int = 3) -> np.ndarray:
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """A window's cell in a row of the sketch."""
-    return mix(h + np.uint64(row * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)
+    """A window's cell in a row of the sketch. Those of row 0 rise with the hash, so sorted windows have sorted cells."""
+    return (mix(h + np.uint64(row * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)) if row else h) >> np.uint64(64 - bits)
 
 
 def pack_cells(c: np.ndarray) -> bytes:
@@ -70,103 +76,91 @@ def unpack_cells(b: bytes) -> np.ndarray:
 
 
 def sketch(h: np.ndarray, rows: int, bits: int):
-    """(block, seen, seen again) of a count-min sketch of the windows h whose counters stop at 2; only blocks that
-    aren't empty. A block is 1 << 22 cells of one row (or the whole row).
-
-    Sketches merge in any order: seen = a or b, again = again-a or again-b or (a and b). So an estimate is never below
-    the true count (up to 2).
-    """
+    """(block, cells) of a part's sketch of the sorted windows h, only blocks that aren't empty: the packed cells that
+    the part fills. A block is 1 << 24 cells of one row (or the whole row)."""
     size = min(_BLOCK_BITS, bits)
     for r in range(rows):
-        c = np.sort(cells(h, r, bits))
-        first = np.concatenate(([True], c[1:] != c[:-1]))
-        again = np.unique(c[~first])
-        c = c[first]
-        edges = np.arange(0, (1 << (bits - size)) + 1, dtype=np.uint64) << np.uint64(size)
-        at, at2 = np.searchsorted(c, edges).tolist(), np.searchsorted(again, edges).tolist()
-        for k in range(len(edges) - 1):
-            if at[k] < at[k + 1]:
-                yield r << (bits - size) | k, pack_cells(c[at[k] : at[k + 1]] - edges[k]), pack_cells(again[at2[k] : at2[k + 1]] - edges[k])
-
-
-def sketch_bits(n_windows: int, most: int = 29) -> int:
-    """Cells of a row as a power of two: about four for each window, at most 1 << 29.
-
-    Of the merged sketch only the bits "seen again" are broadcast, 64 MB a row at most. On larger corpora the same sketch
-    holds more windows a cell; then fewer are ruled out, and none is lost.
-    """
-    return int(min(most, max(16, int(4 * max(1, n_windows)).bit_length())))
-
-
-def repeated_cells(docs: DataFrame, width: int, rows: int, bits: int) -> np.ndarray:
-    """Bits (little-endian in a byte) of the cells of each row that the merged sketch counts at least twice.
-
-    A task sketches 4 million windows at a time; the sketches of a block meet in the shuffle and are merged in a stream.
-    """
+        c = cells(h, r, bits)
+        if r:
+            c.sort()
+        c = c[np.concatenate(([True], c[1:] != c[:-1]))] if len(c) else c
+        block = c >> np.uint64(size)
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(c) else np.empty(0, np.int64)
+        for low, high in zip(at.tolist(), np.append(at, len(c))[1:].tolist(), strict=True):
+            yield r << (bits - size) | int(block[low]), pack_cells(c[low:high] - (block[low] << np.uint64(size)))
+
+
+def merged_block(sent: list[tuple[int, bytes]], size: int):
+    """(part, cells): of the cells that each part sent to one block, those that another part sent too. Sketches merge in
+    any order. Held are the packed cells and two flags a cell."""
+    seen, again = np.zeros(1 << size, bool), np.zeros(1 << size, bool)
+    for _, b in sent:
+        c = unpack_cells(b)
+        again[c[seen[c]]] = True
+        seen[c] = True
+    for part, b in sent:
+        c = unpack_cells(b)
+        c = c[again[c]]
+        if len(c):
+            yield part, pack_cells(c)
+
+
+def estimated_repeats(h: np.ndarray, answers: list[tuple[int, bytes]], rows: int, bits: int) -> np.ndarray:
+    """Places of the sorted windows h of a part whose smallest counter is 2 or more: in every row, their cell holds two
+    windows of the part or came back in the answers (block, cells)."""
+    size = min(_BLOCK_BITS, bits)
+    ok = np.arange(len(h))
+    for r in range(rows):
+        c = cells(h, r, bits)
+        own = c if not r else np.sort(c)
+        twice = own[1:][own[1:] == own[:-1]]
+        back = [unpack_cells(b).astype(np.uint64) + (np.uint64(k & (1 << (bits - size)) - 1) << np.uint64(size)) for k, b in sorted(answers) if k >> (bits - size) == r]
+        counted = np.unique(np.concatenate([twice, *back]))
+        if not len(counted):
+            return ok[:0]
+        c = c[ok]
+        ok = ok[counted[np.minimum(np.searchsorted(counted, c), len(counted) - 1)] == c]
+    return ok
+
+
+def sketch_bits(n_windows: int) -> int:
+    """Cells of a row as a power of two: four to eight for each window, whatever the size of the corpus; so of windows
+    that are never repeated about one in twenty passes two rows."""
+    return max(16, int(4 * max(1, n_windows)).bit_length())
+
+
+def repeated_cells(parts: DataFrame, width: int, rows: int, bits: int) -> DataFrame:
+    """(part, block, cells): the answers of the sketch's blocks to the parts of (part, id, body, text)."""
     size = min(_BLOCK_BITS, bits)
 
-    def build(batches):
-        held, n = [], 0
-
-        def flush():
-            got = list(zip(*sketch(np.concatenate(held), rows, bits), strict=True))
-            for k in range(0, len(got[0]) if got else 0, 64):
-                yield pa.RecordBatch.from_arrays([pa.array(got[0][k : k + 64], pa.int32()), *(pa.array(g[k : k + 64], pa.binary()) for g in got[1:])], ["block", "seen", "again"])
-
-        for b in batches:
-            for t in b.column(0):
-                held.append(windows(word_hashes(t.as_py()), width))
-                n += len(held[-1])
-                if n >= 2 * _FLUSH:
-                    yield from flush()
-                    held, n = [], 0
-        if n:
-            yield from flush()
+    def build(part: pa.Table) -> pa.Table:
+        found = [windows(word_hashes(t.as_py()), width) for t in part["text"]]
+        h = np.concatenate(found)
+        del found
+        h.sort()
+        got = list(zip(*sketch(h, rows, bits), strict=True)) or [(), ()]
+        return pa.table({"part": pa.array([part["part"][0].as_py()] * len(got[0]), pa.int32()), "block": pa.array(got[0], pa.int64()), "cells": pa.array(got[1], pa.binary())})
 
     def merge(batches):
-        # Rows come sorted by block, so one block is held at a time, however many sketches it gets.
-        block, seen, again = None, np.zeros(1 << size, bool), np.zeros(1 << size, bool)
+        # Rows come sorted by block, so one block is held at a time.
+        block, sent = None, []
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary())], ["block", "again"])
+            got = list(merged_block(sent, size))
+            for k in range(0, len(got), 64):
+                some = got[k : k + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary())], ["part", "block", "cells"])
 
         for batch in batches:
-            for k in range(len(batch)):
-                here = batch.column(0)[k].as_py()
+            for part, here, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if here != block:
-                    if block is not None and again.any():
-                        yield done()
-                    block = here
-                    seen[:], again[:] = False, False
-                c = unpack_cells(batch.column(1)[k].as_py())
-                again[c[seen[c]]] = True
-                seen[c] = True
-                again[unpack_cells(batch.column(2)[k].as_py())] = True
-        if block is not None and again.any():
-            yield done()
-
-    parts = docs.select("text").mapInArrow(build, "block int, seen binary, again binary")
-    merged = parts.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "block int, again binary")
-    out = np.zeros((rows << (bits - size), 1 << (size - 3)), np.uint8)
-    # All blocks are merged in one job; what is read back is at most 64 MB a row of the sketch.
-    for r in fold(docs.sparkSession, merged, "sketch").coalesce(4).toLocalIterator():
-        out[r["block"]] = np.frombuffer(r["again"], np.uint8)
-    return out.reshape(rows, -1)
-
-
-class Estimate:
-    """Looks windows up in the broadcast bits. A worker process holds them once, for all its tasks."""
-
-    def __init__(self, again: np.ndarray, bits: int):
-        self.again, self.bits = again, bits
-
-    def repeated(self, h: np.ndarray) -> np.ndarray:
-        """Places of the windows whose smallest counter is 2."""
-        ok = np.arange(len(h))
-        for r in range(len(self.again)):
-            c = cells(h[ok], r, self.bits)
-            ok = ok[(self.again[r][(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-        return ok
+                    yield from done()
+                    block, sent = here, []
+                sent.append((part, b))
+        yield from done()
+
+    filled = parts.groupBy("part").applyInArrow(build, "part int, block long, cells binary")
+    return filled.repartition(partitions(parts.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "part int, block long, cells binary")
 
 
 def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -177,88 +171,105 @@ def _runs(*columns: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_rows: int = 2) -> DataFrame:
-    """(id, body, start int, n int): runs of n neighbouring windows of a row that also start in a row of a smaller id.
+def in_parts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """((part, id, body, text), characters): the rows dealt into parts of about 18 million characters, stored as a table
+    bucketed by part, so that all later steps find a part's texts without a shuffle.
 
-    rows: (id long, body long, text). A row may get several runs, also overlapping ones. The first pass builds and merges
-    the sketch. In the second, each task keeps the windows estimated as repeated and settles what it can by itself: of
-    all rows with a window in its buffer, only the one with the smallest id goes on to the shuffle, so a passage that a
-    third of all rows share sends one row a buffer, not one a document. Windows are dealt by their anchor, which equal
-    windows share and neighbours mostly do, so they travel as one row a run. Where they meet, the ids of a window are
-    read in order, and all but the first are repeated; nothing but the current window's smallest id is held.
+    A part is a hash of the row and of the partition it comes from, so copies of one row lie in many parts.
     """
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = sketch_bits(total // 6)
-    sent = spark.sparkContext.broadcast(repeated_cells(rows, width, sketch_rows, bits))
+    n = min(1 << 16, max(partitions(rows.sparkSession), -(-total // _PART)))
+    each = -(-total // (n * _PART)) or 1
+    part = F.pmod(F.xxhash64("id", "body", F.spark_partition_id()), F.lit(n * each)).cast("int").alias("part")
+    return bucketed(rows.sparkSession, rows.select(part, "id", "body", "text"), "part", n, "parts"), total
 
-    def second(batches):
-        estimate = Estimate(sent.value, bits)
-        held: list[tuple] = []
-        n = 0
 
-        def flush():
-            ids, bodies = (np.array([x[k] for x in held], np.int64) for k in (0, 1))
-            line = np.repeat(np.arange(len(held), dtype=np.int32), [len(x[2]) for x in held])
-            h, pos, anchor = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
-            held.clear()
-            order = np.argsort(h)
-            own = h[order]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            own = ids[line[order]]
-            late = np.empty(len(h), bool)
-            late[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(h))))
-            del own, order, first
-            for settled in (True, False):
-                on = np.flatnonzero(late == settled)
-                if not len(on):
-                    continue
-                at = _runs(line[on], *(() if settled else (anchor[on],)), pos=pos[on])
-                count = np.diff(np.append(at, len(on)))
-                k = on[at]
-                listed = pa.nulls(len(at), pa.list_(pa.int64())) if settled else pa.ListArray.from_arrays(pa.array(np.append(at, len(on)).astype(np.int32)), pa.array(h[on].view(np.int64)))
-                deal = mix(ids[line[k]].view(np.uint64)) if settled else anchor[k]
-                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(ids[line[k]]), pa.array(bodies[line[k]]), pa.array(pos[k]), pa.array(count.astype(np.int32)), listed], ["deal", "id", "body", "start", "n", "windows"])
+def repeated_runs(parts: DataFrame, total: int, width: int = 13, sketch_rows: int = 2) -> DataFrame:
+    """(part, id, body, start int, n int): runs of n neighbouring windows of a row that also start in a row of a smaller id.
 
-        for b in batches:
-            for i, body, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ws = word_hashes(t.as_py())
-                h = windows(ws, width)
-                at = estimate.repeated(h)
-                if len(at) and i is not None:
-                    held.append((i, body, h[at], at.astype(np.int32), anchors(ws, width)[at]))
-                    n += len(at)
-                    if n >= _FLUSH:
-                        yield from flush()
-                        held, n = [], 0
-        if held:
-            yield from flush()
+    parts: (part, id long, body long, text) of total characters. A row may get several runs, also overlapping ones. The first
+    pass builds the sketch. In the second, each part keeps the windows estimated as repeated and settles what it can by
+    itself: of all its rows with a window, only the one with the smallest id goes on to the shuffle, so a passage that a
+    third of all rows share sends one row a part, not one a document. Windows are dealt by their anchor, a run of six words
+    which equal windows share and neighbours mostly do, so they travel as one row a run. Where they meet, the ids of a window are
+    read in order, and all but the first are repeated; nothing but the current window's smallest id is held.
+    """
+    spark = parts.sparkSession
+    bits = sketch_bits(total // 6)
+    names = ["deal", "part", "id", "body", "start", "n", "windows"]
+
+    def second(part: pa.Table, answers: pa.Table) -> pa.Table:
+        number = part["part"][0].as_py()
+        back = list(zip(answers["block"].to_pylist(), answers["cells"].to_pylist(), strict=True))
+        ids, bodies = (part[k].combine_chunks() for k in ("id", "body"))
+        known = np.asarray(ids.is_valid())
+        ids, bodies = ids.fill_null(0).to_numpy(), bodies.to_numpy()
+        hs, ans = [], []
+        for t in part["text"]:
+            ws = word_hashes(t.as_py())
+            hs.append(windows(ws, width))
+            ans.append(anchors(ws, width))
+        counts = np.array([len(x) for x in hs], np.int64)
+        h = np.concatenate(hs)
+        del hs
+        order = np.argsort(h).astype(np.int32)
+        at = order[estimated_repeats(h[order], back, sketch_rows, bits)]
+        del order, back
+        at.sort()
+        line = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[at]
+        at, line = at[known[line]], line[known[line]]
+        h, anchor = h[at], np.concatenate(ans)[at]
+        del ans
+        pos = (at - (np.cumsum(counts) - counts)[line]).astype(np.int32)
+        order = np.argsort(h)
+        own = h[order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(h) else order
+        own = ids[line[order]]
+        late = np.empty(len(h), bool)
+        if len(h):
+            late[order] = own > np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(h))))
+        del own, order, first
+        out = []
+        for settled in (True, False):
+            on = np.flatnonzero(late == settled)
+            if not len(on):
+                continue
+            run = _runs(line[on], *(() if settled else (anchor[on],)), pos=pos[on])
+            count = np.diff(np.append(run, len(on)))
+            k = on[run]
+            listed = pa.nulls(len(run), pa.list_(pa.int64())) if settled else pa.ListArray.from_arrays(pa.array(np.append(run, len(on)).astype(np.int32)), pa.array(h[on].view(np.int64)))
+            deal = mix(ids[line[k]].view(np.uint64)) if settled else anchor[k]
+            own = pa.array(np.full(len(k), number, np.int32))
+            out.append(pa.table([pa.array(deal.view(np.int64)), own, pa.array(ids[line[k]]), pa.array(bodies[line[k]]), pa.array(pos[k]), pa.array(count.astype(np.int32)), listed], names))
+        return pa.concat_tables(out) if out else pa.schema(list(zip(names, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())], strict=True))).empty_table()
 
     def exact(batches):
         last_window, least = None, None
         kept: list[tuple] = []
         n = 0
+        columns = ["part", "id", "body", "start", "n"]
 
         def flush():
-            ids, bodies, pos = (np.concatenate(x) for x in zip(*kept, strict=True))
-            order = np.lexsort((pos, bodies, ids))
-            ids, bodies, pos = ids[order], bodies[order], pos[order]
-            at = _runs(ids, bodies, pos=pos)
-            return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(bodies[at]), pa.array(pos[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(pos))).astype(np.int32))], ["id", "body", "start", "n"])
+            part, ids, bodies, pos = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order = np.lexsort((pos, bodies, ids, part))
+            part, ids, bodies, pos = part[order], ids[order], bodies[order], pos[order]
+            at = _runs(part, ids, bodies, pos=pos)
+            return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(ids[at]), pa.array(bodies[at]), pa.array(pos[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(pos))).astype(np.int32))], columns)
 
         for b in batches:
             done = b.filter(b.column(0).is_null())
             if len(done):
-                yield pa.RecordBatch.from_arrays([done.column(k) for k in range(1, 5)], ["id", "body", "start", "n"])
+                yield pa.RecordBatch.from_arrays([done.column(k) for k in range(1, 6)], columns)
             b = b.filter(b.column(0).is_valid())
             if not len(b):
                 continue
-            h, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            h, ids = b.column(0).to_numpy(), b.column(2).to_numpy()
             new = np.concatenate(([last_window is None or h[0] != last_window], h[1:] != h[:-1]))
             smallest = np.concatenate(([least if least is not None else ids[0]], ids[new]))[np.cumsum(new)]
             late = ids > smallest
             last_window, least = h[-1], smallest[-1]
             if late.any():
-                kept.append((ids[late], b.column(2).to_numpy()[late], b.column(3).to_numpy()[late]))
+                kept.append((b.column(1).to_numpy()[late], ids[late], b.column(3).to_numpy()[late], b.column(4).to_numpy()[late]))
                 n += int(late.sum())
             if n >= _FLUSH:
                 yield flush()
@@ -266,19 +277,18 @@ def repeated_runs(spark: SparkSession, rows: DataFrame, width: int = 13, sketch_
         if kept:
             yield flush()
 
-    found = rows.mapInArrow(second, "deal long, id long, body long, start int, n int, windows array<long>")
-    dealt = found.repartition(partitions(spark), "deal").select("id", "body", "start", "n", F.posexplode_outer("windows").alias("k", "window"))
-    lined = dealt.select("window", "id", "body", (F.col("start") + F.coalesce("k", F.lit(0))).cast("int").alias("start"), "n").sortWithinPartitions("window", "id")
-    return lined.mapInArrow(exact, "id long, body long, start int, n int")
+    answers = repeated_cells(parts, width, sketch_rows, bits)
+    found = parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(second, "deal long, part int, id long, body long, start int, n int, windows array<long>")
+    dealt = found.repartition(partitions(spark), "deal").select("part", "id", "body", "start", "n", F.posexplode_outer("windows").alias("k", "window"))
+    lined = dealt.select("window", "part", "id", "body", (F.col("start") + F.coalesce("k", F.lit(0))).cast("int").alias("start"), "n").sortWithinPartitions("window", "id")
+    return lined.mapInArrow(exact, "part int, id long, body long, start int, n int")
 
 
-def covered(n_words: int, runs: list[dict], width: int) -> np.ndarray:
-    """Which of n_words words lie in a window of one of the runs {start, n}."""
+def covered(n_words: int, start: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Which of n_words words lie in a window of one of the runs of n windows from start on."""
     edge = np.zeros(n_words + 1, np.int64)
-    if runs:
-        start, n = np.array([r["start"] for r in runs]), np.array([r["n"] for r in runs])
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n - 1 + width, -1)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n - 1 + width, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -294,22 +304,26 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"ids must be whole numbers, not {kind}")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("body", F.xxhash64("text")).select("id", "body", "text")
-    runs = repeated_runs(spark, rows, width).groupBy("id", "body").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-
-    def cut(batches):
-        for b in batches:
-            text, total, gone = [], [], []
-            for t, s in zip(b.column(1), b.column(2), strict=True):
-                ws = words(t.as_py())
-                drop = covered(len(ws), s.as_py() or [], width)
-                n = int(drop.sum())
-                total.append(len(ws))
-                gone.append(n)
-                text.append(b" ".join(w for w, d in zip(ws, drop.tolist(), strict=True) if not d) if n else b" ".join(ws))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["id", "text", "n_words", "n_removed"])
-
-    joined = rows.join(runs, ["id", "body"], "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, "id long, text string, n_words long, n_removed long")
+    parts, total = in_parts(rows)
+
+    def cut(part: pa.Table, runs: pa.Table) -> pa.Table:
+        ids, bodies, start, n = (runs[k].to_numpy() for k in ("id", "body", "start", "n"))
+        order = np.lexsort((bodies, ids))
+        ids, bodies, start, n = ids[order], bodies[order], start[order], n[order]
+        at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (bodies[1:] != bodies[:-1])))) if len(ids) else order
+        own = {(i, b): (low, high) for i, b, low, high in zip(ids[at].tolist(), bodies[at].tolist(), at.tolist(), np.append(at, len(ids))[1:].tolist(), strict=True)}
+        text, total, gone = [], [], []
+        for i, body, t in zip(part["id"].to_pylist(), part["body"].to_pylist(), part["text"], strict=True):
+            ws = words(t.as_py())
+            low, high = own.get((i, body), (0, 0))
+            drop = covered(len(ws), start[low:high], n[low:high], width)
+            total.append(len(ws))
+            gone.append(int(drop.sum()))
+            text.append(b" ".join(w for w, d in zip(ws, drop.tolist(), strict=True) if not d) if gone[-1] else b" ".join(ws))
+        return pa.table({"id": part["id"], "text": pa.array(text, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())})
+
+    runs = repeated_runs(parts, total, width)
+    return parts.groupBy("part").cogroup(runs.groupBy("part")).applyInArrow(cut, "id long, text string, n_words long, n_removed long")
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,22 +59,39 @@ def test_op2_equals_brute_force(spark, sf, texts):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
 
 
-def test_sketches_never_underestimate():
+def _through_blocks(parts, bits):
+    """For each part of sorted windows, the places that the merged sketch estimates as repeated."""
+    blocks = {}
+    for k, p in enumerate(parts):
+        for block, b in substrings.sketch(p, 2, bits):
+            blocks.setdefault(block, []).append((k, b))
+    back = {}
+    for block, sent in blocks.items():
+        for k, b in substrings.merged_block(sent, min(bits, substrings._BLOCK_BITS)):
+            back.setdefault(k, []).append((block, b))
+    return [substrings.estimated_repeats(p, back.get(k, []), 2, bits) for k, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("block_bits", [24, 13])
+def test_sketches_never_underestimate(monkeypatch, block_bits):
+    monkeypatch.setattr(substrings, "_BLOCK_BITS", block_bits)
     rng = np.random.default_rng(3)
-    parts = [rng.integers(0, 3000, 1000).astype(np.uint64) for _ in range(4)]
-    size = 16
-    seen, again = np.zeros((2, 1 << size), bool), np.zeros((2, 1 << size), bool)
-    for p in parts:
-        for block, a, b in substrings.sketch(p, 2, size):
-            c = substrings.unpack_cells(a)
-            again[block, c[seen[block, c]]] = True
-            seen[block, c] = True
-            again[block, substrings.unpack_cells(b)] = True
-    est = substrings.Estimate(np.packbits(again, axis=1, bitorder="little"), size)
+    parts = [np.sort(substrings.mix(rng.integers(0, 3000, 1000).astype(np.uint64))) for _ in range(4)] + [np.empty(0, np.uint64)]
+    whole, counts = np.unique(np.concatenate(parts), return_counts=True)
+    repeated = set(whole[counts > 1].tolist())
+    for p, at in zip(parts, _through_blocks(parts, 16), strict=True):
+        assert {x for x in p.tolist() if x in repeated} <= set(p[at].tolist())
     for cells in (np.arange(5), np.array([7, 300, 4_000_000]), np.array([0, 255, 600, 70_000])):
         assert (substrings.unpack_cells(substrings.pack_cells(cells)) == cells).all()
-    whole, counts = np.unique(np.concatenate(parts), return_counts=True)
-    assert set(np.flatnonzero(counts > 1)) <= set(est.repeated(whole).tolist())
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000, 2_000_000])
+def test_the_sketch_rules_out_nearly_all_single_windows_at_any_size(monkeypatch, n):
+    """Blocks are scaled down, so that the sketch has up to 1,024 of them: tens of times as many as half a gigabyte needs."""
+    monkeypatch.setattr(substrings, "_BLOCK_BITS", 14)
+    h = substrings.mix(np.arange(n, dtype=np.uint64))
+    parts = [np.sort(p) for p in np.array_split(h, 10)]
+    assert sum(len(at) for at in _through_blocks(parts, substrings.sketch_bits(n))) < 0.1 * n
 
 
 def test_op3_round_trip(spark, sf, texts):
