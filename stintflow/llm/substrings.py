@@ -39,10 +39,10 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
 def anchors(text_hashes: np.ndarray, width: int, part: int = 6) -> np.ndarray:
     """For each window of word hashes, the smallest hash of its runs of part words: neighbouring windows mostly share
     it, and equal windows always do."""
+    if len(text_hashes) < width:
+        return np.empty(0, np.uint64)
     part = min(part, width)
     n = len(text_hashes) - part + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
     runs = np.zeros(n, np.uint64)
     for k in range(part):
         runs = runs * _STEP + text_hashes[k : k + n]

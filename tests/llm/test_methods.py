@@ -94,6 +94,15 @@ def test_the_sketch_rules_out_nearly_all_single_windows_at_any_size(monkeypatch,
     assert sum(len(at) for at in _through_blocks(parts, substrings.sketch_bits(n))) < 0.1 * n
 
 
+def test_anchors_of_texts_of_any_length():
+    """Every window has one anchor, and equal windows have equal anchors."""
+    h = substrings.mix(np.arange(40, dtype=np.uint64))
+    for width in (1, 5, 13):
+        for n in range(40):
+            assert len(substrings.anchors(h[:n], width)) == len(substrings.windows(h[:n], width))
+        assert (substrings.anchors(h, width)[7:] == substrings.anchors(h[7:], width)).all()
+
+
 def test_op3_round_trip(spark, sf, texts):
     for r in queries.QUERIES["op3_gif"](spark, sf).collect():
         raw = texts[r.doc_id].encode()
