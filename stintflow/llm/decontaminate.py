@@ -1,4 +1,4 @@
-"""Benchmark decontamination: pairs of near words find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare pairs of near words find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -38,18 +38,43 @@ def align(a: np.ndarray, b: np.ndarray, match: float = 2.0, mismatch: float = -1
     return best, end
 
 
-def seeds_of(items: list[np.ndarray], base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, items, positions), by key: the pairs of words one or two places apart of all items of at least n words."""
-    keys, who, where = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+def needed(length: int, least_score: float) -> tuple[int, int, int]:
+    """(need, sure, wide) of an item of so many words: an alignment that reaches least_score has at least `need` pairs of
+    neighbouring matches one or two places apart, within `wide` words of the text (see _matches); `sure` of them are
+    rare seeds."""
+    need = max(1, math.ceil(least_score * length - 1 - 1e-9))
+    return need, 1 + need // 8, math.ceil((3 - 2 * least_score) * length)
+
+
+def seeds_of(items: list[np.ndarray], base: int, n: int, least_score: float) -> tuple[np.ndarray, np.ndarray, list]:
+    """(keys, items, own): the rare seeds of all items of at least n words, by key, and each item's sorted pairs.
+
+    A pair is two words one or two places apart. Rarity is relative: pairs are ranked within their item by how many pairs
+    of the block are equal, then by how common their words are there, so it doesn't depend on the corpus. The `need`
+    pairs of an alignment start at different words of the item. So an item keeps the pairs of its rarest starts, as many
+    that all alignments have `sure` of them; the other pairs are common ones, which are never looked up.
+    """
+    keys, who, own = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], []
+    pairs = [[_pair_keys(ws[:-d], ws[d:], base) for d in (1, 2)] if len(ws) >= n else None for ws in items]
+    equal, number = np.unique(np.concatenate([k for p in pairs if p for k in p] or keys), return_counts=True)
+    common = np.bincount(np.concatenate(items), minlength=base) if items else np.empty(0)
     for k, ws in enumerate(items):
-        if len(ws) >= n:
-            for d in (1, 2):
-                keys.append(_pair_keys(ws[:-d], ws[d:], base))
-                who.append(np.full(len(ws) - d, k, np.int32))
-                where.append(np.arange(len(ws) - d, dtype=np.int32))
+        if pairs[k] is None:
+            own.append(None)
+            continue
+        one, two = pairs[k]
+        own.append(np.unique(np.concatenate((one, two))))
+        need, sure, _ = needed(len(ws), least_score)
+        held = number[np.searchsorted(equal, one)]
+        held[:-1] = np.maximum(held[:-1], number[np.searchsorted(equal, two)])
+        seen = np.minimum(common[ws[:-1]], common[ws[1:]])
+        start = np.lexsort((seen, held))[: max(1, len(ws) - 1 - need + sure)]
+        rare = np.unique(np.concatenate((one[start], two[start[start < len(two)]])))
+        keys.append(rare)
+        who.append(np.full(len(rare), k, np.int32))
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    return key[order], np.concatenate(who)[order], np.concatenate(where)[order]
+    return key[order], np.concatenate(who)[order], own
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
@@ -58,7 +83,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Items are a stated query set: they are taken in blocks of at most `block` items, whose words and seeds are sent to
     all tasks (a bound on the broadcast), against all documents; a document is scanned once per block and nothing is
-    shuffled. The seeds lose nothing that alignment of every text with every item would find, whatever the corpus (see
+    shuffled. The rare seeds lose nothing that alignment of every text with every item would find, whatever the corpus (see
     _matches), if least_score times an item's words is above 1. Items of fewer than n words match texts that are nothing
     else. Null or empty texts and items match nothing; repeated rows give repeated results.
     """
@@ -72,7 +97,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _prepared(items: list, n: int) -> tuple:
+def _prepared(items: list, n: int, least_score: float) -> tuple:
     """What a task needs of a block of items: word ids, item ids, coded items, the seeds, and the items below n words."""
     index = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
     coded = [np.array([index[w] for w in ws], np.int64) for _, ws in items]
@@ -81,21 +106,31 @@ def _prepared(items: list, n: int) -> tuple:
         if len(ws) < n:
             short.setdefault(tuple(ws.tolist()), []).append(k)
     base = len(index) + 1
-    return index, [i for i, _ in items], coded, seeds_of(coded, base, n), short, base
+    return index, [i for i, _ in items], coded, seeds_of(coded, base, n, least_score), short, base
+
+
+def _coded(text: str | None, index: dict) -> np.ndarray:
+    """compared() as word ids, -1 for words of no item; every spelling is stripped and looked up once a text."""
+    ws = text.lower().encode("utf-8", "replace").split() if text else []
+    known = {}
+    for w in set(ws):
+        bare = w.strip(_EDGE)
+        known[w] = index.get(bare, -1) if bare else -2
+    x = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+    return x[x > -2]
 
 
 def _judge(text: str | None, prepared: tuple, n: int, least_score: float) -> list[tuple]:
     """(item id, score, seeds, first word, end word) of the items that a text holds."""
     index, ids, codes, seeds, short, base = prepared
-    ws = compared(text)
-    if not ws:
+    x = _coded(text, index)
+    if not len(x):
         return []
-    x = np.fromiter((index.get(w, -1) for w in ws), np.int64, len(ws))
     return [(ids[item], *rest) for item, *rest in _matches(x, codes, seeds, short, base, n, least_score)]
 
 
 def _block(rows: DataFrame, items: list, schema: str, item_type: pa.DataType, n: int, least_score: float) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(_prepared(items, n))
+    sent = rows.sparkSession.sparkContext.broadcast(_prepared(items, n, least_score))
 
     def run(batches):
         for b in batches:
@@ -120,15 +155,19 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block: int):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 3, least_score: float = 0.5, block: int = 20_000) -> DataFrame:
-    """The rows of docs, all columns, that leaks() finds nothing in. Rows are judged where they are read."""
+    """The rows of docs, all columns, that leaks() finds nothing in. Rows are judged where they are read.
+
+    Texts of another type are judged as strings. Rows with a null or empty text stay, equal rows stay or go together; an
+    empty benchmark removes nothing.
+    """
     at = docs.columns.index(text_col)
     out = docs
     for items in item_blocks(benchmark, item_col, item_text_col, block):
-        sent = docs.sparkSession.sparkContext.broadcast(_prepared(items, n))
+        sent = docs.sparkSession.sparkContext.broadcast(_prepared(items, n, least_score))
 
         def run(batches, sent=sent):
             for b in batches:
-                yield b.filter(pa.array([not _judge(t.as_py(), sent.value, n, least_score) for t in b.column(at)], pa.bool_()))
+                yield b.filter(pa.array([not _judge(t.as_py(), sent.value, n, least_score) for t in b.column(at).cast(pa.string())], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out
@@ -144,7 +183,8 @@ def _matches(x: np.ndarray, codes, seeds, short, base: int, n: int, least_score:
     With 2 a match and -1 an error, m matches and g errors reach the share s of an item of L words only if g <= 2m - 2sL.
     So at most m - sL neighbouring matches have two errors or more between them, and at least sL - 1 have one or none:
     both their words are then one or two places apart in the item and in the text. The text's part has at most
-    m + g <= (3 - 2s) L words. Where fewer such pairs lie within so many words, no alignment can reach s.
+    m + g <= (3 - 2s) L words. Where fewer such pairs lie within so many words, or fewer than `sure` rare ones (see
+    seeds_of), no alignment can reach s. An item's other pairs are only looked up around its rare seeds.
     """
     if len(x) <= n:
         own = x.tolist()
@@ -152,40 +192,51 @@ def _matches(x: np.ndarray, codes, seeds, short, base: int, n: int, least_score:
             own.pop()
         for item in short.get(tuple(own), []):
             yield item, 1.0, 1, 0, len(own)
-    keys, who, _ = seeds
-    found_item, found_at = [], []
+    keys, who, pairs = seeds
+    text_at, text_key = [], []
     for d in (1, 2):
         at = np.flatnonzero((x[:-d] >= 0) & (x[d:] >= 0))
-        key = _pair_keys(x[at], x[at + d], base)
-        low = np.searchsorted(keys, key, side="left")
-        number = np.searchsorted(keys, key, side="right") - low
-        before = np.cumsum(number) - number
-        found_item.append(who[np.repeat(low - before, number) + np.arange(number.sum())])
-        found_at.append(np.repeat(at, number))
-    item, at = np.concatenate(found_item), np.concatenate(found_at)
-    order = np.lexsort((at, item))
+        text_at.append(at)
+        text_key.append(_pair_keys(x[at], x[at + d], base))
+    text_at, text_key = np.concatenate(text_at), np.concatenate(text_key)
+    order = np.argsort(text_at, kind="stable")
+    text_at, text_key = text_at[order], text_key[order]
+    low = np.searchsorted(keys, text_key, side="left")
+    number = np.searchsorted(keys, text_key, side="right") - low
+    item = who[np.repeat(low - np.cumsum(number) + number, number) + np.arange(number.sum())]
+    at = np.repeat(text_at, number)
+    order = np.argsort(item, kind="stable")
     item, at = item[order], at[order]
     bounds = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item)).tolist()
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         k = int(item[low])
-        a, where = codes[k], at[low:high]
-        need, wide = max(1, math.ceil(least_score * len(a) - 1 - 1e-9)), math.ceil((3 - 2 * least_score) * len(a))
-        if high - low < need:
-            continue
-        hit = where[: len(where) - need + 1][where[need - 1 :] - where[: len(where) - need + 1] <= wide]
-        if not len(hit):
-            continue
+        a = codes[k]
+        need, sure, wide = needed(len(a), least_score)
+        rare = _close(at[low:high], sure, wide)
         best = (0.0, 0, 0, 0)
-        for part in np.split(hit, np.flatnonzero(np.diff(hit) > 2 * wide) + 1):
-            first, last = max(0, int(part[0]) - wide), min(len(x), int(part[-1]) + wide + 2)
-            score, end = align(a, x[first:last])
-            if score > best[0]:
-                best = (score, int(np.count_nonzero((where >= first) & (where < last))), first, first + end)
+        for group in np.split(rare, np.flatnonzero(np.diff(rare) > 2 * wide) + 1) if len(rare) else ():
+            near = slice(*np.searchsorted(text_at, (group[0] - wide, group[-1] + 2 * wide + 1)).tolist())
+            place = np.minimum(np.searchsorted(pairs[k], text_key[near]), len(pairs[k]) - 1)
+            where = text_at[near][pairs[k][place] == text_key[near]]
+            hit = _close(where, need, wide)
+            for part in np.split(hit, np.flatnonzero(np.diff(hit) > 2 * wide) + 1) if len(hit) else ():
+                first, last = max(0, int(part[0]) - wide), min(len(x), int(part[-1]) + wide + 2)
+                score, end = align(a, x[first:last])
+                if score > best[0]:
+                    best = (score, int(np.count_nonzero((where >= first) & (where < last))), first, first + end)
         share = best[0] / (2.0 * len(a))
         if share >= least_score:
             yield k, share, best[1], max(best[2], best[3] - len(a) - max(4, len(a) // 2)), best[3]
 
 
+def _close(where: np.ndarray, count: int, wide: int) -> np.ndarray:
+    """The sorted places with which count places within wide words begin."""
+    if len(where) < count:
+        return where[:0]
+    begin = where[: len(where) - count + 1]
+    return begin[where[count - 1 :] - begin <= wide]
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leaks(docs, benchmark).withColumnRenamed("id", "doc_id")

@@ -37,3 +37,34 @@ def test_edited_copies_are_found_as_by_unseeded_alignment(spark):
     assert got == want and {d for d, _ in want} >= {900, 901}
     kept = {r.doc_id for r in decontaminate.without_leaks(rows, bench).collect()}
     assert kept == set(docs) - {d for d, _ in want}
+
+
+def test_rare_seeds_lose_nothing_among_many_items_of_common_words():
+    """Items and texts of words by Zipf's law, with edited copies planted, against alignment of all texts with all items."""
+    rng = np.random.default_rng(8)
+    rates = 1 / np.arange(1, 401)
+    rates /= rates.sum()
+
+    def text(n):
+        return [b"w%d" % k for k in rng.choice(400, n, p=rates)]
+
+    items = [(k, text(int(rng.integers(3, 40)))) for k in range(80)]
+    prepared = decontaminate._prepared(items, 3, 0.5)
+    index, found = prepared[0], 0
+    for k, ws in items:
+        edited = [w if rng.random() > 0.2 else b"other" for w in ws for _ in range(int(rng.random() > 0.1))]
+        body = text(25) + edited + text(25)
+        x = np.array([index.get(w, -1) for w in body])
+        want = {i: s for i, w in items if (s := decontaminate.align(np.array([index[v] for v in w]), x)[0] / (2 * len(w))) >= 0.5}
+        assert {i: s for i, s, *_ in decontaminate._judge(b" ".join(body).decode(), prepared, 3, 0.5)} == want
+        found += k in want
+    assert found > 40
+
+
+def test_common_pairs_are_not_looked_up():
+    """A pair that all items share is no seed where an item has rarer ones, however many items there are."""
+    for n in (10, 1000):
+        items = [(k, ["of", "the", *(f"a{k}-{j}" for j in range(10)), "of", "the"]) for k in range(n)]
+        index, _, _, (keys, who, _), _, base = decontaminate._prepared(items, 3, 0.5)
+        common = decontaminate._pair_keys(np.array([index["of"]]), np.array([index["the"]]), base)[0]
+        assert common not in keys and len(keys) <= 18 * n
