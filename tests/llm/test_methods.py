@@ -103,6 +103,15 @@ def test_anchors_of_texts_of_any_length():
         assert (substrings.anchors(h, width)[7:] == substrings.anchors(h[7:], width)).all()
 
 
+def test_repeated_rows_and_null_ids_of_substrings(spark):
+    """Rows of one id never count against each other, however many parts hold them; a null id neither removes nor loses."""
+    text = " ".join(f"a{k}" for k in range(30))
+    rows = [(1, text)] * 100 + [(2, text)] * 100 + [(None, text), (3, None), (4, ""), (5, "short text"), (6, text + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {(r.id, r.n_words, r.n_removed): r["count"] for r in substrings.dedup_substrings(spark, docs).groupBy("id", "n_words", "n_removed").count().collect()}
+    assert got == {(None, 30, 0): 1, (1, 30, 0): 100, (2, 30, 30): 100, (3, 0, 0): 1, (4, 0, 0): 1, (5, 2, 0): 1, (6, 31, 30): 1}
+
+
 def test_op3_round_trip(spark, sf, texts):
     for r in queries.QUERIES["op3_gif"](spark, sf).collect():
         raw = texts[r.doc_id].encode()
