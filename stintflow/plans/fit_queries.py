@@ -52,7 +52,11 @@ b AS (SELECT least(greatest(len(list_filter(e, lambda v: v <= x)) - 1, 0), 7) AS
 t AS (SELECT coalesce(median((q.ym - p.ym) / (q.xm - p.xm)), 0) AS slope FROM b p JOIN b q ON q.xm - p.xm > 1e-9), i AS (SELECT slope, median(ym - slope * xm) AS intercept FROM b, t GROUP BY slope)"""
 
 
-@query("response_bins", f"WITH {LAPS_SQL}, {SLOPES_SQL}, {_RESPONSE_SQL} SELECT bin, n, round(xm, 5) AS x_mean, round(ym, 5) AS y_median FROM b")
+#: Means that differ by the order of their sums alone are equal, also at an edge (as in quantile_bins).
+_BINS_SQL = _RESPONSE_SQL.replace("dirty_mean AS x", "floor(dirty_mean * 1e12::DOUBLE + 0.5::DOUBLE) / 1e12::DOUBLE AS x").replace("SELECT quantile_cont(x, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]) AS e", "SELECT list_transform(quantile_cont(x, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0]), lambda v: floor(v * 1e15::DOUBLE + 0.5::DOUBLE) / 1e15::DOUBLE) AS e")
+
+
+@query("response_bins", f"WITH {LAPS_SQL}, {SLOPES_SQL}, {_BINS_SQL} SELECT bin, n, round(xm, 5) AS x_mean, round(ym, 5) AS y_median FROM b")
 def response_bins(spark, sf_dir):
     k = slopes(spark, sf_dir).select(F.col("dirty_mean").alias("x"), (F.col("slope") + 0.3).alias("y")).filter("y > 0 and y < 1")
     return T.quantile_bins(k, "x", "y", 8)

@@ -213,3 +213,9 @@ def test_thinning_and_codes_rank_by_ranges(spark):
     assert D.thin(df.filter("v < 5"), [F.col("v")], 11).count() == 5
     codes = M.category_codes(df.select(F.format_string("%04d", F.col("v")).alias("b")), "b")
     assert codes.filter(F.col("code") != F.col("b").cast("int")).count() == 0 and codes.count() == 1000
+
+
+def test_equal_means_of_other_sums_share_a_bin(spark):
+    rows = [(0.1, 0.1)] * 10 + [(0.1 + 0.2, 0.2)] * 15 + [(0.3, 0.4)] * 15 + [(0.5, 0.9)] * 10
+    got = T.quantile_bins(spark.createDataFrame(rows, "x double, y double"), "x", "y", 8).collect()
+    assert sorted((round(r.x_mean, 6), r.n) for r in got) == [(0.1, 10), (0.3, 30), (0.5, 10)]
