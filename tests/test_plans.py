@@ -219,3 +219,9 @@ def test_equal_means_of_other_sums_share_a_bin(spark):
     rows = [(0.1, 0.1)] * 10 + [(0.1 + 0.2, 0.2)] * 15 + [(0.3, 0.4)] * 15 + [(0.5, 0.9)] * 10
     got = T.quantile_bins(spark.createDataFrame(rows, "x double, y double"), "x", "y", 8).collect()
     assert sorted((round(r.x_mean, 6), r.n) for r in got) == [(0.1, 10), (0.3, 30), (0.5, 10)]
+
+
+def test_best_cost_is_not_rounded_before_it_is_compared(spark):
+    df = spark.createDataFrame([("k", 2, 10.00000049, 1), ("k", 1, 10.0000004, 2), ("k", 3, 10.1, 1)], "k string, plan_id int, cost double, stops int")
+    best = G.best_of(df, ["k"]).first()
+    assert (best.plan_id, best.cost, best.stops) == (1, 10.0000004, 2)
