@@ -225,3 +225,11 @@ def test_best_cost_is_not_rounded_before_it_is_compared(spark):
     df = spark.createDataFrame([("k", 2, 10.00000049, 1), ("k", 1, 10.0000004, 2), ("k", 3, 10.1, 1)], "k string, plan_id int, cost double, stops int")
     best = G.best_of(df, ["k"]).first()
     assert (best.plan_id, best.cost, best.stops) == (1, 10.0000004, 2)
+
+
+def test_decisions_with_arrays_are_never_broadcast(spark):
+    rows = [("d", 2, [("A", 2, True), ("N", 9, False)], [1.0, 2.0])]
+    costs = spark.createDataFrame(rows, f"driver string, cur_lap int, rival_plan {G.PLAN}, parts array<double>")
+    laps = spark.createDataFrame([("d", k, 90.0) for k in range(1, 10)], "driver string, lap int, pace double")
+    out = G.stint_residuals(laps, costs, ["driver"], "lap", "pace")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
