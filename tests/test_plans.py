@@ -233,3 +233,10 @@ def test_decisions_with_arrays_are_never_broadcast(spark):
     laps = spark.createDataFrame([("d", k, 90.0) for k in range(1, 10)], "driver string, lap int, pace double")
     out = G.stint_residuals(laps, costs, ["driver"], "lap", "pace")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
+
+
+def test_races_are_sorted_once(spark, sf):
+    from stintflow.plans.roles import races
+
+    plan = races(spark, sf)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
