@@ -240,3 +240,21 @@ def test_races_are_sorted_once(spark, sf):
 
     plan = races(spark, sf)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_variants_in_one_pass_equal_runs_by_themselves(spark):
+    df = planned(spark, [state(f"d{k}", 10 + k, 60 + k) for k in range(4)]).withColumns({"rival": F.lit(2), "bare": F.transform("par", lambda p: p.withField("offset", F.lit(0.0)))})
+    got = {(r.driver, r.variant): r for r in G.costed_variants(df, ["driver"], {"whole": ("par", 1.5, 0.15), "flat": ("par", 0.0, 0.0), "bare": ("bare", 1.5, 0.15)}, 30).collect()}
+    for name, frame, how in (("whole", df, {}), ("flat", df, {"jump": 0.0, "slope": 0.0}), ("bare", df.withColumn("par", F.col("bare")), {})):
+        for r in G.costed(frame, ["driver"], ["rival"], 30, **how).collect():
+            v = got[r.driver, name]
+            assert v.best == r.best and v.mean == pytest.approx(r.mean, abs=1e-7)
+    assert len(got) == 12
+
+
+def test_plans_are_dealt_by_their_number(spark, sf, monkeypatch):
+    from stintflow.plans import strategy_queries as Q
+
+    g = Q.Given(spark, sf)
+    monkeypatch.setattr(Q, "DEALT", 2)
+    assert g.candidates.rdd.getNumPartitions() == max(8, -(-g.states.count() // 2)) > 8
