@@ -3,13 +3,15 @@
 Every word is a dish. The restaurant of a token's two words before it has the restaurant of the one word before it as its
 parent, and these share the root, whose base is uniform; contexts are whole words, told apart by 64-bit hashes. All
 restaurants that end in one word are dealt to one bucket, so they are seated and asked without any other data than the
-root's probabilities. The root's customers are the tables of the word restaurants, seated in a pass before.
+root's probabilities; those of a word with very many tokens behind it are seated by joins instead, with the same draws. The
+root's customers are the tables of the word restaurants, seated in a pass before.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 from statistics import NormalDist
 
 import numpy as np
@@ -34,8 +36,8 @@ class Settings:
     """Discount and strength by level (root, one word, two words), Gibbs sweeps, and sizes that say where work is done.
 
     head is the number of frequent words whose root probabilities are broadcast (20 bytes each); other words' come by a
-    join. A bucket holds about `bucket` tokens. A word with more than `split` tokens before it has several restaurants of
-    about that many, and a document goes to one of them by its id, so that no group grows with the corpus.
+    join. A bucket holds about `bucket` tokens. The restaurants of a word with at least `split` tokens behind it are seated
+    by joins over all tasks, so that no group grows with the corpus. None of the three changes a draw.
     """
 
     discount: tuple[float, float, float] = (0.7, 0.8, 0.65)
@@ -124,7 +126,7 @@ def stretch(value: bytes) -> list[np.ndarray]:
 
 
 class Head:
-    """The frequent words by falling count: hashes, counts, root probabilities; and what other words have on average."""
+    """The frequent words by falling count: hashes, counts, root probabilities; and one for words that no draw asks."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, p: np.ndarray, other_p: float):
         order = np.lexsort((hashes, -counts))
@@ -302,6 +304,13 @@ class Contents:
             for p in parts:
                 p[k] = None
         self.rest = [p[3 + n_words :] for p in parts]
+        self.other_p = np.full(len(self.others), head.other_p)
+
+    def learn(self, words: np.ndarray, p: np.ndarray) -> None:
+        """Take root probabilities of words beyond the head, by their hashes."""
+        at = np.minimum(np.searchsorted(self.others, words), max(0, len(self.others) - 1))
+        met = self.others[at] == words if len(self.others) else np.zeros(len(words), bool)
+        self.other_p[at[met]] = p[met]
 
     def hashes(self, head: Head, codes: np.ndarray) -> np.ndarray:
         if not len(self.others):
@@ -311,27 +320,63 @@ class Contents:
         return np.where(codes < len(head), head.hashes[own] if len(head) else np.uint64(0), self.others[late])
 
     def root(self, head: Head, codes: np.ndarray) -> np.ndarray:
-        if not len(head):
-            return np.full(len(codes), head.other_p)
-        return np.where(codes < len(head), head.p[np.minimum(codes, len(head) - 1)], head.other_p)
+        return np.concatenate([head.p, self.other_p])[codes]
+
+
+def by_bucket(batches, work, word: str = "word", number: str = "x"):
+    """work(bucket, values, words, numbers) for each bucket; rows come sorted by bucket, and one bucket is held at a time.
 
+    Rows with a value bring it; the others bring a word and its number.
+    """
+    own, held, told = None, [], {}
+
+    def done():
+        got = told.pop(own, [])
+        words = np.concatenate([np.empty(0, np.int64), *(g[0] for g in got)]).view(np.uint64)
+        return work(own, held, words, np.concatenate([np.empty(0), *(g[1] for g in got)]))
 
-def by_bucket(batches, work):
-    """work(values) for the values of each bucket; rows come sorted by bucket, and one bucket is held at a time."""
-    own, held = None, []
     for b in batches:
-        for bucket, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        # Values are large: no batch of them is copied.
+        lone = b.select(["bucket", word, number]).filter(b.column("value").is_null())
+        if len(lone):
+            of, ws, xs = (lone.column(c).to_numpy() for c in ("bucket", word, number))
+            at = _starts(of)
+            for low, n in zip(at.tolist(), _sizes(at, len(of)).tolist(), strict=True):
+                told.setdefault(int(of[low]), []).append((ws[low : low + n], xs[low : low + n].astype(float)))
+        for bucket, value in zip(b.column("bucket").to_pylist(), b.column("value"), strict=True):
+            if not value.is_valid:
+                continue
             if bucket != own and held:
-                yield from work(held)
+                yield from done()
                 held = []
             own = bucket
             held.append(value.as_py())
     if held:
-        yield from work(held)
+        yield from done()
+
+
+def _batch(kinds: dict, n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows of these kinds; columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
+
+
+_LONG = pa.int64()
+_TABLES = {"bucket": _LONG, "value": pa.binary(), "chunk": _LONG, "word": _LONG, "t": _LONG}
+_TABLES_SCHEMA = "bucket long, value binary, chunk long, word long, t long"
+
 
+def _totals(total: np.ndarray):
+    """Sums by word of the head, in chunks."""
+    if total.any():
+        chunks = range(0, len(total), _CHUNK)
+        yield _batch(_TABLES, len(chunks), chunk=[k // _CHUNK for k in chunks], value=[squeeze(total[k : k + _CHUNK].astype(np.int64)) for k in chunks])
 
-def root_customers(spark: SparkSession, rows: DataFrame, head: Head, buckets: int, s: Settings) -> DataFrame:
-    """(word, t): the tables of each dish in all restaurants of one word, seated over the pairs of words alone."""
+
+def root_customers(spark: SparkSession, rows: DataFrame, counts: DataFrame, start: Root, head: Head, buckets: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(word, t): the tables of each dish in all restaurants of one word, seated over the pairs of words alone; and (bucket,
+    word): the words beyond the head that occur twice behind one word of a bucket. Only these are drawn there, so only their
+    root probabilities are sent to it; a pair that occurs once has one table whatever they are.
+    """
     sent = spark.sparkContext.broadcast(head)
 
     def pairs(batches):
@@ -363,12 +408,12 @@ def root_customers(spark: SparkSession, rows: DataFrame, head: Head, buckets: in
         if buffer.size:
             yield counted()
 
-    def seat(batches):
+    def gather(batches):
+        """Pairs that occur once are seated; the others of a bucket are one value, with the words that it asks."""
         head = sent.value
-        table = log_stirling(s.discount[1])
         total = np.zeros(len(head), np.int64)
 
-        def work(values):
+        def work(bucket, values, *_):
             own = Contents(values, head, 1)
             n = np.concatenate([r[0] for r in own.rest]).astype(np.int64)
             key = own.context.astype(np.int64) * own.n_codes + own.words[0]
@@ -377,24 +422,54 @@ def root_customers(spark: SparkSession, rows: DataFrame, head: Head, buckets: in
             c = np.add.reduceat(n[order], first)
             key = key[order][first]
             context, word = key // own.n_codes, key % own.n_codes
-            p = own.root(head, word)
-            many = np.flatnonzero(c > 1)
-            draw = mix(own.contexts[context[many]] + mix(own.hashes(head, word[many])))
+            once, many = word[c == 1], np.flatnonzero(c > 1)
+            total[:] += np.bincount(once[once < len(head)], minlength=len(head))
+            sums = np.bincount(once[once >= len(head)] - len(head), minlength=len(own.others))
+            at = np.flatnonzero(sums)
+            yield _batch(_TABLES, len(at), word=own.others[at].view(np.int64), t=sums[at])
+            if len(many):
+                runs = _starts(context[many])
+                held = context[many][runs]
+                word = word[many]
+                late = word >= len(head)
+                asked, to = np.unique(word[late], return_inverse=True)
+                word[late] = len(head) + to
+                asked = own.others[asked - len(head)]
+                alone = np.bincount(context[c == 1], minlength=len(own.contexts))[held]
+                yield _batch(_TABLES, 1, bucket=[bucket], value=[squeeze(own.contexts[held], asked, alone, _sizes(runs, len(many)), word, c[many])])
+                yield _batch(_TABLES, len(asked), bucket=np.full(len(asked), bucket), word=asked.view(np.int64))
+
+        def with_words(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(len(b), _LONG), pa.nulls(len(b), pa.float64())], ["bucket", "value", "word", "x"])
+
+        yield from by_bucket(with_words(batches), work)
+        yield from _totals(total)
+
+    def seat(batches):
+        head = sent.value
+        table = log_stirling(s.discount[1])
+        total = np.zeros(len(head), np.int64)
+
+        def work(bucket, values, words, n):
+            contexts, asked, alone, sizes, word, c = stretch(values[0])
+            late_p = np.full(len(asked), head.other_p)
+            late_p[np.searchsorted(asked, words)] = start.probability(n, 1, s)
+            p = np.concatenate([head.p, late_p])[word]
+            context = np.repeat(np.arange(len(contexts)), sizes)
+            draw = mix(contexts[context] + mix(np.concatenate([head.hashes, asked])[word]))
             t = np.ones(len(c), np.int64)
             for sweep in range(s.burn_in + 1):
-                tables = np.bincount(context, t, len(own.contexts))[context[many]] - t[many]
-                a = (s.strength[1] + s.discount[1] * tables) * p[many]
-                t[many] = draw_tables(c[many], a, s.discount[1], table, uniforms(draw, s.seed, 1, sweep))
+                tables = (np.bincount(context, t, len(contexts)) + alone)[context] - t
+                a = (s.strength[1] + s.discount[1] * tables) * p
+                t = draw_tables(c, a, s.discount[1], table, uniforms(draw, s.seed, 1, sweep))
             known = word < len(head)
             total[:] += np.bincount(word[known], t[known], len(head)).astype(np.int64)
-            if not known.all():
-                sums = np.bincount(word[~known] - len(head), t[~known], len(own.others)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int64()), pa.nulls(len(sums), pa.binary()), pa.array(own.others.view(np.int64)), pa.array(sums)], ["chunk", "value", "word", "t"])
+            sums = np.bincount(word[~known] - len(head), t[~known], len(asked)).astype(np.int64)
+            yield _batch(_TABLES, len(sums), word=asked.view(np.int64), t=sums)
 
         yield from by_bucket(batches, work)
-        if total.any():
-            chunks = range(0, len(total), _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array([k // _CHUNK for k in chunks], pa.int64()), pa.array([squeeze(total[k : k + _CHUNK].astype(np.uint32)) for k in chunks], pa.binary()), pa.nulls(len(chunks), pa.int64()), pa.nulls(len(chunks), pa.int64())], ["chunk", "value", "word", "t"])
+        yield from _totals(total)
 
     def add_up(batches):
         head = sent.value
@@ -408,15 +483,21 @@ def root_customers(spark: SparkSession, rows: DataFrame, head: Head, buckets: in
                 if chunk != own and held is not None:
                     yield words(own, held)
                     held = None
-                own, x = chunk, stretch(value.as_py())[0].astype(np.int64)
+                own, x = chunk, stretch(value.as_py())[0]
                 held = x if held is None else held + x
         if held is not None:
             yield words(own, held)
 
-    dealt = rows.mapInArrow(pairs, "bucket long, value binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    seated = fold(spark, dealt.mapInArrow(seat, "chunk long, value binary, word long, t long"), "tables")
+    def by_bucket_order(df):
+        return df.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+
+    once = fold(spark, by_bucket_order(rows.mapInArrow(pairs, "bucket long, value binary")).mapInArrow(gather, _TABLES_SCHEMA), "pairs")
+    asked = once.filter("bucket is not null and word is not null").select("bucket", "word")
+    told = asked.join(counts.select("word", "n"), "word").select("bucket", F.lit(None).cast("binary").alias("value"), "word", F.col("n").cast("double").alias("x"))
+    many = once.filter("bucket is not null and value is not null").select("bucket", "value", F.lit(None).cast("long").alias("word"), F.lit(None).cast("double").alias("x"))
+    seated = once.filter("bucket is null").unionByName(fold(spark, by_bucket_order(many.unionByName(told)).mapInArrow(seat, _TABLES_SCHEMA), "tables"))
     frequent = seated.filter("chunk is not null").select("chunk", "value").repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(add_up, "word long, t long")
-    return frequent.filter("t > 0").unionByName(seated.filter("word is not null").groupBy("word").agg(F.sum("t").alias("t")))
+    return frequent.filter("t > 0").unionByName(seated.filter("word is not null").groupBy("word").agg(F.sum("t").alias("t"))), asked
 
 
 @dataclass
@@ -451,14 +532,12 @@ def seat_root(spark: SparkSession, words: DataFrame, root: Root, s: Settings) ->
 def head_of(words: DataFrame, root: Root, s: Settings) -> Head:
     """The head of words (word, n, c, t): as many steps of the count, from the top, as have at most s.head words."""
     step = F.floor(F.log2("n") * 64)
-    least, held, tokens = None, 0, 0
-    for b, m, n in sorted(tuple(r) for r in words.groupBy(step.alias("b")).agg(F.count("*"), F.sum("c")).collect())[::-1]:
+    least, held = None, 0
+    for b, m in sorted(tuple(r) for r in words.groupBy(step.alias("b")).agg(F.count("*")).collect())[::-1]:
         if held + m > s.head:
             break
-        least, held, tokens = b, held + m, tokens + n
-    rest = root.words - held
-    average = (root.customers - tokens) / rest if rest else 0.0
-    other = root.probability(average, min(1.0, average), s)
+        least, held = b, held + m
+    other = root.probability(0, 0, s)
     got = words.filter(step >= F.lit(least)).select("word", "n", "c", "t").toArrow().combine_chunks() if held else None
     if got is None or not len(got):
         return Head(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), other)
@@ -520,16 +599,98 @@ def seat_bucket(own: Contents, head: Head, two, context, word, c3, s: Settings,
     return alpha / s.samples, beta / s.samples
 
 
-def score(spark: SparkSession, rows: DataFrame, words: DataFrame, root: Root, head: Head, buckets: int, s: Settings) -> DataFrame:
+def hot_types(spark: SparkSession, hot: DataFrame, own: DataFrame, unseen: float, s: Settings) -> DataFrame:
+    """(v, u, w, p, alpha, beta) of the trigram types of tokens (v, u, w, trained): word before, word two before, word.
+
+    seat_bucket() for words with too many tokens behind them for one task: the sums by restaurant and dish that a sweep
+    reads come by joins. Draws belong to restaurant, dish and sweep, so they are those that one task would make.
+    """
+    d2, d3, th2, th3 = *s.discount[1:], *s.strength[1:]
+    double, one = pa.float64(), "v long, u long, w long, c3 long, t3 long, alpha double, beta double"
+    kinds = {"v": _LONG, "u": _LONG, "w": _LONG, "c3": _LONG, "t3": _LONG, "alpha": double, "beta": double}
+
+    def unsigned(b, name):
+        return b.column(name).to_numpy().view(np.uint64)
+
+    def columns(b, *names):
+        return (b.column(n).to_numpy() for n in names)
+
+    def key2(b):
+        return mix(unsigned(b, "v") + mix(unsigned(b, "w")))
+
+    def step(sweep):
+        """Adds the sample that the state is to alpha and beta, if it is one; then draws t3, if a sweep follows."""
+
+        def run(batches):
+            table = log_stirling(d3)
+            for b in batches:
+                c3, t3, n3, open3, c2, t2, p, all2, open2, alpha, beta = columns(b, "c3", "t3", "n3", "open3", "c2", "t2", "p", "all2", "open2", "alpha", "beta")
+                weight3 = th3 + n3
+                if sweep > s.burn_in:
+                    weight2 = th2 + all2
+                    back3 = (th3 + d3 * open3) / weight3
+                    alpha = alpha + ((c3 - d3 * t3) / weight3 + back3 * ((c2 - d2 * t2) / weight2))
+                    beta = beta + back3 * ((th2 + d2 * open2) / weight2)
+                if sweep < s.burn_in + s.samples:
+                    rest = c2 - t3
+                    above = (np.maximum(rest - d2 * np.minimum(t2, rest), 0) + (th2 + d2 * open2) * p) / (th2 + all2)
+                    a = (th3 + d3 * (open3 - t3)) * above
+                    many = np.flatnonzero(c3 > 1)
+                    key3 = mix(key2(b)[many] + mix(unsigned(b, "u")[many] ^ np.uint64(0x5851F42D4C957F2D)))
+                    t3 = t3.copy()
+                    t3[many] = draw_tables(c3[many], a[many], d3, table, uniforms(key3, s.seed, 3, sweep))
+                yield _batch(kinds, len(b), v=b.column("v"), u=b.column("u"), w=b.column("w"), c3=c3, t3=t3, alpha=alpha, beta=beta)
+
+        return run
+
+    def dishes(sweep):
+        def run(batches):
+            table = log_stirling(d2)
+            for b in batches:
+                c2, t2, could, p, open2 = columns(b, "c2", "t2", "could", "p", "open2")
+                many = np.flatnonzero((could > 1) & (c2 > 1))
+                t2 = t2.copy()
+                a = (th2 + d2 * (open2[many] - t2[many])) * p[many]
+                t2[many] = draw_tables(c2[many], a, d2, table, uniforms(key2(b)[many], s.seed, 2, sweep))
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("w"), b.column("could"), pa.array(c2), pa.array(np.where(c2 == 1, 1, t2)), b.column("p")], ["v", "w", "could", "c2", "t2", "p"])
+
+        return run
+
+    count = F.sum(F.col("trained").cast("long"))
+    types = fold(spark, hot.groupBy("v", "u", "w").agg(count.alias("c3")).selectExpr("v", "u", "w", "c3", "least(c3, 1) AS t3", "0D AS alpha", "0D AS beta"), "hot-types")
+    found = types.groupBy("v", "w").agg(F.sum("c3").alias("could"), F.sum("t3").alias("c2")).withColumn("t2", F.least("c2", F.lit(1)).cast("long"))
+    dish = fold(spark, found.join(own.select(F.col("word").alias("w"), F.col("p").alias("q")), "w", "left").select("v", "w", "could", "c2", "t2", F.coalesce("q", F.lit(unseen)).alias("p")), "hot-dishes")
+    for sweep in range(s.burn_in + s.samples + 1):
+        room = types.groupBy("v", "u").agg(F.sum("c3").alias("n3"), F.sum("t3").alias("open3"))
+        all_of = dish.groupBy("v").agg(F.sum("c2").alias("all2"), F.sum("t2").alias("open2"))
+        state = types.join(room, ["v", "u"]).join(dish, ["v", "w"]).join(F.broadcast(all_of), "v")
+        types = fold(spark, state.mapInArrow(step(sweep), one), "hot-types")
+        if sweep < s.burn_in + s.samples:
+            c2 = types.groupBy("v", "w").agg(F.sum("t3").alias("c2"))
+            moved = dish.drop("c2").join(c2, ["v", "w"]).withColumn("t2", F.least(F.greatest("t2", F.least("c2", F.lit(1))), "c2"))
+            moved = fold(spark, moved.select("v", "w", "could", "c2", "t2", "p"), "hot-dishes")
+            open2 = F.broadcast(moved.groupBy("v").agg(F.sum("t2").alias("open2")))
+            dish = fold(spark, moved.join(open2, "v").mapInArrow(dishes(sweep), "v long, w long, could long, c2 long, t2 long, p double"), "hot-dishes")
+    return types.join(dish.select("v", "w", "p"), ["v", "w"]).select("v", "u", "w", "p", (F.col("alpha") / s.samples).alias("alpha"), (F.col("beta") / s.samples).alias("beta"))
+
+
+def score(spark: SparkSession, rows: DataFrame, words: DataFrame, asked_words: DataFrame, root: Root, head: Head, buckets: int, s: Settings) -> DataFrame:
     """(id, held_out, n_tokens, n_known, base_sum, score) of every row (id, text).
 
     Every token is dealt to the bucket of the word before it, where the restaurants are seated and the token is asked.
     Tokens of the head's words are summed by row there; those of others bring alpha and beta to the root's table by a
-    join on the word. Sums are whole numbers of 2^-32, so they don't depend on their order.
+    join on the word. Sums are whole numbers of 2^-32, so they don't depend on their order. asked_words (bucket, word) are
+    the words beyond the head that a bucket draws, and get their root probabilities there.
     """
     sent = spark.sparkContext.broadcast(head)
     kind = rows.schema["id"].dataType
     id_type = to_arrow_type(kind)
+    # Begins are as many as ends, which are a word of the head like any other.
+    any_hot = bool(len(head)) and int(head.counts.max()) >= s.split
+    double = pa.float64()
+    line_kinds = {"d": _LONG, "id": id_type, "held_out": pa.bool_(), "n_tokens": _LONG, "n_known": _LONG, "base": double} | ({"v": _LONG, "u": _LONG, "w": _LONG, "late": pa.bool_()} if any_hot else {})
+    kinds = {"bucket": _LONG, "value": pa.binary()} | line_kinds
+    out_kinds = line_kinds | {"score": _LONG, "word": _LONG, "alpha": double, "beta": double}
 
     def deal(batches):
         head = sent.value
@@ -546,33 +707,31 @@ def score(spark: SparkSession, rows: DataFrame, words: DataFrame, root: Root, he
             crc = np.array([_crc(x[1]) for x in lines], np.uint64)
             n_tokens = np.array([len(t) for t in buffer.texts])
             spread = -1 - (mix(ds.view(np.uint64)) >> np.uint64(33)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.nulls(len(ds), pa.binary()), pa.array(ds), pa.array([x[1] for x in lines], id_type), pa.array(crc % np.uint64(7) == 2), pa.array(n_tokens), pa.array(known), pa.array(base)], names)
+            trained = crc % np.uint64(7) != 2
+            yield _batch(kinds, len(ds), bucket=spread, d=ds, id=[x[1] for x in lines], held_out=~trained, n_tokens=n_tokens, n_known=known, base=base)
             follows = counts.copy()
             follows[1] = counts[0]  # as many begins as ends
-            context, hashes = before, h
-            for k in np.flatnonzero(follows >= s.split).tolist():
-                n = 1 + int(follows[k]) // s.split
-                at = np.flatnonzero(before == k)
-                context = before.copy() if context is before else context
-                context[at] = len(hashes) + (mix(crc[text[at]]) % np.uint64(n)).astype(np.int32)
-                hashes = np.concatenate([hashes, mix(h[k] + np.arange(1, n + 1, dtype=np.uint64))])
-            codes = np.concatenate([codes, np.full(len(hashes) - len(h), -1)])
-            bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
-            rank = np.empty(len(hashes), np.int32)
-            rank[_dealt_order(bucket, codes)] = np.arange(len(hashes))
-            order = _order([rank[context], two, w], [len(hashes), len(h), len(h)])
-            context, two, w, text = context[order], two[order], w[order], text[order]
+            hot = (follows >= s.split)[before]
+            if hot.any():
+                at = np.flatnonzero(hot)
+                hs = h.view(np.int64)
+                yield _batch(kinds, len(at), bucket=spread[text[at]], d=ds[text[at]], held_out=~trained[text[at]], v=hs[before[at]], u=hs[two[at]], w=hs[w[at]], late=codes[w[at]] < 0)
+                two, before, w, text = two[~hot], before[~hot], w[~hot], text[~hot]
+            bucket = (mix(h) % np.uint64(buckets)).astype(np.int64)
+            rank = np.empty(len(h), np.int32)
+            rank[_dealt_order(bucket, codes)] = np.arange(len(h))
+            order = _order([rank[before], two, w], [len(h)] * 3)
+            context, two, w, text = before[order], two[order], w[order], text[order]
             del order
-            trained = crc % np.uint64(7) != 2
 
             def lines_of(part):
                 """A value names the texts that it has tokens of, and no others: its size follows its tokens."""
                 listed, at = np.unique(text[part], return_inverse=True)
                 return at.astype(np.uint32), ds[:1], np.diff(listed, prepend=0).astype(np.uint32), np.packbits(trained[listed])
 
-            got = list(_blobs(bucket[context], [context, two, w], head, hashes, codes, lines_of))
-            none = [pa.nulls(len(got), x) for x in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), *none], names)
+            if len(w):
+                got = list(_blobs(bucket[context], [context, two, w], head, h, codes, lines_of))
+                yield _batch(kinds, len(got), bucket=[g[0] for g in got], value=[g[1] for g in got])
 
         for b in batches:
             for i, t, d in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -591,8 +750,9 @@ def score(spark: SparkSession, rows: DataFrame, words: DataFrame, root: Root, he
         head = sent.value
         tables = [log_stirling(d) for d in s.discount]
 
-        def work(values):
+        def work(_, values, words, p):
             own = Contents(values, head, 2)
+            own.learn(words, p)
             values.clear()
             text = np.concatenate([r[0].astype(np.int32) + k for r, k in zip(own.rest, np.cumsum([0, *(len(r[2]) for r in own.rest)]).tolist(), strict=False)])
             d = np.concatenate([r[1][0] + np.cumsum(r[2], dtype=np.int64) for r in own.rest])
@@ -621,48 +781,39 @@ def score(spark: SparkSession, rows: DataFrame, words: DataFrame, root: Root, he
                 if not known.all():
                     late = ~in_head
                     which = low + np.repeat(np.arange(len(each)), each)[late]
-                    yield found(d[asked[late]], None, own.hashes(head, word[which]).view(np.int64), alpha[which], beta[which])
+                    yield _batch(out_kinds, len(which), d=d[asked[late]], word=own.hashes(head, word[which]).view(np.int64), alpha=alpha[which], beta=beta[which])
             at = np.flatnonzero(met)
-            yield found(d[at], np.rint(sums[at] * _UNIT).astype(np.int64), None, None, None)
+            yield _batch(out_kinds, len(at), d=d[at], score=np.rint(sums[at] * _UNIT).astype(np.int64))
+
+        # Lines come before all buckets, whose numbers aren't negative.
+        for b in batches:
+            n = int(np.searchsorted(b.column("bucket").to_numpy(), 0))
+            if n:
+                yield _batch(out_kinds, n, **{k: b.column(k).slice(0, n) for k in line_kinds})
+            if n < len(b):
+                yield from by_bucket(chain([b.slice(n)], batches), work, "d", "base")
 
-        def found(d, score, word, alpha, beta):
-            n = len(d)
-            some = [pa.array(x, t) if x is not None else pa.nulls(n, t) for x, t in zip((score, word, alpha, beta), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(d), *(pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())), *some], out)
+    def spelled(kinds):
+        names = {_LONG: "long", pa.binary(): "binary", double: "double", pa.bool_(): "boolean"}
+        return ", ".join(f"{k} {kind.simpleString() if k == 'id' else names[t]}" for k, t in kinds.items())
 
-        def only_values():
-            for b in batches:
-                line = b.filter(b.column(1).is_null())
-                if len(line):
-                    yield "line", pa.RecordBatch.from_arrays([*line.columns[2:], *(pa.nulls(len(line), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], out)
-                b = b.filter(b.column(1).is_valid())
-                if len(b):
-                    yield "value", b
-
-        own, held = None, []
-        for what, b in only_values():
-            if what == "line":
-                yield b
-                continue
-            for bucket, value in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if bucket != own and held:
-                    yield from work(held)
-                    held = []
-                own = bucket
-                held.append(value.as_py())
-        if held:
-            yield from work(held)
-
-    names = ["bucket", "value", "d", "id", "held_out", "n_tokens", "n_known", "base"]
-    out = [*names[2:], "score", "word", "alpha", "beta"]
-    line = f"d long, id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base double"
-    tokens = rows.withColumn("d", F.monotonically_increasing_id()).mapInArrow(deal, f"bucket long, value binary, {line}")
-    asked = tokens.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(ask, f"{line}, score long, word long, alpha double, beta double")
-    asked = fold(spark, asked, "asked")
-    sums = asked.filter("score is not null").groupBy("d").agg(F.sum("score").alias("score"))
     own = words.select("word", "n", root.probability(F.col("c"), F.col("t"), s).alias("p"))
-    p = F.coalesce("p", F.lit(float(root.probability(0, 0, s))))
-    met = asked.filter("word is not null").select("d", "word", "alpha", "beta").join(own, "word", "left")
+    unseen = float(root.probability(0, 0, s))
+    tokens = rows.withColumn("d", F.monotonically_increasing_id()).mapInArrow(deal, spelled(kinds))
+    told = asked_words.join(own, "word").select("bucket", F.col("word").alias("d"), F.col("p").alias("base"))
+    tokens = tokens.unionByName(told, allowMissingColumns=True)
+    asked = tokens.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(ask, spelled(out_kinds))
+    asked = fold(spark, asked, "asked")
+    sums = asked.filter("score is not null").select("d", "score")
+    met = asked.filter("word is not null").select("d", "word", "alpha", "beta")
+    if any_hot:
+        hot = asked.filter("v is not null").select("d", "v", "u", "w", "late", (~F.col("held_out")).alias("trained"))
+        hot = fold(spark, hot.join(hot_types(spark, hot, own, unseen, s), ["v", "u", "w"]), "hot")
+        met = met.unionByName(hot.filter("late").select("d", F.col("w").alias("word"), "alpha", "beta"))
+        sums = sums.unionByName(hot.filter("not late").select("d", F.rint(F.log10(F.col("alpha") + F.col("beta") * F.col("p")) * _UNIT).cast("long").alias("score")))
+    sums = sums.groupBy("d").agg(F.sum("score").alias("score"))
+    met = met.join(own, "word", "left")
+    p = F.coalesce("p", F.lit(unseen))
     others = met.groupBy("d").agg(F.count("n").alias("also_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("also_base"), F.sum(F.rint(F.log10(F.col("alpha") + F.col("beta") * p) * _UNIT).cast("long")).alias("also"))
     rows = asked.filter("n_tokens is not null").select("d", "id", "held_out", "n_tokens", "n_known", "base").join(sums, "d", "left").join(others, "d", "left")
     zero = F.lit(0)
@@ -674,7 +825,7 @@ def model_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
     Learns from the rows that held_out() leaves, all of them, and scores all rows. Null and empty texts are the end token
     alone; every row has its own line, repeated ones too; without training rows the model is the uniform base. Scores
-    don't depend on the partitioning: a draw belongs to its restaurant, dish and sweep.
+    don't depend on the partitioning or the sizes in settings: a draw belongs to its restaurant, dish and sweep.
     """
     s = settings
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -683,11 +834,11 @@ def model_scores(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     buckets = max(1, tokens // s.bucket)
     start = Root(tokens, n_words, float(tokens), float(n_words))
     first = counts.select("word", "n", F.col("n").alias("c"), F.lit(1).cast("long").alias("t"))
-    customers = root_customers(spark, rows, head_of(first, start, s), buckets, s)
+    customers, asked = root_customers(spark, rows, counts, start, head_of(first, start, s), buckets, s)
     words = seat_root(spark, counts.join(customers, "word", "left").select("word", "n", F.coalesce("t", F.lit(1)).cast("long").alias("c")), start, s)
     c, t = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     root = Root(tokens, n_words, float(c), float(t))
-    found = score(spark, rows, words, root, head_of(words, root, s), buckets, s)
+    found = score(spark, rows, words, asked, root, head_of(words, root, s), buckets, s)
     shift = F.col("n_tokens") * F.lit(float(np.log10(tokens + n_words + 1)))
     return found.select("id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base_sum") - shift).alias("base_score"), "score")
 

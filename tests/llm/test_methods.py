@@ -422,6 +422,17 @@ def test_split_restaurants_still_score_all_tokens(spark, sf):
     assert all(split[d].base_score == pytest.approx(r.base_score, rel=1e-9) and split[d].score < 0 for d, r in whole.items())
 
 
+@pytest.mark.parametrize("sizes", [{"head": 200}, {"head": 0, "bucket": 5_000}, {"split": 300}])
+def test_sizes_that_deal_work_change_no_score(spark, sf, sizes):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = {r.id: r for r in pitman_yor.model_scores(spark, docs).collect()}
+    dealt = {r.id: r for r in pitman_yor.model_scores(spark, docs, settings=pitman_yor.Settings(**sizes)).collect()}
+    assert whole.keys() == dealt.keys()
+    for d, r in whole.items():
+        assert (r.n_tokens, r.n_known) == (dealt[d].n_tokens, dealt[d].n_known)
+        assert dealt[d].score == pytest.approx(r.score, abs=1e-5) and dealt[d].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
 def test_chain_on_held_out_rows(spark):
     rng = random.Random(10)
     rows, labels = [], []
