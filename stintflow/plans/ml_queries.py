@@ -129,7 +129,7 @@ def cliff_models(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     from stintflow.operators.ml import importances, life_regressor
 
-    df = labelled(spark, sf_dir).filter("fold = 'train'").select("features", "target")
+    df = labelled(spark, sf_dir).filter("fold = 'train'").select("features", "target").persist()
     return importances(spark, _FEATURES, life_regressor(df, "target", trees=8))
 
 

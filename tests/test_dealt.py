@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import re
 
-from stintflow.plans import roles, stint_queries
+from stintflow.operators import ml
+from stintflow.plans import ml_queries, roles, stint_queries
 
 
 def test_laps_are_dealt_over_more_tasks_the_more_there_are(spark, sf, monkeypatch):
@@ -12,3 +13,10 @@ def test_laps_are_dealt_over_more_tasks_the_more_there_are(spark, sf, monkeypatc
         plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
         shuffles = re.findall(r"Exchange hashpartitioning\(driver#\w+, season#\w+.*?, (\d+)\)", plan)
         assert shuffles == [str(-(-n // 100))]
+
+
+def test_the_fit_reads_labels_that_are_computed_once(spark, sf, monkeypatch):
+    seen, fit = [], ml.life_regressor
+    monkeypatch.setattr(ml, "life_regressor", lambda train, *a, **k: seen.append(train.storageLevel.useMemory) or fit(train, *a, **k))
+    assert ml_queries.feature_importance(spark, sf).count() == 6
+    assert seen == [True]
