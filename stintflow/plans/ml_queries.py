@@ -122,7 +122,9 @@ def cliff_models(spark, sf_dir):
     df = labelled(spark, sf_dir).select("fold", "features", F.col("onset_near").cast("double").alias("y")).persist()
     models, weights = cliff_classifiers(df.filter("fold = 'train'"), df.filter("fold = 'validation'"), "y", trees=8)
     scored = combined_probability(df.filter("fold = 'test'").select("features", "y"), models, weights, "p")
-    return M.classification_metrics(scored, "y", "p", 0.5).crossJoin(M.roc_auc(scored, "y", "p"))
+    counted = M.scores_counted(scored, "y", "p")
+    df.unpersist()
+    return M.classification_metrics(counted, "y", "p", 0.5, "n").crossJoin(M.roc_auc(counted, "y", "p", "n"))
 
 
 @query("feature_importance")

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import re
 
-from stintflow.operators import ml
+from stintflow.operators import metrics, ml
 from stintflow.plans import ml_queries, roles, stint_queries
 
 
@@ -20,3 +20,16 @@ def test_the_fit_reads_labels_that_are_computed_once(spark, sf, monkeypatch):
     monkeypatch.setattr(ml, "life_regressor", lambda train, *a, **k: seen.append(train.storageLevel.useMemory) or fit(train, *a, **k))
     assert ml_queries.feature_importance(spark, sf).count() == 6
     assert seen == [True]
+
+
+def test_cliff_scores_are_predicted_once(spark, sf):
+    plan = ml_queries.cliff_models(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "UDF" not in plan
+
+
+def test_counted_scores_give_the_metrics_of_the_rows(spark):
+    rows = spark.createDataFrame([(float(k % 3 == 0), (k * 7 % 11) / 11) for k in range(200)] + [(None, 0.5), (1.0, None)], "y double, p double")
+    counted = metrics.scores_counted(rows, "y", "p")
+    assert counted.count() < 40
+    assert metrics.classification_metrics(counted, "y", "p", 0.5, "n").collect() == metrics.classification_metrics(rows, "y", "p", 0.5).collect()
+    assert metrics.roc_auc(counted, "y", "p", "n").collect() == metrics.roc_auc(rows, "y", "p").collect()
