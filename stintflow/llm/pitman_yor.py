@@ -107,7 +107,8 @@ class Buffer:
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; the bytes of each are parted by their place, which compresses small numbers."""
     head = np.array([len(arrays), *(len(a) for a in arrays), *(ord(a.dtype.char) for a in arrays)], np.int64).tobytes()
-    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    # Copied as arrays: tobytes() of a transposed one goes byte by byte.
+    raw = b"".join([head, *(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).data for a in arrays)])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -132,6 +133,14 @@ class Head:
         order = np.lexsort((hashes, -counts))
         self.hashes, self.counts, self.p, self.other_p = hashes[order], counts[order], p[order], other_p
         self.place = np.argsort(self.hashes).astype(np.int32)
+        self.ordered = self.hashes[self.place]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "ordered"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.ordered = self.hashes[self.place]
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -140,8 +149,11 @@ class Head:
         """The rank of each word, -1 for others."""
         if not len(self):
             return np.full(len(h), -1)
-        at = self.place[np.minimum(np.searchsorted(self.hashes, h, sorter=self.place), len(self) - 1)]
-        return np.where(self.hashes[at] == h, at, -1)
+        # Asked in order, neighbouring searches read the same lines of memory.
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.ordered, h[order]), len(self) - 1)
+        return np.where(self.ordered[at] == h, self.place[at], -1)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -263,14 +275,17 @@ def _blobs(bucket, columns, head: Head, hashes, codes, more):
     more: from a slice of the rows to further arrays of its value.
     """
     at = _starts(bucket)
+    place = np.empty(len(codes), np.int64)
     for low, n in zip(at.tolist(), _sizes(at, len(bucket)).tolist(), strict=True):
         part = slice(low, low + n)
         runs = _starts(columns[0][part])
         own = [columns[0][part][runs], *(c[part] for c in columns[1:])]
         coded = [codes[c] for c in own]
-        other = np.unique(np.concatenate([c[x < 0] for c, x in zip(own, coded, strict=True)]))
-        if len(other):
-            coded = [np.where(x < 0, len(head) + np.searchsorted(other, c), x) for c, x in zip(own, coded, strict=True)]
+        late = [np.flatnonzero(x < 0) for x in coded]
+        other = np.unique(np.concatenate([c[k] for c, k in zip(own, late, strict=True)]))
+        place[other] = np.arange(len(head), len(head) + len(other))
+        for c, x, k in zip(own, coded, late, strict=True):
+            x[k] = place[c[k]]
         steps = np.diff(coded[0], prepend=0).astype(np.int32)
         yield int(bucket[low]), squeeze(hashes[other], steps, _sizes(runs, n).astype(np.uint32), *(x.astype(np.uint32) for x in coded[1:]), *more(part))
 
@@ -723,11 +738,15 @@ def score(spark: SparkSession, rows: DataFrame, words: DataFrame, asked_words: D
             order = _order([rank[before], two, w], [len(h)] * 3)
             context, two, w, text = before[order], two[order], w[order], text[order]
             del order
+            met, line = np.zeros(len(ds), bool), np.empty(len(ds), np.uint32)
 
             def lines_of(part):
                 """A value names the texts that it has tokens of, and no others: its size follows its tokens."""
-                listed, at = np.unique(text[part], return_inverse=True)
-                return at.astype(np.uint32), ds[:1], np.diff(listed, prepend=0).astype(np.uint32), np.packbits(trained[listed])
+                met[text[part]] = True
+                listed = np.flatnonzero(met)
+                met[listed] = False
+                line[listed] = np.arange(len(listed), dtype=np.uint32)
+                return line[text[part]], ds[:1], np.diff(listed, prepend=0).astype(np.uint32), np.packbits(trained[listed])
 
             if len(w):
                 got = list(_blobs(bucket[context], [context, two, w], head, h, codes, lines_of))
