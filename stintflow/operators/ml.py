@@ -22,11 +22,12 @@ def assembled(df: DataFrame, columns: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=[f"__{c}" for c in columns], outputCol=out).transform(clean).drop(*[f"__{c}" for c in columns])
 
 
-def life_regressor(train: DataFrame, label: str, late_penalty: float = 1.0, rounds: int = 2, depth: int = 4, trees: int = 15, seed: int = 3):
+def life_regressor(train: DataFrame, label: str, late_penalty: float = 1.0, rounds: int = 2, depth: int = 4, trees: int = 15, seed: int = 3, start=None):
     """A boosted regressor of remaining life. With late_penalty over 1, rows whose life the last model overestimates get
-    this weight and the model is fitted again: iterated weights approach the asymmetric least-squares fit."""
+    this weight and the model is fitted again: iterated weights approach the asymmetric least-squares fit. start is the
+    fit without weights, if the caller has it already."""
     gbt = lambda w: GBTRegressor(labelCol=label, maxDepth=depth, maxIter=trees, seed=seed, **({"weightCol": w} if w else {}))
-    model = gbt(None).fit(train)
+    model = start or gbt(None).fit(train)
     if late_penalty > 1:
         for _ in range(rounds):
             weighted = model.transform(train).withColumn("__w", F.when(F.col("prediction") > F.col(label), late_penalty).otherwise(1.0)).drop("prediction")

@@ -106,13 +106,13 @@ def life_models(spark, sf_dir):
 
     df = labelled(spark, sf_dir).select("fold", "stint", "features", "target").persist()
     train, test = df.filter("fold = 'train'"), df.filter("fold = 'test'")
-    out = None
-    for name, penalty in (("symmetric", 1.0), ("late", 2.5)):
-        scored = life_regressor(train, "target", penalty, rounds=1, trees=8).transform(test).select("target", "prediction", F.lit(name).alias("model"))
-        out = scored if out is None else out.unionByName(scored)
-    base = M.baselines(train, test, "target", "stint")
-    out = out.unionByName(base.select("target", F.col("p_constant").alias("prediction"), F.lit("constant").alias("model"))).unionByName(base.select("target", F.col("p_category").alias("prediction"), F.lit("category").alias("model")))
-    return M.regression_metrics(out, "target", "prediction", keys=["model"])
+    models = {"symmetric": life_regressor(train, "target", trees=8)}
+    models["late"] = life_regressor(train, "target", 2.5, rounds=1, trees=8, start=models["symmetric"])
+    scored = M.baselines(train, test, "target", "stint").withColumnsRenamed({"p_category": "category", "p_constant": "constant"})
+    for name, model in models.items():
+        scored = model.transform(scored).withColumnRenamed("prediction", name)
+    each = F.array(*[F.struct("target", F.col(name).alias("prediction"), F.lit(name).alias("model")) for name in (*models, "constant", "category")])
+    return M.regression_metrics(scored.select(F.inline(each)), "target", "prediction", keys=["model"])
 
 
 @query("cliff_models")

@@ -33,3 +33,12 @@ def test_counted_scores_give_the_metrics_of_the_rows(spark):
     assert counted.count() < 40
     assert metrics.classification_metrics(counted, "y", "p", 0.5, "n").collect() == metrics.classification_metrics(rows, "y", "p", 0.5).collect()
     assert metrics.roc_auc(counted, "y", "p", "n").collect() == metrics.roc_auc(rows, "y", "p").collect()
+
+
+def test_life_models_fits_each_model_once_and_scores_in_one_scan(spark, sf, monkeypatch):
+    fits, fit = [], ml.GBTRegressor.fit
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda self, train: fits.append(train) or fit(self, train))
+    got = ml_queries.life_models(spark, sf)
+    assert len(fits) == 2
+    assert sorted(r.model for r in got.collect()) == ["category", "constant", "late", "symmetric"]
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
