@@ -258,3 +258,9 @@ def test_plans_are_dealt_by_their_number(spark, sf, monkeypatch):
     g = Q.Given(spark, sf)
     monkeypatch.setattr(Q, "DEALT", 2)
     assert g.candidates.rdd.getNumPartitions() == max(8, -(-g.states.count() // 2)) > 8
+
+
+def test_exact_quantiles_send_the_bounds_and_never_the_values(spark):
+    rows = spark.range(100).select(F.explode(F.sequence(F.lit(1), F.lit(17))).alias("k"), F.col("id").cast("double").alias("v"), F.lit("x" * 50).alias("other"))
+    plan = T.exact_quantiles(rows, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
