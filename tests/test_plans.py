@@ -264,3 +264,9 @@ def test_exact_quantiles_send_the_bounds_and_never_the_values(spark):
     rows = spark.range(100).select(F.explode(F.sequence(F.lit(1), F.lit(17))).alias("k"), F.col("id").cast("double").alias("v"), F.lit("x" * 50).alias("other"))
     plan = T.exact_quantiles(rows, ["k"], "v", [0.5])._jdf.queryExecution().executedPlan().toString()
     assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_response_bins_values_as_they_are(spark):
+    rows = [(0.1, 0.1)] * 10 + [(0.3, 0.2)] * 14 + [(0.1 + 0.2, 0.3)] * 15 + [(0.5, 0.9)] * 10
+    r = T.response(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
+    assert (r.n, r.slope, r.intercept) == (49, pytest.approx(2.0), pytest.approx(-0.2))
