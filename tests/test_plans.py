@@ -270,3 +270,40 @@ def test_response_bins_values_as_they_are(spark):
     rows = [(0.1, 0.1)] * 10 + [(0.3, 0.2)] * 14 + [(0.1 + 0.2, 0.3)] * 15 + [(0.5, 0.9)] * 10
     r = T.response(spark.createDataFrame(rows, "x double, y double"), "x", "y").first()
     assert (r.n, r.slope, r.intercept) == (49, pytest.approx(2.0), pytest.approx(-0.2))
+
+
+def test_no_plan_is_left_out(spark, monkeypatch):
+    states = [state("d0", 10, 90, wet=True), state("d1", 12, 60), state("d2", 30, 32)]
+    monkeypatch.setattr(G, "BATCH", 1_000)
+    df = spark.createDataFrame(states, STATE).withColumn("pool", F.array(*[F.lit(x) for x in POOL])).coalesce(1)
+    listed = G.candidates(df, F.col("pool"))
+    got = {r.driver: [[(x.compound, x.end_lap) for x in p] for p in r.plans] for r in listed.collect()}
+    assert got == {s[0]: enumerated(SimpleNamespace(cur=s[1], n=s[2], used=s[9], wet=s[10])) for s in states}
+    assert len(got["d0"]) > G.HELD > 400
+    par = spark.createDataFrame(TYRES, PAR)
+    by_list, made = ({(r.driver, r.plan_id): r for r in G.ranked(G.costed(G.with_parameters(x, par), ["driver"], [], 40), ["driver"]).collect()} for x in (listed, df))
+    assert by_list == made and len(made) == sum(map(len, got.values()))
+
+
+def test_a_rival_comes_after_all_candidates(spark):
+    df = spark.createDataFrame([state("d", 20, 90, wet=True)], STATE).withColumn("pool", F.array(*[F.lit(x) for x in POOL]))
+    rival = F.array(F.struct(F.lit("N").alias("compound"), F.lit(20).alias("end_lap"), F.lit(True).alias("is_current")), F.struct(F.lit("A").alias("compound"), F.lit(90).alias("end_lap"), F.lit(False).alias("is_current")))
+    made = G.with_parameters(df.withColumn("rival_plan", rival), spark.createDataFrame(TYRES, PAR))
+    plans = G.candidates(made, F.col("pool"))
+    by_list = plans.withColumns({"rival": F.size("plans"), "plans": F.concat("plans", F.array("rival_plan"))}).drop("rival_plan")
+    got, want = (G.costed(x, ["driver"], [], 30, spread=False).first() for x in (made, by_list))
+    assert got == want and len(got.stops) == len(enumerated(SimpleNamespace(cur=20, n=90, used=["N"], wet=True))) + 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 19, 20, 40, 250])
+def test_tails_are_the_quantiles_of_sorted_rows(n):
+    x = np.random.default_rng(n).normal(size=(30, n))
+    low, high = G.tails(x.copy(), 0.05)
+    assert np.allclose(low, np.quantile(x, 0.05, axis=1), atol=1e-12) and np.allclose(high, np.quantile(x, 0.95, axis=1), atol=1e-12)
+
+
+def test_plan_queries_list_every_plan(spark, sf):
+    from stintflow.plans import registry
+
+    assert "400" not in registry.ORACLE_SQL["candidate_plans"]
+    assert registry.QUERIES["candidate_plans"](spark, sf).groupBy("driver", "season").count().agg(F.max("count")).first()[0] > 400
