@@ -59,9 +59,10 @@ def scored_laps(spark, sf_dir):
     from stintflow.plans.ml_queries import labelled
 
     keys = [*STINT.keys, "life"]
-    df = labelled(spark, sf_dir).select(*keys, "fold", "features", "target", F.col("onset_near").cast("double").alias("y"))
+    df = labelled(spark, sf_dir).select(*keys, "fold", "features", "target", F.col("onset_near").cast("double").alias("y")).persist()
     train, validation = df.filter("fold = 'train'").drop("fold"), df.filter("fold = 'validation'").drop("fold")
-    regressors = {"p_even": life_regressor(train, "target", trees=8), "p_late": life_regressor(train, "target", 2.5, rounds=1, trees=8)}
+    regressors = {"p_even": life_regressor(train, "target", trees=8)}
+    regressors["p_late"] = life_regressor(train, "target", 2.5, rounds=1, trees=8, start=regressors["p_even"])
     models, weights = cliff_classifiers(train, validation, "y", trees=8)
     return scored(df.filter("fold = 'test'"), regressors, models, weights, [*keys, "target"])
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import re
 
 from stintflow.operators import metrics, ml
-from stintflow.plans import ml_queries, roles, stint_queries
+from stintflow.plans import detail_queries, ml_queries, roles, stint_queries
 
 
 def test_laps_are_dealt_over_more_tasks_the_more_there_are(spark, sf, monkeypatch):
@@ -42,3 +42,12 @@ def test_life_models_fits_each_model_once_and_scores_in_one_scan(spark, sf, monk
     assert len(fits) == 2
     assert sorted(r.model for r in got.collect()) == ["category", "constant", "late", "symmetric"]
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scored_laps_labels_once_and_fits_each_model_once(spark, sf, monkeypatch):
+    fits, fit = [], ml.GBTRegressor.fit
+    monkeypatch.setattr(ml.GBTRegressor, "fit", lambda self, train: fits.append(train.storageLevel.useMemory) or fit(self, train))
+    got = detail_queries.scored_laps(spark, sf)
+    assert len(fits) == 2 and got.count() > 0
+    assert "InMemoryTableScan" in got._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
